@@ -1,6 +1,10 @@
-"""Registered queries and the SQL they are held against."""
+"""Registered queries over the generated tables, and the SQL they are held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import discovery_queries, retrieval_queries, state_queries, text_queries
+
+_MODULES = (text_queries, discovery_queries, retrieval_queries, state_queries)
+
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
