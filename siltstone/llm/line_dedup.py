@@ -219,18 +219,23 @@ def _links(named: DataFrame) -> DataFrame:
     return named.repartition("name").sortWithinPartitions("name").mapInArrow(run, "u binary, v binary")
 
 
+def _first_places(ids: list[int], docs: list[list[str]]) -> dict[str, tuple[int, int]]:
+    """The first place of each line that is not blank, by document id and position."""
+    first: dict[str, tuple[int, int]] = {}
+    for d in sorted(range(len(docs)), key=ids.__getitem__):
+        for at, line in enumerate(docs[d]):
+            if line not in first and line.strip(SPACE):
+                first[line] = (ids[d], at)
+    return first
+
+
 def _places(packs: DataFrame) -> DataFrame:
     """(pack, id, doc, at): for each distinct line of a pack its first place, by document order and position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack in batch.to_pylist():
-                docs, _ = _lines_of(pack)
-                first: dict[str, tuple[int, int]] = {}
-                for d in sorted(range(len(docs)), key=lambda d: pack["ids"][d]):
-                    for at, line in enumerate(docs[d]):
-                        if line not in first and line.strip(SPACE):
-                            first[line] = (pack["ids"][d], at)
+                first = _first_places(pack["ids"], _lines_of(pack)[0])
                 if first:
                     doc, at = zip(*first.values(), strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([pack["pack"]] * len(first), pa.int64()), pa.array([line_id(x) for x in first], pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["pack", "id", "doc", "at"])
@@ -239,7 +244,7 @@ def _places(packs: DataFrame) -> DataFrame:
 
 
 def _rewritten(packs: DataFrame, gone: DataFrame) -> DataFrame:
-    """(digest, n_lines, n_removed, kept, blank) of each text; gone: (pack, id, doc, at), the place that stays for a line."""
+    """(digest, n_lines, n_removed, kept, blank) of each text; gone: (pack, id, doc, at), where a line that other packs or lines share stays."""
 
     def run(pack: pa.Table, found: pa.Table) -> pa.Table:
         if not pack.num_rows:
@@ -247,22 +252,13 @@ def _rewritten(packs: DataFrame, gone: DataFrame) -> DataFrame:
         own = pack.to_pylist()[0]
         stays = dict(zip(found["id"].to_pylist(), zip(found["doc"].to_pylist(), found["at"].to_pylist(), strict=True), strict=True))
         docs, lines = _lines_of(own)
-        place = {x: stays[i] for x in lines if (i := line_id(x)) in stays}
+        place = _first_places(own["ids"], docs)
+        place |= {x: stays[i] for x in lines if (i := line_id(x)) in stays}
         out = []
         for order, digest, said in zip(own["ids"], own["digests"], docs, strict=True):
-            seen: set[str] = set()
-            kept, n = [], 0
-            for at, x in enumerate(said):
-                if not x.strip(SPACE):
-                    kept.append(x)
-                    continue
-                n += 1
-                if x in place and place[x] != (order, at) or x in seen:
-                    continue
-                seen.add(x)
-                kept.append(x)
+            kept = [x for at, x in enumerate(said) if place.get(x, (order, at)) == (order, at)]
             blank = [x for x in said if not x.strip(SPACE)]
-            out.append((digest, n, n - (len(kept) - len(blank)), "\n".join(kept), "\n".join(blank)))
+            out.append((digest, len(said) - len(blank), len(said) - len(kept), "\n".join(kept), "\n".join(blank)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -31,7 +31,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     All sizes are shared by weight; a target stops at ``most`` times its
     source's size, and what is over goes to the others by weight. With sources
     ordered by cap over weight, those that reach their cap come first, so the
-    common level is that of the first that does not.
+    common level is that of the first that does not, the highest of the rest.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     left = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     everything = F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     each = each.withColumn("level", (everything - before) / left)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     each = each.withColumn("target", F.when(F.col("level") <= F.col("ratio"), level * F.col("weight")).otherwise(F.col("cap")))
     copies = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     each = each.withColumn("copies", copies.cast("long"))

@@ -142,7 +142,7 @@ levels AS (
   SELECT *, ((SELECT sum(source_size) FROM totals) - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM each),
 targets AS (
-  SELECT source, source_size, CASE WHEN level <= ratio THEN (SELECT min(level) FROM levels WHERE level <= ratio) * weight ELSE cap END AS target FROM levels),
+  SELECT source, source_size, CASE WHEN level <= ratio THEN (SELECT max(level) FROM levels WHERE level <= ratio) * weight ELSE cap END AS target FROM levels),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets),
 hashes AS (SELECT source, hash, sum(size)::BIGINT AS size FROM d GROUP BY ALL),
 upto AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY hash) AS upto FROM hashes),
