@@ -7,6 +7,7 @@ then costs only the tasks it was running. Nothing is kept on executors' disks.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,8 +42,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that no later read needs."""
+    """Deletes tables that no later read needs, and lets Spark drop the shuffles of plans that are done."""
     jvm = spark.sparkContext._jvm
+    gc.collect()
+    jvm.System.gc()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -190,35 +190,82 @@ def similar_stars(lines: list[str], tenths: int = TENTHS) -> Iterator[tuple[int,
             rest = np.setdiff1d(rest, some[near], assume_unique=True)
 
 
+def similar_pairs(lines: list[str], tenths: int = TENTHS) -> np.ndarray:
+    """For each of the pairs lines[0], lines[1]; lines[2], lines[3]; ... whether they are similar."""
+    hashed, starts = shingle_hashes(lines)
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashed))))
+    # pair, hash and side in one integer: one sort puts what both sides share next to each other
+    bits = np.uint64(max(1, (len(lines) // 2).bit_length()))
+    key = np.sort((owner >> np.uint64(1)) << (np.uint64(64) - bits) | (hashed >> (bits + np.uint64(1))) << np.uint64(1) | (owner & np.uint64(1)))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    pair = (key >> (np.uint64(64) - bits)).astype(np.int64)
+    both = np.bincount(pair[1:][(key[1:] ^ key[:-1]) == 1], minlength=len(lines) // 2)
+    return 10 * both >= tenths * (np.bincount(pair, minlength=len(lines) // 2) - both)
+
+
 def _links(named: DataFrame) -> DataFrame:
     """(u, v): ids of linked lines, spanning each set's groups."""
 
-    def links(lines: list[str]) -> list[tuple[bytes, bytes]]:
-        if len(lines) == 2:  # most sets
-            a, b = ({x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))} for x in lines)
-            near = 10 * len(a & b) >= TENTHS * len(a | b)
-            return [(line_id(lines[0]), line_id(lines[1]))] if near else []
-        ids = [line_id(x) for x in lines]
-        return [(ids[a], ids[b]) for a, b in similar_stars(lines)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[str] = []
+        size, out = 0, []
+
+        def settle() -> None:
+            nonlocal size
+            if pairs:
+                for i in np.flatnonzero(similar_pairs(pairs)).tolist():
+                    out.append((line_id(pairs[2 * i]), line_id(pairs[2 * i + 1])))
+                pairs.clear()
+                size = 0
+
+        def add(lines: list[str]) -> None:
+            nonlocal size
+            if len(lines) == 2:  # most sets
+                pairs.extend(lines)
+                size += len(lines[0]) + len(lines[1])
+                if size > 1 << 20:
+                    settle()
+            elif len(lines) > 2:
+                ids = [line_id(x) for x in lines]
+                out.extend((ids[a], ids[b]) for a, b in similar_stars(lines))
+
+        def rows() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["u", "v"])
+            out.clear()
+            return found
+
         now, lines = None, []
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
             for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name != now:
-                    if len(lines) > 1:
-                        out += links(lines)
+                    add(lines)
                     now, lines = name, []
                 lines.append(line)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
-        if len(lines) > 1 and (out := links(lines)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["u", "v"])
+                yield rows()
+        add(lines)
+        settle()
+        if out:
+            yield rows()
 
     return named.repartition("name").sortWithinPartitions("name").mapInArrow(run, "u binary, v binary")
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(id, label) of linked lines, both line ids.
+
+    Rounds run on 64-bit numbers of the ids, unless two ids of this table share one.
+    """
+    ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct().withColumn("n", F.xxhash64("id"))
+    ids, _ = store(ids, "ids")
+    one_each = ids.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if not one_each:
+        return connected_components(links).withColumnRenamed("node", "id")
+    found = connected_components(links.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
+    named = ids.join(found.withColumnRenamed("node", "n"), "n").select("id", F.col("label").alias("n"))
+    return named.join(ids.withColumnRenamed("id", "named"), "n").select("id", F.col("named").alias("label"))
+
+
 def _first_places(ids: list[int], docs: list[list[str]]) -> dict[str, tuple[int, int]]:
     """The first place of each line that is not blank, by document id and position."""
     first: dict[str, tuple[int, int]] = {}
@@ -243,7 +290,7 @@ def _places(packs: DataFrame) -> DataFrame:
     return packs.select("pack", "ids", "sizes", "blob").mapInArrow(run, "pack long, id binary, doc long, at long")
 
 
-def _rewritten(packs: DataFrame, gone: DataFrame) -> DataFrame:
+def _rewritten(packs: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
     """(digest, n_lines, n_removed, kept, blank) of each text; gone: (pack, id, doc, at), where a line that other packs or lines share stays."""
 
     def run(pack: pa.Table, found: pa.Table) -> pa.Table:
@@ -258,7 +305,10 @@ def _rewritten(packs: DataFrame, gone: DataFrame) -> DataFrame:
         for order, digest, said in zip(own["ids"], own["digests"], docs, strict=True):
             kept = [x for at, x in enumerate(said) if place.get(x, (order, at)) == (order, at)]
             blank = [x for x in said if not x.strip(SPACE)]
-            out.append((digest, len(said) - len(blank), len(said) - len(kept), "\n".join(kept), "\n".join(blank)))
+            left = ["\n".join(x) for x in (kept, blank)]
+            if not with_text:
+                left = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in left]
+            out.append((digest, len(said) - len(blank), len(said) - len(kept), *left))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -266,8 +316,8 @@ def _rewritten(packs: DataFrame, gone: DataFrame) -> DataFrame:
     return packs.groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(run, "digest string, n_lines long, n_removed long, kept string, blank string")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pack_bytes: int = PACK_BYTES, set_lines: int = SET_LINES) -> DataFrame:
-    """One row per row of docs: id, digest, n_lines, n_removed, kept (the text that is left).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pack_bytes: int = PACK_BYTES, set_lines: int = SET_LINES, with_text: bool = True) -> DataFrame:
+    """One row per row of docs: id, digest, n_lines, n_removed, kept (the text that is left; its SHA-256 if not with_text).
 
     Lines are what stands between line feeds; blank ones are never compared and
     stay. Of linked or equal lines the one in the document with the least id,
@@ -280,19 +330,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("*", F.sha2("text", 256).alias("digest"), F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)).alias("order"))
     light, _ = store(rows.select("id", "digest", "order"), "texts")
     least = light.groupBy("digest").agg(F.min("order").alias("order"))
-    texts = rows.join(least, ["digest", "order"], "left_semi").select("order", "digest", "text")
+    texts = rows.join(least.hint("merge"), ["digest", "order"], "left_semi").select("order", "digest", "text")
     packs, packs_at = store(_packed(texts, pack_bytes), "packs")
+    remove(spark)
     buckets = partitions(spark)
     sets, sets_at = store(_sets(_filed(packs, buckets), set_lines), "sets")
+    remove(spark)
     links, links_at = store(_links(_named_lines(packs, sets)), "links")
     remove(spark, sets_at)
-    labels = connected_components(links)
-    places = _places(packs).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labels = _labels(links)
+    places = _places(packs).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     places, places_at = store(places, "places")
-    first = places.groupBy("label").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = places.select("pack", "id", "label").join(first, "label").select("pack", "id", "first.doc", "first.at")
-    done, _ = store(_rewritten(packs, gone).dropDuplicates(["digest"]), "kept")
+    remove(spark)
+    # the least (doc, at) as one number, which an aggregation can hold in place
+    place = F.col("doc").cast("decimal(38,0)") * (1 << 31) + F.col("at")
+    first = places.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.withColumn("at", F.expr(f"cast(pmod(first, {1 << 31}) as long)")).select("label", F.expr(f"(first - at) div {1 << 31}").alias("doc"), "at")
+    gone = places.select("pack", "id", "label").join(first, "label").select("pack", "id", "doc", "at")
+    done, _ = store(_rewritten(packs, gone, with_text), "kept")
     remove(spark, packs_at, links_at, places_at)
+    if done.count() > least.count():  # a table with repeated rows whose copies were packed apart
+        done = done.dropDuplicates(["digest"])
     named = light.join(least.withColumnRenamed("order", "least"), "digest").join(done, "digest")
     copy = F.col("order") > F.col("least")
     return named.select(
@@ -302,7 +360,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_lines, n_removed and kept_sha256 of what dedup_lines() leaves."""
-    return dedup_lines(docs, id_col, text_col, **options).select(id_col, "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_lines(docs, id_col, text_col, with_text=False, **options).select(id_col, "n_lines", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:

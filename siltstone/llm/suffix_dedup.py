@@ -169,11 +169,12 @@ def group_bounds(contexts: list[bytes], lead: list[int], count: list[int], ids:
 
 
 def _packed(texts: DataFrame, pack_bytes: int) -> DataFrame:
-    """Texts (id, digest, text) as packs (pack, ids, digests, sizes, blob)."""
+    """Texts (id, digest, text), sorted by digest in each partition, as packs (pack, ids, digests, sizes, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         ids, digests, parts, size = [], [], [], 0
+        before = None
 
         def row() -> pa.RecordBatch:
             blob = zstandard.ZstdCompressor(1).compress(b"".join(parts))
@@ -183,6 +184,9 @@ def _packed(texts: DataFrame, pack_bytes: int) -> DataFrame:
 
         for batch in batches:
             for i, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if d == before:  # repeated rows follow each other
+                    continue
+                before = d
                 raw = text.as_buffer().to_pybytes()
                 if parts and size + len(raw) > pack_bytes:
                     yield row()
@@ -436,10 +440,13 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     total = least.agg(F.sum("n_bytes").alias("n")).first().n or 0
     buckets = max(partitions(spark), -(-total // BUCKET_BYTES))
     long_enough = least.where(F.col("n_bytes") >= LENGTH).select("digest", "order")
-    texts = rows.join(long_enough, ["digest", "order"], "left_semi").select("order", "digest", "text")
+    texts = rows.join(long_enough.hint("merge"), ["digest", "order"], "left_semi").select("order", "digest", "text")
     packs, at = store(_packed(texts, pack_bytes), "packs")
+    remove(spark)
     again, again_at = store(_again(_hashes(packs, buckets), hot), "again")
+    remove(spark)
     found, found_at = store(_sorted(_suffixes(packs, again, buckets)), "found")
+    remove(spark)
     both = found.unionByName(again, allowMissingColumns=True)
     done, _ = store(_cut(packs, both, with_text).dropDuplicates(["digest"]), "cut")
     remove(spark, at, again_at, found_at)
