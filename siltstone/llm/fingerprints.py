@@ -92,7 +92,8 @@ def find_within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks
     for t, m in reversed(list(enumerate(masks))):
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)).otherwise(first)
     met = (a.t == b.t) & (a.key == b.key) & (F.bit_count(differ) <= radius) & (a.t == first)
-    return a.join(b, met).select("query", "fp", F.bit_count(differ).alias("distance"))
+    # both sides grow with the table, and estimates miss the growth by tables: never a broadcast
+    return a.join(b.hint("merge"), met).select("query", "fp", F.bit_count(differ).alias("distance"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
