@@ -32,13 +32,18 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
 
 
 def _encode(rows: DataFrame, path: str, version: str) -> DataFrame:
-    """(digest, version, n_tokens) of rows(digest, text)."""
+    """(digest, version, n_tokens) of rows(digest, text), in which repeated rows follow each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = load(ByteLevelCounter, path).count
+        count, before = load(ByteLevelCounter, path).count, None
         for batch in small_batches(batches):
-            counts = [count(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE_SCHEMA.names)
+            digests, counts = [], []
+            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if digest != before:
+                    digests.append(digest)
+                    counts.append(count(text.as_py()))
+                    before = digest
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([version] * len(counts), pa.string()), pa.array(counts, pa.int64())], names=CACHE_SCHEMA.names)
 
     return rows.mapInArrow(run, CACHE_SCHEMA)
 
@@ -58,7 +63,7 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     misses = rows.select("digest", "id").join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti")
-    chosen = misses.groupBy("digest").agg(F.min("id").alias("least"))
+    chosen = misses.groupBy("digest").agg(F.min("id").alias("least")).hint("merge")
     one = (rows.digest == chosen.digest) & rows.id.eqNullSafe(chosen.least)
     _encode(rows.join(chosen, one, "left_semi").select("digest", "text"), path, version).write.mode("append").parquet(cache)
     sized = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
