@@ -75,6 +75,21 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("source").join(settled.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.coalesce("below", everything).alias("below"))
 
 
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, source, size, hash) of docs, and the plan (s, source_size, target, copies, below) of each source."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("long")
+    rows, _ = store(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), document_hash(id_col).alias("hash")), "sizes")
+    targets, _ = store(source_targets(rows), "targets")
+    below = thresholds(rows, targets).withColumnRenamed("source", "s")
+    plan, _ = store(targets.join(below, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target", "copies", "below"), "plan")
+    return rows, plan
+
+
+def _times(plan: DataFrame | dict[str, F.Column], hashed: F.Column) -> F.Column:
+    """How often a document of the plan's source with this hash is taken."""
+    return plan["copies"] + ((hashed < plan["below"]) & (plan["target"] > plan["copies"] * plan["source_size"])).cast("long")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, size, source_size, target, taken, copies.
 
@@ -84,18 +99,19 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rows share their id's hash. An empty table gives none; other columns are
     ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_SQL)), F.lit(0)).cast("long")
-    rows, _ = store(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), document_hash(id_col).alias("hash")), "sizes")
-    targets, _ = store(source_targets(rows), "targets")
-    plan = targets.join(thresholds(rows, targets).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "budget")
-    plan = plan.withColumnRenamed("source", "s")
-    copies = F.col("copies") + (F.col("hash") < F.col("below")).cast("long") * (F.col("target") > F.col("copies") * F.col("source_size")).cast("long")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    rows, plan = _planned(docs, id_col, source_col, text_col)
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["s"])).withColumn("times", _times(plan, F.col("hash")))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), F.col("times").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each row as many times as its copies, columns unchanged."""
-    decided = mix_sources(docs, id_col, source_col, text_col).groupBy(F.col(id_col).alias("__id")).agg(F.first("copies").alias("__copies"))
-    joined = docs.join(decided, F.col(id_col).eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    """docs as the mix takes them: each row as many times as its copies, columns unchanged.
+
+    A row's copies follow from its source's plan and its own id, so only the
+    plan, one row per source, is joined. Columns of docs may have any names.
+    """
+    _, plan = _planned(docs, id_col, source_col, text_col)
+    plan = plan.select(F.col("s").alias("__s"), F.struct("source_size", "target", "copies", "below").alias("__plan"))
+    own = {k: F.col(f"__plan.{k}") for k in ("source_size", "target", "copies", "below")}
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__times", _times(own, document_hash(id_col))).where("__times > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)

@@ -198,6 +198,9 @@ def test_mixture(spark, documents):
     for g in by.values():
         assert abs(sum(r.taken for r in g) - g[0].target) <= max(r["size"] for r in g)
         assert all(r.taken <= 3 * r["size"] for r in g) and g[0].target <= 3 * g[0].source_size + 1e-6
+    twice = documents.unionByName(documents.withColumn("source", F.lit("other")))
+    want = sorted((r.doc_id, r["size"]) for r in mixing.mix_sources(twice).collect() for _ in range(r.copies))
+    assert sorted((r.doc_id, len((r.text or "").encode().split())) for r in mixing.mixed(twice).collect()) == want
     mixed = mixing.mixed(documents)
     assert mixed.columns == documents.columns and mixed.count() == sum(r.copies for r in mixing.mix_sources(documents).collect())
 
@@ -308,6 +311,7 @@ def test_awkward_scores_and_counts(spark, awkward, tmp_path):
         assert len(rows) == table.count() and all(0 <= r.score <= 1 for r in rows)
     rows = token_counts.token_counts(awkward, str(tmp_path / "c")).collect()
     assert len(rows) == len(AWKWARD) and all((r.n_tokens == 0) == (r.n_bytes == 0) for r in rows)
+    assert spark.read.parquet(str(tmp_path / "c")).count() == len({t or "" for _, t, _ in AWKWARD})
     assert token_counts.token_counts(awkward.limit(0), str(tmp_path / "d")).count() == 0
 
 
