@@ -42,9 +42,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that no later read needs, and lets Spark drop the shuffles of plans that are done."""
+    """Deletes tables that no later read needs, and lets Spark drop the shuffles of plans that are done.
+
+    Spark's listener queues hold the plan that ended last until another event
+    comes, so a small job goes ahead of the collection that is to free it.
+    """
     jvm = spark.sparkContext._jvm
     gc.collect()
+    spark.range(1).count()
     jvm.System.gc()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
