@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,3 +105,24 @@ def json_reply(reply: Column, schema: str) -> Column:
     """The JSON object of a model's reply, inside a code fence or not; null if there is none."""
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
     return F.from_json(F.when(fenced != "", fenced).otherwise(reply), schema)
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its column, in one pass: braces inside values stay. Null values count as empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def source_list(hits: Column) -> Column:
+    """(url, title, authority) of each element of an array of hits, in order."""
+    return F.transform(hits, lambda h: F.struct(h["source_url"].alias("url"), h["source_title"].alias("title"), h["authority_level"].alias("authority")))
+
+
+def evaluation_contexts(sources: Column) -> Column:
+    """What an evaluation gets as context of each source: its title in brackets, then its URL."""
+    return F.transform(sources, lambda s: F.concat(F.lit("["), F.coalesce(s["title"], F.lit("Unknown")), F.lit("]\n"), F.coalesce(s["url"], F.lit(""))))
+
+
+def iso_timestamp(text: Column) -> Column:
+    """An ISO 8601 timestamp; null if it is none."""
+    return F.try_to_timestamp(text)

@@ -83,6 +83,16 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFra
     return seen
 
 
+def sitemap_closure(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(url): each page URL once of the sitemaps that roots(sitemap) reach through index files within max_depth.
+
+    sitemaps holds (sitemap, xml). Indexes that name each other end the walk.
+    """
+    edges = sitemaps.select(F.col("sitemap").alias("src"), F.explode(F.xpath("xml", F.lit("//sitemap/loc/text()"))).alias("dst")).select("src", F.btrim("dst").alias("dst"))
+    reached = breadth_first(edges, roots.select(F.col("sitemap").alias("node")), max_depth)
+    return sitemap_urls(sitemaps.join(reached, F.col("sitemap") == F.col("node"), "left_semi"), "sitemap").select("url").distinct()
+
+
 def truncate_per_domain(scored: DataFrame, group: str, score: str, tie: str, limit: str) -> DataFrame:
     """The best ``limit`` rows of each group, and how many were over."""
     order = W.partitionBy(group).orderBy(F.col(score).desc(), tie)

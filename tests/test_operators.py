@@ -75,3 +75,17 @@ def test_incremental_ingest_is_idempotent(spark, tmp_path):
     spark.createDataFrame(rows[:3], "doc_id long, text string").write.mode("append").parquet(landing)
     ingest_available(spark, landing, out)
     assert spark.read.parquet(f"{out}/chunks").count() == first > 0
+
+
+def test_templates_fill_once(spark):
+    got = one(spark, scoring.fill_template("<{a}|{b}>", a=F.lit("{b}"), b=F.lit(None).cast("string")))
+    assert got == "<{b}|>"
+
+
+def test_sitemaps_that_name_each_other(spark):
+    index = "<sitemapindex><sitemap><loc>{}</loc></sitemap></sitemapindex>"
+    files = [("a", index.format("b")), ("b", index.format("a")), ("c", "<urlset><url><loc>x</loc></url></urlset>")]
+    sitemaps = spark.createDataFrame(files, "sitemap string, xml string")
+    roots = lambda name: sitemaps.where(F.col("sitemap") == name).select("sitemap")
+    assert discovery.sitemap_closure(sitemaps, roots("a")).count() == 0
+    assert [r.url for r in discovery.sitemap_closure(sitemaps, roots("c")).collect()] == ["x"]
