@@ -169,13 +169,14 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """One row per row of docs: id, fp (signed long), fingerprint (hex), component_id.
+    """One row per row of docs: id, fp (signed long), fingerprint (hex), component_id, label.
 
     component_id is the least id among the documents reachable over links of at
     most ``radius`` differing bits, the document itself included. Null and empty
     texts, and texts without a word, have fingerprint 0, which links like any
     other. A null id never names a component: a group without any other id has
-    a null component_id. Repeated rows give repeated results; an empty table
+    a null component_id. label, a fingerprint of the component, names it also
+    then. Repeated rows give repeated results; an empty table
     gives none. Columns other than the two named are ignored.
     """
     own = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp")
@@ -184,20 +185,20 @@ def simhash_groups(
     labels = connected_components(fingerprint_links(least.select("fp"), radius, blocks, bucket_rows))
     named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = named.join(component, "label").select("fp", "component_id")
-    return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = named.join(component, "label").select("fp", "label", "component_id")
+    return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without near copies: of each group the row with the least id stays.
+    """docs without near copies: of each group the row with the least id, and of those the least fingerprint, stays.
 
     Rows without an id stay only if no other row of their group has one; of rows
     that agree in id and fingerprint one stays.
     """
     columns = docs.columns
     groups = simhash_groups(docs, id_col, text_col, **options)
-    chosen = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.min("fp").alias("__fp"))
-    chosen = chosen.select(F.col(id_col).alias("__id"), "__fp")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "fp")
+    chosen = groups.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.fp").alias("__fp"))
     marked = with_fingerprint(docs, text_col, "__own")
     kept = marked.join(chosen, (F.col("__own") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
     return kept.dropDuplicates([id_col, "__own"]).select(*columns)

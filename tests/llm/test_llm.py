@@ -91,6 +91,14 @@ def test_simhash_groups(spark, options):
     assert got == {(i, f"{p:016x}"): min(least[g]) for (i, _), p, g in zip(rows, prints, group, strict=True)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    random.seed(21)
+    said = ["".join(random.choice("abcdefgh") + random.choice(("", "", " ")) for _ in range(400)) for _ in range(5)]
+    rows = [(None, said[0]), (None, said[1]), (None, said[2]), (None, said[2]), (1, said[3]), (1, said[4]), (2, said[3]), (3, said[4]), (None, said[4])]
+    got = simhash_dedup.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted({(None, said[0]), (None, said[1]), (None, said[2]), (1, said[3]), (1, said[4])}, key=str)
+
+
 def slow_cut(rows):
     first, out = {}, []
     order = lambda i: i if i is not None else suffix_dedup.NO_ID
