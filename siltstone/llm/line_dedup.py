@@ -63,15 +63,17 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line, from BANDS * ROWS minima under as many hash functions."""
-    keys = np.empty((len(lines), BANDS), np.uint64)
-    if not lines:
-        return keys
-    hashed, starts = shingle_hashes(lines)
+    return set_keys(*shingle_hashes(lines)) if lines else np.empty((0, BANDS), np.uint64)
+
+
+def set_keys(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """BANDS keys for each set of hashes; starts: where each set begins, none empty."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
     ends = np.append(starts[1:], len(hashed))
     seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
     low = hashed.astype(np.uint32)
     first = 0
-    while first < len(lines):  # some lines at a time, so that their hashes stay in the processor's cache
+    while first < len(starts):  # some sets at a time, so that their hashes stay in the processor's cache
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 16), side="right")))
         part, at = low[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
         for b in range(BANDS):
@@ -160,15 +162,19 @@ def _named_lines(packs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_stars(lines: list[str], tenths: int = TENTHS) -> Iterator[tuple[int, int]]:
     """Links (a, b) that connect all of the distinct lines whose similarity is tenths / 10 or more."""
-    hashed, starts = shingle_hashes(lines)
+    return set_stars(*shingle_hashes(lines), tenths)
+
+
+def set_stars(hashed: np.ndarray, starts: np.ndarray, tenths: int = TENTHS) -> Iterator[tuple[int, int]]:
+    """Links (a, b) that connect all of the sets of hashes whose similarity is tenths / 10 or more."""
     number = np.unique(hashed, return_inverse=True)[1]
     sizes = np.diff(np.append(starts, len(number)))
-    pairs = np.unique(np.repeat(np.arange(len(lines)), sizes) * (int(number.max()) + 1) + number)
+    pairs = np.unique(np.repeat(np.arange(len(starts)), sizes) * (int(number.max()) + 1) + number)
     owner, number = np.divmod(pairs, int(number.max()) + 1)
-    cuts = np.searchsorted(owner, np.arange(len(lines) + 1))
+    cuts = np.searchsorted(owner, np.arange(len(starts) + 1))
     sizes = np.diff(cuts)
     mark = np.zeros(int(number.max()) + 1, bool)
-    rest = np.arange(len(lines))
+    rest = np.arange(len(starts))
     while len(rest) > 1:
         first, rest = rest[0], rest[1:]
         todo = [first]

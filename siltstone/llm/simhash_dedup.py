@@ -6,6 +6,11 @@ choice of blocks and only those filed together are compared. A bucket returns
 a spanning star for each group it holds, never its pairs. Buckets of more than
 ``bucket_rows`` fingerprints are filed again under blocks of the bits that the
 bucket leaves open, until they are small or under 20 bits are open.
+
+Few pairs at a Jaccard similarity of 0.8 lie within so small a radius, and no
+radius with few enough tables holds them all, so ``jaccard_words`` adds the
+links of texts whose sets of word shingles are similar: MinHash bands name the
+candidates, and their sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,12 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import connected_components, mix64, remove, small_batches, store
+from .line_dedup import set_keys, set_stars
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 BLOCKS = 6
 BUCKET_ROWS = 4096
 HASH_SEED = 42
+JACCARD_WORDS = 5  # of near copies in the pipeline; the similarity is line_dedup's 0.8
+SET_TEXTS = 2048
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -166,13 +174,117 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS
     return out
 
 
+def word_sets(texts: list[str | None], words: int = JACCARD_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, which): the hashed word shingles of the texts that have a word, where each one's begin, and their places.
+
+    A text of fewer words than a shingle gives one.
+    """
+    said = [(text or "").encode("utf-8", "surrogatepass").lower().split() for text in texts]
+    sizes = np.fromiter(map(len, said), np.int64, len(said))
+    which = np.flatnonzero(sizes)
+    if not len(which):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), which
+    h = xxhash.xxh64_intdigest
+    padded = [said[i] + [b""] * (words - len(said[i])) for i in which.tolist()]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    each = np.fromiter((h(x, HASH_SEED) for tokens in padded for x in tokens), np.uint64, int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    last = len(each) - words + 1
+    hashed = each[:last]
+    for k in range(1, words):
+        hashed = mix64(hashed * np.uint64(0x9E3779B97F4A7C15) + each[k : k + last])
+    inside = np.ones(len(each), bool)
+    for k in range(1, words):
+        inside[ends - k] = False
+    return hashed[inside[:last]], ends - sizes - (words - 1) * np.arange(len(sizes)), which
+
+
+def _similar(named: DataFrame) -> DataFrame:
+    """Edges (u, v) between the fingerprints of similar texts; rows: (name, fp, hashes), sorted by name in each partition."""
+
+    def links(fps: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        hashed = np.frombuffer(b"".join(sets), np.uint64)
+        ends = np.cumsum([len(x) // 8 for x in sets])
+        fp = np.array(fps, dtype=np.int64)
+        at = np.array([*set_stars(hashed, np.concatenate(([0], ends[:-1])))], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(fp[at[:, i]]) for i in (0, 1)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fps, sets = None, [], []
+        for batch in small_batches(batches):
+            for name, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if len(sets) > 1:
+                        yield links(fps, sets)
+                    now, fps, sets = name, [], []
+                fps.append(fp)
+                sets.append(hashes)
+        if len(sets) > 1:
+            yield links(fps, sets)
+
+    return named.mapInArrow(run, "u long, v long")
+
+
+def jaccard_links(texts: DataFrame, labels: DataFrame, words: int = JACCARD_WORDS, set_texts: int = SET_TEXTS) -> DataFrame:
+    """Edges (u, v) of fingerprints that, with those behind labels(fp, label), connect all texts(text) of a Jaccard similarity of 0.8 or more.
+
+    Texts that share a band key are compared unless all of them have one label
+    already. Sets of over ``set_texts`` texts are cut into chunks, and each two
+    chunks form a set.
+    """
+    spark = texts.sparkSession
+    texts = texts.select(F.xxhash64("text").alias("t"), "text")
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            said = batch.column(1).to_pylist()
+            hashed, starts, which = word_sets(said, words)
+            fp = np.array([fingerprint(said[i]) for i in which.tolist()], dtype=np.uint64)
+            keys = set_keys(hashed, starts)
+            offsets = pa.array(np.arange(len(which) + 1, dtype=np.int32) * keys.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(fp.view(np.int64)), lists], names=["t", "fp", "keys"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            hashed, starts, which = word_sets(batch.column(2).to_pylist(), words)
+            ends = np.append(starts[1:], len(hashed))
+            sets = [np.unique(hashed[a:b]).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(sets, pa.binary())], names=["t", "fp", "hashes"])
+
+    filed, filed_at = store(texts.mapInArrow(file, "t long, fp long, keys array<long>"), "bands")
+    each = filed.groupBy("t").agg(F.min("fp").alias("fp")).join(labels, "fp")  # copies count once
+    own, own_at = store(each, "labelled")
+    keys = filed.dropDuplicates(["t"]).select("t", F.explode("keys").alias("key")).join(own.select("t", "label"), "t")
+    keys, keys_at = store(keys, "keys")
+    total = F.sum(F.xxhash64("t").cast("decimal(38,0)"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), total.alias("s")).where("a <> b")
+    shared = shared.select("key", "n", F.xxhash64("s", "n").alias("name"))
+    chunks = F.when(F.col("n") > set_texts, F.ceil(2 * F.col("n") / set_texts)).otherwise(1)
+    sets = keys.join(shared, "key").select("t", "n", "name").distinct().withColumn("chunks", chunks.cast("int"))
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("t"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sets = sets.select("t", F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other")).alias("name"))
+    sets, sets_at = store(sets, "sets")
+    remove(spark, filed_at, keys_at)
+    asked = sets.select("t").distinct().join(own.select("t", "fp"), "t")
+    found = texts.join(asked, "t").select("t", "fp", "text").dropDuplicates(["t"]).mapInArrow(cut, "t long, fp long, hashes binary")
+    found, found_at = store(found, "word-sets")
+    named = sets.join(found, "t").select("name", "fp", "hashes").repartition("name").sortWithinPartitions("name")
+    links, _ = store(_similar(named), "edges")
+    remove(spark, own_at, sets_at, found_at)
+    return links
+
+
 def simhash_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS,
+    jaccard_words: int | None = None, set_texts: int = SET_TEXTS,
+) -> DataFrame:
     """One row per row of docs: id, fp (signed long), fingerprint (hex), component_id, label.
 
     component_id is the least id among the documents reachable over links of at
-    most ``radius`` differing bits, the document itself included. Null and empty
+    most ``radius`` differing bits, the document itself included; with
+    ``jaccard_words``, links of 0.8 or more in Jaccard similarity over shingles
+    of so many words count as well. Null and empty
     texts, and texts without a word, have fingerprint 0, which links like any
     other. A null id never names a component: a group without any other id has
     a null component_id. label, a fingerprint of the component, names it also
@@ -182,8 +294,15 @@ def simhash_groups(
     own = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp")
     rows, _ = store(own, "fingerprints")
     least, _ = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    labels = connected_components(fingerprint_links(least.select("fp"), radius, blocks, bucket_rows))
-    named = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    links = fingerprint_links(least.select("fp"), radius, blocks, bucket_rows)
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+    named = labelled(connected_components(links))
+    if jaccard_words:
+        similar = jaccard_links(docs.select(F.col(text_col).alias("text")), named.select("fp", "label"), jaccard_words, set_texts)
+        named = labelled(connected_components(links.unionByName(similar)))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
     found = named.join(component, "label").select("fp", "label", "component_id")
     return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label")

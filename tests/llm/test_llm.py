@@ -99,6 +99,38 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(tuple, got), key=str) == sorted({(None, said[0]), (None, said[1]), (None, said[2]), (1, said[3]), (1, said[4])}, key=str)
 
 
+def word_likeness(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]), len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("options", [{}, {"set_texts": 4}])
+def test_near_copies_by_jaccard(spark, options):
+    random.seed(31)
+    said = lambda n: [f"w{random.randint(0, 3000)}" for _ in range(n)]
+    rows = [(900, None), (901, ""), (902, "lone Text"), (903, "lone text"), (904, "one two three four five"), (905, "one two three four six")]
+    for i in range(40):
+        base = said(150)
+        for j in range(4):
+            for _ in range(random.randint(0, 2)):
+                base[random.randrange(150)] = said(1)[0]
+            rows.append((10 * i + j, " ".join(base)))
+    prints = [slow_simhash(t) for _, t in rows]
+
+    def linked(i, j):
+        both, either = word_likeness(rows[i][1] or "", rows[j][1] or "")
+        return (prints[i] ^ prints[j]).bit_count() <= 4 or 10 * both >= 8 * either
+
+    group, least = components(len(rows), linked), {}
+    for (i, t), g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, (i, t)), (i, t), key=lambda x: x[0])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash_dedup.keep_one_per_group(table, jaccard_words=5, **options).collect()))
+    assert got == sorted(least.values())
+    assert len(got) < simhash_dedup.keep_one_per_group(table).count()
+    assert sorted(map(tuple, corpus_pipeline.near_copy_stage(spark, table, DATA).collect())) == got
+
+
 def slow_cut(rows):
     first, out = {}, []
     order = lambda i: i if i is not None else suffix_dedup.NO_ID
