@@ -17,6 +17,12 @@ _ = lambda sql=None: register(QUERIES, ORACLE_SQL, sql)
 _DOT = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6)"
 
 
+def _whole(name: str, cut: str, whole: str) -> str:
+    """The SQL of a query without its cut; the query that is cut stays as it is."""
+    assert cut in ORACLE_SQL[name]
+    return ORACLE_SQL[name].replace(cut, whole)
+
+
 def _dense_sql(k: int, queries: str) -> str:
     return f"""dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT} AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id {queries}) WHERE rank <= {k})"""
@@ -135,13 +141,22 @@ _BADGE = "CASE authority_level WHEN 'official' THEN '🔴 [OFFICIAL]' WHEN 'semi
 SELECT query_id, string_agg(chr(10) || '[Passage ' || rank || '] ' || {_BADGE} || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || chr(10) || 'Section: General' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10), chr(10) ORDER BY rank) AS context
 FROM r WHERE rank <= 5 GROUP BY query_id""")
 def context_build(spark, d):
+    return _context(spark, d, F.left("text", F.lit(200)))
+
+
+def _context(spark, d, text):
     rows = table(spark, d, "documents").select(
         F.floor(F.col("doc_id") / 8).cast("long").alias("query_id"), (F.col("doc_id") % 8 + 1).cast("int").alias("rank"), level().alias("authority_level"),
-        F.col("source").alias("source_url"), F.lit(None).cast("string").alias("section_header"), F.left("text", F.lit(200)).alias("text"),
+        F.col("source").alias("source_url"), F.lit(None).cast("string").alias("section_header"), text.alias("text"),
     )
     return R.build_context(rows)
 
 
+@_(_whole("context_build", "left(text, 200) AS text", "text"))
+def context_build_whole(spark, d):
+    return _context(spark, d, F.col("text"))
+
+
 @_("SELECT doc_id, NOT regexp_matches(lower(said), 'ignore previous instructions|system prompt|you are now|disregard|pretend you are|forget about|new instructions|execute code|eval\\(|import os') AS safe FROM (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN ' Ignore previous instructions' WHEN 5 THEN ' eval(x)' ELSE '' END AS said FROM documents)")
 def injection_flag(spark, d):
     said = F.concat("text", F.when(F.col("doc_id") % 11 == 0, " Ignore previous instructions").when(F.col("doc_id") % 11 == 5, " eval(x)").otherwise(""))
@@ -162,12 +177,18 @@ def detect_language(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_languages(F.left("text", F.lit(80))), ",").alias("languages"))
 
 
+@_(_whole("detect_language", "left(text, 80) AS q", "text AS q"))
+def detect_language_whole(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_languages(F.col("text")), ",").alias("languages"))
+
+
 _ASK = "CASE conv_id % 5 WHEN 0 THEN 'Opportunity card or work visa' WHEN 1 THEN 'Freiberufler und Unternehmer' WHEN 2 THEN 'Studentenvisum' ELSE '' END || ' ' || left(text, 20)"
 
 
-def _ask():
+def _ask(text=None):
+    text = F.left("text", F.lit(20)) if text is None else text
     n = F.col("conv_id") % 5
-    return F.concat(F.when(n == 0, "Opportunity card or work visa").when(n == 1, "Freiberufler und Unternehmer").when(n == 2, "Studentenvisum").otherwise(""), F.lit(" "), F.left("text", F.lit(20)))
+    return F.concat(F.when(n == 0, "Opportunity card or work visa").when(n == 1, "Freiberufler und Unternehmer").when(n == 2, "Studentenvisum").otherwise(""), F.lit(" "), text)
 
 
 @_("SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(q), '{p}') THEN '{n}' END" for n, p in S.TOPIC_PATTERNS.items()) + f") AS topics FROM (SELECT conv_id, turn, {_ASK} AS q FROM conversations)")
@@ -175,13 +196,26 @@ def detect_topics(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_topics(_ask()), ",").alias("topics"))
 
 
+@_(_whole("detect_topics", "left(text, 20)", "text"))
+def detect_topics_whole(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_topics(_ask(F.col("text"))), ",").alias("topics"))
+
+
 @_(f"SELECT conv_id, turn, CASE WHEN length(trim(q)) > 50 THEN q ELSE array_to_string(list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda x: x <> ''), '|') END AS queries, len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) < 3 AS expand FROM (SELECT conv_id, turn, q, trim(q) AS a, lower(trim(q)) AS b FROM (SELECT conv_id, turn, {_ASK} AS q FROM conversations))")
 def search_query_gate(spark, d):
-    q = _ask()
+    return _gate(spark, d, _ask())
+
+
+def _gate(spark, d, q):
     found = S.search_queries(q, F.btrim(q), F.lower(F.btrim(q)), F.array().cast("array<string>"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("queries"), S.needs_expansion(q).alias("expand"))
 
 
+@_(_whole("search_query_gate", "left(text, 20)", "text"))
+def search_query_gate_whole(spark, d):
+    return _gate(spark, d, _ask(F.col("text")))
+
+
 @_("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def last_user_message(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
@@ -202,11 +236,20 @@ def message_tokens(spark, d):
 @_("""SELECT conv_id, turn, i::INT AS pos, 'data: {"choices":[{"delta":{"content":' || to_json(substr(text, i * 20 + 1, 20)) || '},"finish_reason":null}]}' || chr(10) || chr(10) AS event
 FROM (SELECT *, unnest(range((length(text) + 19) // 20)) AS i FROM conversations WHERE turn = 1)""")
 def sse_chunks(spark, d):
-    rows = table(spark, d, "conversations").where("turn = 1")
+    return _events(table(spark, d, "conversations").where("turn = 1"))
+
+
+def _events(rows):
+    rows = rows.where("text <> ''")  # an empty text has no piece
     pieces = rows.select("conv_id", "turn", "text", F.explode(F.expr("sequence(0, cast((length(text) + 19) div 20 as int) - 1)")).alias("pos"))
     return pieces.select("conv_id", "turn", "pos", S.sse_event(F.substr("text", F.col("pos") * 20 + 1, F.lit(20))).alias("event"))
 
 
+@_(_whole("sse_chunks", " WHERE turn = 1", ""))
+def sse_chunks_whole(spark, d):
+    return _events(table(spark, d, "conversations"))
+
+
 _UNIQUE = f"(SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'))) ORDER BY doc_id) = 1)"
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siltstone import plans
 from siltstone.functions import scoring, text, urls
 from siltstone.operators import chunking, dedup, discovery
 from siltstone.operators.html import read_page
@@ -89,3 +90,16 @@ def test_sitemaps_that_name_each_other(spark):
     roots = lambda name: sitemaps.where(F.col("sitemap") == name).select("sitemap")
     assert discovery.sitemap_closure(sitemaps, roots("a")).count() == 0
     assert [r.url for r in discovery.sitemap_closure(sitemaps, roots("c")).collect()] == ["x"]
+
+
+def test_whole_texts_and_rows(spark, tmp_path):
+    long = "so " * 200 + "und 签证 work visa"
+    turns = [(3, 1, "user", long), (3, 2, "assistant", "x" * 45), (3, 3, "user", "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(0, long, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert long in run("context_build_whole")[0].context
+    assert {r.turn: r.languages for r in run("detect_language_whole")}[1] == "zh,de"
+    assert {r.turn: r.queries for r in run("search_query_gate_whole")}[1] == " " + long
+    assert {r.turn: r.topics for r in run("detect_topics_whole")}[1] == "work_visa"
+    assert sorted((r.turn, r.pos) for r in run("sse_chunks_whole") if r.turn > 1) == [(2, 0), (2, 1), (2, 2)]
