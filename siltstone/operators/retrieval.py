@@ -12,7 +12,7 @@ from ..functions.text import terms
 TOP_K, RERANKED, CONTEXT_ROWS = 20, 10, 5
 DENSE_WEIGHT, SPARSE_WEIGHT = 0.7, 0.3
 K1, B = 1.2, 0.75
-#: Query batches up to this many rows are sent to every task; larger ones are cut into blocks by the caller.
+#: Query batches up to this many rows are sent to every task; larger ones are cut into blocks of about half as many.
 MOST_BROADCAST_QUERIES = 4096
 
 
@@ -26,12 +26,15 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", score: str = "scor
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, digits: int = 6) -> DataFrame:
-    """Exact search: (query_id, id, score, rank). vectors(id, vector) are read once; queries(query_id, query) are a bounded block."""
+    """Exact search: (query_id, id, score, rank). vectors(id, vector) are read once for each block of queries(query_id, query)."""
     n = queries.count()
-    if n > MOST_BROADCAST_QUERIES:
-        raise ValueError(f"{n} queries; at most {MOST_BROADCAST_QUERIES} a block")
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("vector"), F.col("query")), digits).alias("score"))
-    return top_k(scored, k)
+    blocks = 1 if n <= MOST_BROADCAST_QUERIES else -(-2 * n // MOST_BROADCAST_QUERIES)
+    found = None
+    for i in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = vectors.crossJoin(F.broadcast(block)).select("query_id", "id", F.round(dot(F.col("vector"), F.col("query")), digits).alias("score"))
+        found = top_k(scored, k) if found is None else found.unionByName(top_k(scored, k))
+    return found
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

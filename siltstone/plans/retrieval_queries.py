@@ -28,9 +28,11 @@ def _dense_sql(k: int, queries: str) -> str:
       row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id {queries}) WHERE rank <= {k})"""
 
 
-def _dense(spark, d, ids: list[int], k: int = R.TOP_K):
+def _dense(spark, d, ids: list[int] | None, k: int = R.TOP_K):
+    """The best k of all vectors for the vectors named; without names, for those whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    queries = e.where(F.col("vec_id").isin(ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = F.col("vec_id") % 20 == 0 if ids is None else F.col("vec_id").isin(ids)
+    queries = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k)
 
 
@@ -44,6 +46,11 @@ def dense_topk_multi(spark, d):
     return _dense(spark, d, [1, 5, 9, 33], 10)
 
 
+@_(f"WITH {_dense_sql(20, '% 20 = 0')} SELECT * FROM dense")
+def dense_topk_whole(spark, d):
+    return _dense(spark, d, None)
+
+
 #: Query texts: words that the generated documents hold.
 _QUERIES = [(1, "the and nterti"), (2, "der einheit keit"), (3, "tion que la")]
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in _QUERIES)
@@ -61,11 +68,26 @@ def _bm25(spark, docs, k: int = R.TOP_K):
     return R.bm25(docs, spark.createDataFrame(_QUERIES, "query_id int, query string"), k)
 
 
+#: Every twentieth document's text as a query.
+_WANTED = "wanted AS (SELECT DISTINCT id AS query_id, term FROM tf WHERE id % 20 = 0)"
+_BM25_WHOLE = "\n".join(_WANTED + "," if line.startswith("wanted AS") else line for line in _BM25.replace("{docs}", "documents").split("\n"))
+
+
+def _bm25_whole(spark, d):
+    docs = table(spark, d, "documents")
+    return R.bm25(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+
+
 @_(f"WITH {_BM25.replace('{docs}', 'documents')} SELECT * FROM bm")
 def bm25_topk(spark, d):
     return _bm25(spark, table(spark, d, "documents"))
 
 
+@_(f"WITH {_BM25_WHOLE} SELECT * FROM bm")
+def bm25_topk_whole(spark, d):
+    return _bm25_whole(spark, d)
+
+
 @_(r"SELECT (SELECT count(*) FROM documents) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM documents), 6) AS avgdl FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL)")
 def corpus_statistics(spark, d):
     docs = table(spark, d, "documents")
@@ -86,12 +108,22 @@ def hybrid_fusion(spark, d):
     return R.fuse(dense, _bm25(spark, table(spark, d, "documents")))
 
 
+@_(f"WITH {_dense_sql(20, '% 20 = 0')}, {_BM25_WHOLE}, {_FUSED} SELECT * FROM top")
+def hybrid_fusion_whole(spark, d):
+    return R.fuse(_dense(spark, d, None), _bm25_whole(spark, d))
+
+
 @_(f"WITH {_dense_sql(20, 'IN (1, 2, 3)')}, {_BM25.replace('{docs}', 'documents')}, r AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM r) WHERE rank <= 20")
 def rank_fusion(spark, d):
     dense = _dense(spark, d, [1, 2, 3]).withColumn("query_id", F.col("query_id").cast("int"))
     return R.reciprocal_rank_fusion([dense, _bm25(spark, table(spark, d, "documents"))])
 
 
+@_(_whole("rank_fusion", "IN (1, 2, 3)", "% 20 = 0").replace(_BM25.replace("{docs}", "documents"), _BM25_WHOLE))
+def rank_fusion_whole(spark, d):
+    return R.reciprocal_rank_fusion([_dense(spark, d, None), _bm25_whole(spark, d)])
+
+
 _FACTOR = f"(1 - least(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({FETCHED_SQL})) / 86400000000), 365) / 365.0 * 0.1)"
 _BOOST = f"(CASE {LEVEL_SQL} WHEN 'official' THEN 1.2 WHEN 'semi_official' THEN 1.0 ELSE 0.8 END)"
 
@@ -118,8 +150,16 @@ SELECT group_id, id, score, row_number() OVER (PARTITION BY group_id ORDER BY sc
 
 @_(_MERGED)
 def multi_query_merge(spark, d):
-    hits = _dense(spark, d, [1, 5, 9, 33]).withColumn("group_id", F.col("query_id") % 4).withColumnRenamed("query_id", "query_pos")
-    return R.merge_queries(hits)
+    return _merge(_dense(spark, d, [1, 5, 9, 33]), F.col("query_id") % 4)
+
+
+def _merge(hits, group):
+    return R.merge_queries(hits.withColumn("group_id", group).withColumnRenamed("query_id", "query_pos"))
+
+
+@_(_whole("multi_query_merge", "IN (1, 5, 9, 33)", "% 20 = 0").replace("query_id % 4", "query_id // 80"))
+def multi_query_merge_whole(spark, d):
+    return _merge(_dense(spark, d, None), F.floor(F.col("query_id") / 80).cast("long"))
 
 
 @_(f"WITH {_dense_sql(10, 'IN (1, 5)')} SELECT query_id, id, rank FROM dense")
@@ -129,11 +169,24 @@ def rerank_mock(spark, d):
 
 @_(f"WITH {_dense_sql(20, 'IN (1, 5)')}, s AS (SELECT query_id, id, (((rank - 1) * 7) % 20)::DOUBLE / 20 AS score FROM dense) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 10")
 def rerank_map(spark, d):
-    hits = _dense(spark, d, [1, 5])
+    return _rerank(_dense(spark, d, [1, 5]))
+
+
+def _rerank(hits):
     answers = hits.select("query_id", (F.col("rank") - 1).alias("idx"), (((F.col("rank") - 1) * 7) % 20 / 20).alias("rerank_score"))
     return R.rerank(hits, answers).select("query_id", "id", "score", "rank")
 
 
+@_(_whole("rerank_mock", "IN (1, 5)", "% 20 = 0"))
+def rerank_mock_whole(spark, d):
+    return _dense(spark, d, None).where(F.col("rank") <= R.RERANKED).select("query_id", "id", "rank")
+
+
+@_(_whole("rerank_map", "IN (1, 5)", "% 20 = 0"))
+def rerank_map_whole(spark, d):
+    return _rerank(_dense(spark, d, None))
+
+
 _BADGE = "CASE authority_level WHEN 'official' THEN '🔴 [OFFICIAL]' WHEN 'semi_official' THEN '🟡 [SEMI-OFFICIAL]' WHEN 'third_party' THEN '⚪ [THIRD-PARTY]' ELSE '' END"
 
 

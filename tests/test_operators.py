@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone import plans
 from siltstone.functions import scoring, text, urls
-from siltstone.operators import chunking, dedup, discovery
+from siltstone.operators import chunking, dedup, discovery, retrieval
 from siltstone.operators.html import read_page
 from siltstone.streaming.ingest import ingest_available
 
@@ -103,3 +103,23 @@ def test_whole_texts_and_rows(spark, tmp_path):
     assert {r.turn: r.queries for r in run("search_query_gate_whole")}[1] == " " + long
     assert {r.turn: r.topics for r in run("detect_topics_whole")}[1] == "work_visa"
     assert sorted((r.turn, r.pos) for r in run("sse_chunks_whole") if r.turn > 1) == [(2, 0), (2, 1), (2, 2)]
+
+
+def test_dense_search_goes_through_blocks(spark, monkeypatch):
+    rows = [(i, [float((i * 7 + j * j) % 11) for j in range(8)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = vectors.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    score = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, i, r + 1) for q, a in rows if q % 2 == 0 for r, (_, i) in enumerate(sorted((-score(a, b), i) for i, b in rows)[:5])}
+    for most in (4096, 8):
+        monkeypatch.setattr(retrieval, "MOST_BROADCAST_QUERIES", most)
+        assert {(r.query_id, r.id, r["rank"]) for r in retrieval.dense_top_k(vectors, queries, 5).collect()} == want
+
+
+def test_searches_ask_every_twentieth_row(spark):
+    data = "/root/testdata/sf0.001"
+    asked = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    for name in ("dense_topk_whole", "rerank_mock_whole", "rerank_map_whole"):
+        assert {r.query_id for r in plans.QUERIES[name](spark, data).collect()} == asked
+    texts = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 20 = 0").collect()}
+    assert {r.query_id for r in plans.QUERIES["bm25_topk_whole"](spark, data).collect()} == texts
