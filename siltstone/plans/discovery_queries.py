@@ -109,6 +109,33 @@ def bfs_depth(spark, d):
     return D.breadth_first(edges, p.where("page_id IN (0, 10)").select(F.col("page_id").alias("node")), 4)
 
 
+#: More levels than any walk needs: along 2 p and 2 p + 1 modulo n, every one of n pages is within log2(n) + 1 of any other.
+_LEVELS = 64
+
+
+@_(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), edges AS (SELECT page_id AS src, page_id * 2 % n AS dst FROM pages, n UNION SELECT page_id, (page_id * 2 + 1) % n FROM pages, n),
+walk(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id IN (0, 10) UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {_LEVELS})
+SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
+def bfs_depth_whole(spark, d):
+    p = _pages(spark, d).select(F.col("page_id").alias("src"))
+    counted = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
+    edges = counted.select("src", F.explode(F.array(F.col("src") * 2 % F.col("n"), (F.col("src") * 2 + 1) % F.col("n"))).alias("dst")).distinct()
+    return D.breadth_first(edges, p.where("src IN (0, 10)").select(F.col("src").alias("node")), _LEVELS)
+
+
+_CANON = "CASE WHEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '/' THEN regexp_replace(url, '[?#].*$', '') ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') END"
+
+
+@_(f"""WITH RECURSIVE {_LINKS}, edges AS (SELECT DISTINCT {_CANON} AS src, link AS dst FROM canonical),
+walk(node, depth) AS (SELECT DISTINCT {_CANON}, 0 FROM pages WHERE page_id % 20 = 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4)
+SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
+def bfs_links_whole(spark, d):
+    p = _pages(spark, d)
+    own = p.select("page_id", U.canonical_url(F.col("url")).alias("src"))
+    edges = D.page_links(p).join(own, "page_id").select("src", F.col("link").alias("dst")).distinct()
+    return D.breadth_first(edges, own.where("page_id % 20 = 0").select(F.col("src").alias("node")), 4)
+
+
 _ROBOTS = "'User-agent: *' || chr(10) || 'Disallow: /private' || (page_id % 5) || chr(10) || 'User-agent: other' || chr(10) || 'Disallow: /x' || chr(10) || 'Sitemap: https://s.example/' || page_id || '.xml' || chr(10) || 'user-agent: SiltstoneBot' || chr(10) || 'disallow:  /bot '"
 
 

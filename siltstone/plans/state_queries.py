@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import canonical_hash, content_hash, point_id
 from ..operators import dedup
 from ..operators.evaluation import cases, metric_means
-from ._registry import LEVEL_SQL, level, register, table
+from ._registry import LEVEL_SQL, WS, level, register, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -28,6 +28,12 @@ def upsert_latest(spark, d):
     return dedup.latest_wins(rows, ["point_id"], F.col("doc_id"))
 
 
+@_(f"SELECT ('0x' || substr(sha256(trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'))), 1, 15))::BIGINT AS point_id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY ALL")
+def upsert_latest_whole(spark, d):
+    rows = table(spark, d, "documents").select(point_id(canonical_hash(F.col("text"))).alias("point_id"), "doc_id", "source")
+    return dedup.latest_wins(rows, ["point_id"], F.col("doc_id"))
+
+
 @_("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_by_doc(spark, d):
     return dedup.not_known(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").where("toxic = 1"), "doc_id")

@@ -123,3 +123,21 @@ def test_searches_ask_every_twentieth_row(spark):
         assert {r.query_id for r in plans.QUERIES[name](spark, data).collect()} == asked
     texts = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 20 = 0").collect()}
     assert {r.query_id for r in plans.QUERIES["bm25_topk_whole"](spark, data).collect()} == texts
+
+
+def test_walks_and_points_grow_with_the_table(spark, tmp_path):
+    url = lambda i: f"https://a.example/{i}"
+    pages = [(i, url(i), f'<a href="/{i + 1}">next</a><a href="/0">back</a>') for i in range(400)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, f"text {i % 350}", "s") for i in range(400)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    depth, todo = {0: 0, 10: 0}, [0, 10]
+    for n in todo:
+        for m in (n * 2 % 400, (n * 2 + 1) % 400):
+            if m not in depth:
+                depth[m] = depth[n] + 1
+                todo.append(m)
+    assert {r.node: r.depth for r in run("bfs_depth_whole")} == depth and len(depth) == 400
+    want = {url(i): i % 20 for i in range(400) if i % 20 <= 4}
+    assert {r.node: r.depth for r in run("bfs_links_whole")} == want
+    assert sorted(r.doc_id for r in run("upsert_latest_whole")) == list(range(50, 400))
