@@ -8,10 +8,11 @@ whose hash occurs again need sorting, and those with one hash meet in one task.
    texts are gathered into packs of bounded size.
 2. Packs send the distinct hashes of their anchors; hashes seen again come back.
 3. Packs send the suffixes at those anchors with the bytes to their left.
-4. Suffixes are sorted deep-shallow: by hash and by their first bytes in a
-   vectorised multikey sort; runs that agree to that depth without being equal
-   are ordered by blind tries, which also give the common prefix lengths. A
-   string belongs to the smallest document in the run that shares its bytes.
+4. A vectorised sort by hash, place of the anchor, length and the first bytes
+   sent (which lie left of the anchor) gathers equal contexts; it stands in for
+   a multikey sort and does not order suffixes. Groups of one hash whose
+   contexts differ are ordered whole by blind tries, which also give the common
+   prefix lengths. A string belongs to the smallest document in the run that shares its bytes.
 5. Packs delete what was found and report.
 
 An anchor with more than ``hot`` occurrences would gather a large group. Packs
@@ -326,7 +327,7 @@ def sort_and_bound(key: np.ndarray, ids: np.ndarray, lead: np.ndarray, count: np
     Runs follow each other; a run ends where the item's next run begins, or at its last string.
     """
     words = np.ascontiguousarray(text[:, :SHALLOW_BYTES]).view(">u8")
-    # The shallow part, a multikey sort by hash, place of the anchor and first bytes; then, to tell equal from different, all bytes.
+    # By hash, place of the anchor, length and the first bytes of the context; then, to tell equal from different, all bytes.
     order = np.lexsort((*(words[:, j] for j in reversed(range(words.shape[1]))), count, lead, key))
     k = key[order]
     cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
