@@ -91,31 +91,84 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node in edges(u, v); label: the least node reachable.
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of the components of the edges u, v; a root is its component's least node and not listed.
 
-    Alternating large-star and small-star rounds: each round is two joins and
-    two aggregations that combine on the map side, the number of rounds grows
-    with the logarithm of the longest path, and no component is ever gathered
-    in one task. Self-loops and nulls are left out.
+    Union-find on arrays: roots that an open edge joins are hooked to the lesser
+    one, then all paths are compressed.
+    """
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        open_ = root[a] != root[b]
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    child = root != np.arange(len(nodes))
+    return nodes[child], nodes[root[child]]
+
+
+def _forests(edges: DataFrame, most: int) -> DataFrame:
+    """Edges (u, v) of a spanning forest of each partition's edges(u, v), at most ``most`` of them held at a time; v is the least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def row() -> pa.RecordBatch:
+            u, v = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(np.asarray(c) for c in batch.columns))
+            n += batch.num_rows
+            if n >= most:
+                yield row()
+                held, n = [], 0
+        if held:
+            yield row()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def connected_components(edges: DataFrame, task_edges: int = 1 << 21) -> DataFrame:
+    """(node, label) of every node in edges(u, v), both longs; label: the least node reachable.
+
+    Every partition first reduces its own edges to a forest by union-find.
+    Forests are merged by rounds of large-star and small-star steps: joins and
+    aggregations that combine on the map side, so that no component is gathered
+    in one task; their number grows with the logarithm of the longest path. As
+    soon as all forests together have at most ``task_edges`` edges (32 MB), one
+    task ends the work by union-find. Self-loops and nulls are left out.
     """
     spark = edges.sparkSession
-    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, path = store(pairs, "cc")
+    now, path = store(_forests(edges.where("u <> v").select("u", "v"), task_edges), "cc")
     mark = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (seen.n, seen.s) == mark or seen.n == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-            )
-        mark = (seen.n, seen.s)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        if seen.n <= task_edges:
+            now = _forests(now.coalesce(1), seen.n + 1)
+        elif (seen.n, seen.s) != mark:
+            mark = (seen.n, seen.s)
+            now = _star_round(now)
+        else:
+            break
         old = path
-        now, path = store(small, "cc")
+        now, path = store(now, "cc")
         remove(spark, old)
+        if seen.n <= task_edges:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _star_round(now: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges(u, v), v less than u."""
+    both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

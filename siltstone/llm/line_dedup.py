@@ -6,15 +6,21 @@ that comes first (least document id, then position) stays in place. 12 bands of
 4 rows find a pair at 0.8 with probability 0.998, one at 0.85 with 0.9999.
 
 1. Copies of whole texts are settled by digest; the others form packs.
-2. Each distinct line of a pack is filed under its band keys. A task sees keys
-   and line hashes only, and names the sets of lines that share a key; a set
-   that several bands find is named once. Sets over ``set_lines`` are cut into
-   chunks, and each two chunks form a set.
+2. Each distinct line of a pack is filed under its band keys. A task sees keys,
+   line hashes and line numbers only. It names the sets of different lines that
+   share a key, a set that several bands find by one name, and the copies of a
+   line in other packs.
 3. Packs send the lines named; within a set spanning stars of verified links
    are found, never all pairs.
-4. Components come from distributed rounds of star contraction.
-5. Packs send each distinct line's first place; what comes back says which
-   lines go.
+4. Components come from union-find in each partition and rounds that merge its
+   forests.
+5. Packs get the place where a shared line stays, and rewrite their texts.
+
+A key that more than ``set_lines`` different lines share is dealt into chunks,
+each line into one, and the chunks' first lines form a set of their own, level
+by level. Near variants of one line, the usual cause, are one component then.
+Only where a key's lines are still in different components do each two of its
+chunks form a set.
 """
 
 from __future__ import annotations
@@ -31,133 +37,212 @@ from pyspark.sql import functions as F
 from ._common import connected_components, mix64, partitions, remove, store
 from .suffix_dedup import NO_ID, PACK_BYTES, _opened, _packed, _split
 
-SHINGLE = 8
+SHINGLE = 8  # a power of two
 BANDS, ROWS = 12, 4
 TENTHS = 8  # similarity of 0.8 or more
 SET_LINES = 4096
+BUCKET_BYTES = 32 << 20
+FILED_ROWS = 1 << 20  # rows that a task holds before it sends them
+BLOCK = 1 << 16  # hashes worked on at a time, so that they stay in the processor's cache
+LINE_BITS = 31  # of a line's number: its pack's number, then its own in the pack
+FIRST_BAND = np.uint64(1 << 63)
 SPACE = " \t\n\x0b\x0c\r"
 
+#: An odd multiplier for each hash function.
+_ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32) | np.uint32(1)
 
-def line_id(line: str) -> bytes:
-    return xxhash.xxh128_digest(line.encode("utf-8", "surrogatepass"))
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """Scrambles unsigned 32-bit integers in place, one to one."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
 
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts): the hashed shingles of all lines, and where each line's begin.
+
+def _blocks(lines: list[str], size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of lines of about size characters."""
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+    first = 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, side="right")))
+        yield first, last
+        first = last
+
+
+def shingle_hashes(lines: list[str], kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): the hashed shingles of all lines, and where each line's begin. kind: uint64 or uint32.
 
     A line shorter than a shingle is padded and gives one.
     """
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
-    one = mix64(code.astype(np.uint64) + np.uint64(1))
-    base = 0x9E3779B97F4A7C15
-    for i in range(3):
-        one = one[: -(1 << i)] * np.uint64(pow(base, 2**i, 1 << 64)) + one[1 << i :]
+    one = (mix32 if kind is np.uint32 else mix64)(code.astype(kind) + kind(1))
+    width = 1
+    while width < SHINGLE:
+        one = one[:-width] * kind(pow(0x9E3779B97F4A7C15, width, 1 << 64) & np.iinfo(kind).max) + one[width:]
+        width *= 2
     inside = np.ones(len(code), bool)
     ends = np.cumsum(sizes)
     for k in range(1, SHINGLE):
         inside[ends - k] = False
-    return mix64(one[inside[: len(one)]]), ends - sizes - (SHINGLE - 1) * np.arange(len(sizes))
+    hashed = one[inside[: len(one)]]
+    return (mix32 if kind is np.uint32 else mix64)(hashed), ends - sizes - (SHINGLE - 1) * np.arange(len(sizes))
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """BANDS keys for each line, from BANDS * ROWS minima under as many hash functions."""
-    return set_keys(*shingle_hashes(lines)) if lines else np.empty((0, BANDS), np.uint64)
+    keys = [set_keys(*shingle_hashes(lines[a:b], np.uint32)) for a, b in _blocks(lines)]
+    return np.concatenate(keys) if keys else np.empty((0, BANDS), np.uint64)
 
 
 def set_keys(hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """BANDS keys for each set of hashes; starts: where each set begins, none empty."""
     keys = np.empty((len(starts), BANDS), np.uint64)
     ends = np.append(starts[1:], len(hashed))
-    seeds = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).astype(np.uint32)
-    low = hashed.astype(np.uint32)
+    low = hashed.astype(np.uint32, copy=False)
     first = 0
-    while first < len(starts):  # some sets at a time, so that their hashes stay in the processor's cache
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 16), side="right")))
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, side="right")))
         part, at = low[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
-        for b in range(BANDS):
-            key = np.full(last - first, b + 1, np.uint64)
-            for r in range(ROWS):
-                i = b * ROWS + r
-                least = np.minimum.reduceat((part ^ seeds[2 * i]) * (seeds[2 * i + 1] | np.uint32(1)), at)
-                key = mix64(key * np.uint64(31) + least)
-            keys[first:last, b] = key
+        turned, least = np.empty_like(part), np.empty((BANDS * ROWS, last - first), np.uint32)
+        for odd, row in zip(_ODD, least, strict=True):
+            np.multiply(part, odd, out=turned)
+            np.minimum.reduceat(turned, at, out=row)
+        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], last - first, axis=1)
+        for r in range(ROWS):
+            key = mix64(key * np.uint64(31) + least[r::ROWS])
+        keys[first:last] = key.T
         first = last
     return keys
 
 
-def _lines_of(pack: dict) -> tuple[list[list[str]], list[str]]:
-    """A pack's documents as lines, and its distinct lines that are not blank, in order."""
+def _lines_of(pack: dict) -> tuple[list[list[str]], dict[str, tuple[int, int]]]:
+    """A pack's documents as lines, and the first place (document order, position) of each distinct line that is not blank."""
     data, _ = _opened(pack["blob"], pack["sizes"])
     ends = np.cumsum(pack["sizes"]).tolist()
     raw = data.tobytes()
     docs = [raw[b - n : b].decode("utf-8", "surrogatepass").split("\n") for b, n in zip(ends, pack["sizes"], strict=True)]
-    return docs, list(dict.fromkeys(x for lines in docs for x in lines if x.strip(SPACE)))
+    first: dict[str, tuple[int, int]] = {}
+    for d in sorted(range(len(docs)), key=pack["ids"].__getitem__):
+        order = pack["ids"][d]
+        for at, line in enumerate(docs[d]):
+            if line not in first and line.strip(SPACE):
+                first[line] = (order, at)
+    return docs, first
 
 
 def _filed(packs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, pack, rows): band key, line hash and number in the pack of each distinct line, for each band."""
+    """(bucket, rows): band key, line number and line hash of each distinct line of a pack, for each band; first bands are marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            key, node, said = (np.concatenate(x) for x in zip(*held, strict=True))
+            out = [(b, key[at].tobytes() + node[at].tobytes() + said[at].tobytes()) for b, at in _split(key % np.uint64(buckets))]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "rows"])
+
         for batch in batches:
             for pack in batch.to_pylist():
-                lines = _lines_of(pack)[1]
-                keys = band_keys(lines).ravel()
-                ids = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
-                rows = np.empty(len(keys), [("key", "<u8"), ("id", "<u8"), ("at", "<u4")])
-                rows["key"], rows["id"], rows["at"] = keys, np.repeat(ids, BANDS), np.repeat(np.arange(len(lines), dtype=np.uint32), BANDS)
-                out = [(b, pack["pack"], rows[at].tobytes()) for b, at in _split(keys % np.uint64(buckets))]
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "pack", "rows"])
+                lines = list(_lines_of(pack)[1])
+                if not lines:
+                    continue
+                keys = band_keys(lines) & ~FIRST_BAND
+                keys[:, 0] |= FIRST_BAND
+                node = np.uint64(pack["pack"] << LINE_BITS) + np.arange(len(lines), dtype=np.uint64)
+                said = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+                held.append((keys.ravel(), np.repeat(node, BANDS), np.repeat(said, BANDS)))
+                n += keys.size
+                if n >= FILED_ROWS:
+                    yield rows()
+                    held, n = [], 0
+        if held:
+            yield rows()
 
-    return packs.select("pack", "sizes", "blob").mapInArrow(run, "bucket long, pack long, rows binary")
+    return packs.select("pack", "ids", "sizes", "blob").mapInArrow(run, "bucket long, rows binary")
+
+
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Marks at least all of the keys that occur twice or more, few others."""
+    bits = np.uint64(max(1, len(key).bit_length()))
+    slot = (key << np.uint64(1) >> (np.uint64(64) - bits)).astype(np.int64)
+    return np.bincount(slot, minlength=1)[slot] > 1
+
+
+def _dealt(name: np.uint64, nodes: np.ndarray, spread: np.ndarray, set_lines: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(names, nodes): the nodes in chunks, each in one; of each chunk the first again, until these fit in one set."""
+    while len(nodes) > set_lines:
+        chunk = spread % np.uint64(-(-len(nodes) // set_lines))
+        name = mix64(np.array([name]) + np.uint64(1))[0]
+        yield mix64(name + chunk + np.uint64(1)), nodes
+        first = np.unique(chunk, return_index=True)[1]
+        nodes, spread = nodes[first], mix64(spread[first])
+    yield np.full(len(nodes), name), nodes
 
 
 def _sets(filed: DataFrame, set_lines: int) -> DataFrame:
-    """(name, pack, at): sets of different lines that share a band key; a line by its first pack."""
+    """(kind, name, node, other): what shares a band key.
+
+    kind 0: the node, a line by its first pack, belongs to the set. 1: the node
+    is a copy of the line other. 2: the node belongs to the key's lines, which
+    are other in number, too many for a set.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        kind = [("key", "<u8"), ("id", "<u8"), ("at", "<u4")]
-        raw = [np.frombuffer(x, kind) for x in table["rows"].to_pylist()]
-        rows = np.concatenate(raw)
-        pack = np.repeat(table["pack"].to_numpy(), [len(r) for r in raw])
-        key, ids, at = (np.ascontiguousarray(rows[k]) for k in ("key", "id", "at"))
-        order = np.lexsort((at, pack, ids, key))
-        key, ids, at, pack = key[order], ids[order], at[order], pack[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # a line once for each key
-        key, ids, at, pack = key[new], ids[new], at[new], pack[new]
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        raw = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in table["rows"].to_pylist()]
+        key, node, said = (np.concatenate([r[i] for r in raw]) for i in range(3))
+        again = _repeated(key)
+        key, node, said = key[again], node[again], said[again]
+        order = np.lexsort((node, said, key))
+        key, node, said = key[order], node[order], said[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (said[1:] != said[:-1])  # a line once for each key
+        first = node[new][np.cumsum(new) - 1] if len(node) else node
+        copied = np.zeros(len(key), bool)
+        copied[:-1] = ~new[1:]
+        copied = (copied | ~new) & (key >= FIRST_BAND)
+        parts = [(np.full(int(copied.sum()), 1), np.zeros(int(copied.sum()), np.uint64), node[copied], first[copied])]
+        key, node = key[new], node[new]
+        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         sizes = np.diff(np.append(cuts, len(key)))
-        spread = mix64(ids)
-        name = np.repeat(mix64(np.add.reduceat(spread, cuts) + sizes.astype(np.uint64)), sizes)
-        size = np.repeat(sizes, sizes)
+        spread = mix64(node)
+        names = mix64(np.add.reduceat(spread, cuts) + sizes.astype(np.uint64)) if len(cuts) else spread
+        name, size = np.repeat(names, sizes), np.repeat(sizes, sizes)
         few = (size > 1) & (size <= set_lines)
-        parts = [(name[few], pack[few], at[few])]
-        for a, n in zip(cuts[sizes > set_lines], sizes[sizes > set_lines], strict=True):
-            chunks = -(-2 * n // set_lines)
-            own = slice(a, a + n)
-            chunk = spread[own] % np.uint64(chunks)
-            for other in range(chunks):
-                i, j = np.minimum(chunk, np.uint64(other)), np.maximum(chunk, np.uint64(other))
-                parts.append((mix64(name[own] + i * np.uint64(1 << 32) + j + np.uint64(1)), pack[own], at[own]))
-        name, pack, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.table({"name": name.view(np.int64), "pack": pack.astype(np.int64), "at": at.astype(np.int64)})
+        parts.append((np.zeros(int(few.sum()), int), name[few], node[few], node[few]))
+        for g in np.flatnonzero(sizes > set_lines):
+            own = slice(cuts[g], cuts[g] + sizes[g])
+            for called, members in _dealt(names[g], node[own], spread[own], set_lines):
+                parts.append((np.zeros(len(members), int), called, members, members))
+            parts.append((np.full(sizes[g], 2), name[own], node[own], np.full(sizes[g], sizes[g], np.uint64)))
+        kind, name, node, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"kind": pa.array(kind, pa.int32()), "name": name.view(np.int64), "node": node.astype(np.int64), "other": other.astype(np.int64)})
 
-    return filed.groupBy("bucket").applyInArrow(run, "name long, pack long, at long").distinct()
+    return filed.groupBy("bucket").applyInArrow(run, "kind int, name long, node long, other long")
 
 
-def _named_lines(packs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(name, line) of all that the sets name."""
+def _named_lines(packs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(name, node, other, line, doc, at) of asked(kind, name, node, other): the first place of each, and the lines of sets."""
+    schema = "name long, node long, other long, line string, doc long, at long"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    names = ["name", "node", "other", "line", "doc", "at"]
 
     def run(pack: pa.Table, asked: pa.Table) -> pa.Table:
         if not (pack.num_rows and asked.num_rows):
-            return pa.table({"name": pa.array([], pa.int64()), "line": pa.array([], pa.string())})
-        lines = pa.array(_lines_of(pack.to_pylist()[0])[1], pa.string())
-        return pa.table({"name": asked["name"], "line": lines.take(asked["at"].combine_chunks())})
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        rows = np.unique(np.stack([asked[c].to_numpy() for c in ("kind", "name", "node", "other")], axis=1), axis=0)  # a set that several bands found
+        first = _lines_of(pack.to_pylist()[0])[1]
+        at = rows[:, 2] & ((1 << LINE_BITS) - 1)
+        lines = pa.array(list(first), pa.string()).take(pa.array(at, mask=rows[:, 0] != 0))
+        place = np.array(list(first.values()), np.int64)[at]
+        return pa.table([pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), lines, pa.array(place[:, 0]), pa.array(place[:, 1])], names=names)
 
-    return packs.select("pack", "sizes", "blob").groupBy("pack").cogroup(sets.groupBy("pack")).applyInArrow(run, "name long, line string")
+    asked = asked.withColumn("pack", F.shiftright("node", LINE_BITS))
+    return packs.select("pack", "ids", "sizes", "blob").groupBy("pack").cogroup(asked.groupBy("pack")).applyInArrow(run, schema)
 
 
 def similar_stars(lines: list[str], tenths: int = TENTHS) -> Iterator[tuple[int, int]]:
@@ -198,6 +283,11 @@ def set_stars(hashed: np.ndarray, starts: np.ndarray, tenths: int = TENTHS) -> I
 
 def similar_pairs(lines: list[str], tenths: int = TENTHS) -> np.ndarray:
     """For each of the pairs lines[0], lines[1]; lines[2], lines[3]; ... whether they are similar."""
+    found = [_similar_block(lines[2 * a : 2 * b], tenths) for a, b in _blocks([x + y for x, y in zip(lines[::2], lines[1::2], strict=True)], BLOCK // 2)]
+    return np.concatenate(found) if found else np.empty(0, bool)
+
+
+def _similar_block(lines: list[str], tenths: int) -> np.ndarray:
     hashed, starts = shingle_hashes(lines)
     owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(starts, len(hashed))))
     # pair, hash and side in one integer: one sort puts what both sides share next to each other
@@ -210,103 +300,78 @@ def similar_pairs(lines: list[str], tenths: int = TENTHS) -> np.ndarray:
 
 
 def _links(named: DataFrame) -> DataFrame:
-    """(u, v): ids of linked lines, spanning each set's groups."""
+    """(u, v): numbers of linked lines, spanning each set's groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[str] = []
-        size, out = 0, []
+        ends: list[tuple[int, int]] = []
+        out: list[tuple[int, int]] = []
+        size = 0
 
         def settle() -> None:
             nonlocal size
             if pairs:
-                for i in np.flatnonzero(similar_pairs(pairs)).tolist():
-                    out.append((line_id(pairs[2 * i]), line_id(pairs[2 * i + 1])))
+                out.extend(ends[i] for i in np.flatnonzero(similar_pairs(pairs)).tolist())
                 pairs.clear()
+                ends.clear()
                 size = 0
 
-        def add(lines: list[str]) -> None:
+        def add(nodes: list[int], lines: list[str]) -> None:
             nonlocal size
             if len(lines) == 2:  # most sets
                 pairs.extend(lines)
+                ends.append((nodes[0], nodes[1]))
                 size += len(lines[0]) + len(lines[1])
                 if size > 1 << 20:
                     settle()
             elif len(lines) > 2:
-                ids = [line_id(x) for x in lines]
-                out.extend((ids[a], ids[b]) for a, b in similar_stars(lines))
+                out.extend((nodes[a], nodes[b]) for a, b in similar_stars(lines))
 
         def rows() -> pa.RecordBatch:
-            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], names=["u", "v"])
+            found = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
             out.clear()
             return found
 
-        now, lines = None, []
+        now, nodes, lines = None, [], []
         for batch in batches:
-            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, node, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != now:
-                    add(lines)
-                    now, lines = name, []
+                    add(nodes, lines)
+                    now, nodes, lines = name, [], []
+                nodes.append(node)
                 lines.append(line)
             if out:
                 yield rows()
-        add(lines)
+        add(nodes, lines)
         settle()
         if out:
             yield rows()
 
-    return named.repartition("name").sortWithinPartitions("name").mapInArrow(run, "u binary, v binary")
+    rows = named.where("line is not null").select("name", "node", "line")
+    return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "u long, v long")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(id, label) of linked lines, both line ids.
-
-    Rounds run on 64-bit numbers of the ids, unless two ids of this table share one.
-    """
-    ids = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct().withColumn("n", F.xxhash64("id"))
-    ids, _ = store(ids, "ids")
-    one_each = ids.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    if not one_each:
-        return connected_components(links).withColumnRenamed("node", "id")
-    found = connected_components(links.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
-    named = ids.join(found.withColumnRenamed("node", "n"), "n").select("id", F.col("label").alias("n"))
-    return named.join(ids.withColumnRenamed("id", "named"), "n").select("id", F.col("named").alias("label"))
-
-
-def _first_places(ids: list[int], docs: list[list[str]]) -> dict[str, tuple[int, int]]:
-    """The first place of each line that is not blank, by document id and position."""
-    first: dict[str, tuple[int, int]] = {}
-    for d in sorted(range(len(docs)), key=ids.__getitem__):
-        for at, line in enumerate(docs[d]):
-            if line not in first and line.strip(SPACE):
-                first[line] = (ids[d], at)
-    return first
-
-
-def _places(packs: DataFrame) -> DataFrame:
-    """(pack, id, doc, at): for each distinct line of a pack its first place, by document order and position."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack in batch.to_pylist():
-                first = _first_places(pack["ids"], _lines_of(pack)[0])
-                if first:
-                    doc, at = zip(*first.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([pack["pack"]] * len(first), pa.int64()), pa.array([line_id(x) for x in first], pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["pack", "id", "doc", "at"])
-
-    return packs.select("pack", "ids", "sizes", "blob").mapInArrow(run, "pack long, id binary, doc long, at long")
+def _across(hot: DataFrame, labels: DataFrame, set_lines: int) -> DataFrame:
+    """(kind, name, node, other): sets of each two chunks of a key's lines, for keys whose lines are not one component yet."""
+    known = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).distinct()
+    still = known.groupBy("name").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("name")
+    parts = known.join(still, "name").withColumn("chunks", F.ceil(2 * F.col("other") / set_lines).cast("int"))
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pair = F.xxhash64("name", F.least("own", "with"), F.greatest("own", "with"))
+    return parts.select(F.lit(0).alias("kind"), pair.alias("name"), "node", F.col("node").alias("other"))
 
 
-def _rewritten(packs: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
-    """(digest, n_lines, n_removed, kept, blank) of each text; gone: (pack, id, doc, at), where a line that other packs or lines share stays."""
+def _rewritten(packs: DataFrame, stays: DataFrame, with_text: bool) -> DataFrame:
+    """(digest, n_lines, n_removed, kept, blank) of each text; stays: (node, doc, at), the place where a line that is shared stays."""
 
     def run(pack: pa.Table, found: pa.Table) -> pa.Table:
         if not pack.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         own = pack.to_pylist()[0]
-        stays = dict(zip(found["id"].to_pylist(), zip(found["doc"].to_pylist(), found["at"].to_pylist(), strict=True), strict=True))
-        docs, lines = _lines_of(own)
-        place = _first_places(own["ids"], docs)
-        place |= {x: stays[i] for x in lines if (i := line_id(x)) in stays}
+        docs, place = _lines_of(own)
+        lines = list(place)
+        for node, doc, at in zip(*(found[c].to_pylist() for c in ("node", "doc", "at")), strict=True):
+            place[lines[node & ((1 << LINE_BITS) - 1)]] = (doc, at)
         out = []
         for order, digest, said in zip(own["ids"], own["digests"], docs, strict=True):
             kept = [x for at, x in enumerate(said) if place.get(x, (order, at)) == (order, at)]
@@ -319,7 +384,38 @@ def _rewritten(packs: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["digest", "n_lines", "n_removed", "kept", "blank"]
-    return packs.groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(run, "digest string, n_lines long, n_removed long, kept string, blank string")
+    stays = stays.withColumn("pack", F.shiftright("node", LINE_BITS))
+    packs = packs.select("pack", "ids", "digests", "sizes", "blob")
+    return packs.groupBy("pack").cogroup(stays.groupBy("pack")).applyInArrow(run, "digest string, n_lines long, n_removed long, kept string, blank string")
+
+
+def _staying(packs: DataFrame, set_lines: int) -> DataFrame:
+    """(node, doc, at): for each line that others equal or resemble, the place where its component stays."""
+    spark = packs.sparkSession
+    breaks = packs.agg(F.sum(F.col("breaks") + F.size("sizes")).alias("n")).first().n or 0
+    buckets = max(partitions(spark), -(-breaks * BANDS * 24 // BUCKET_BYTES))
+    sets, sets_at = store(_sets(_filed(packs, buckets), set_lines), "sets")
+    remove(spark)
+    named, named_at = store(_named_lines(packs, sets.where("kind < 2")), "named")
+    links, links_at = store(_links(named), "links")
+    remove(spark)
+    copies = named.where("line is null and node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    edges = links.unionByName(copies)
+    labels = connected_components(edges)
+    drop = [sets_at, named_at, links_at]
+    hot = sets.where("kind = 2").select("name", "node", "other")
+    if not hot.isEmpty():
+        more, more_at = store(_named_lines(packs, _across(hot, labels, set_lines)), "named")
+        found, found_at = store(_links(more), "links")
+        labels = connected_components(edges.unionByName(found))
+        drop += [more_at, found_at]
+    # the least (doc, at) as one number, which an aggregation can hold in place
+    place = F.col("doc").cast("decimal(38,0)") * (1 << 31) + F.col("at")
+    first = named.select("node", "doc", "at").join(labels, "node").groupBy("label").agg(F.min(place).alias("first"))
+    first = first.withColumn("at", F.expr(f"cast(pmod(first, {1 << 31}) as long)")).select("label", F.expr(f"(first - at) div {1 << 31}").alias("doc"), "at")
+    stays, _ = store(labels.join(first, "label").select("node", "doc", "at"), "stays")
+    remove(spark, *drop)
+    return stays
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, pack_bytes: int = PACK_BYTES, set_lines: int = SET_LINES, with_text: bool = True) -> DataFrame:
@@ -339,22 +435,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.join(least.hint("merge"), ["digest", "order"], "left_semi").select("order", "digest", "text")
     packs, packs_at = store(_packed(texts, pack_bytes), "packs")
     remove(spark)
-    buckets = partitions(spark)
-    sets, sets_at = store(_sets(_filed(packs, buckets), set_lines), "sets")
-    remove(spark)
-    links, links_at = store(_links(_named_lines(packs, sets)), "links")
-    remove(spark, sets_at)
-    labels = _labels(links)
-    places = _places(packs).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    places, places_at = store(places, "places")
-    remove(spark)
-    # the least (doc, at) as one number, which an aggregation can hold in place
-    place = F.col("doc").cast("decimal(38,0)") * (1 << 31) + F.col("at")
-    first = places.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.withColumn("at", F.expr(f"cast(pmod(first, {1 << 31}) as long)")).select("label", F.expr(f"(first - at) div {1 << 31}").alias("doc"), "at")
-    gone = places.select("pack", "id", "label").join(first, "label").select("pack", "id", "doc", "at")
-    done, _ = store(_rewritten(packs, gone, with_text), "kept")
-    remove(spark, packs_at, links_at, places_at)
+    stays = _staying(packs, set_lines)
+    done, _ = store(_rewritten(packs, stays, with_text), "kept")
+    remove(spark, packs_at)
     if done.count() > least.count():  # a table with repeated rows whose copies were packed apart
         done = done.dropDuplicates(["digest"])
     named = light.join(least.withColumnRenamed("order", "least"), "digest").join(done, "digest")

@@ -43,6 +43,7 @@ BUCKET_BYTES = 64 << 20
 HOT = 4096
 CONTEXT = LENGTH + WINDOWS - 1
 NO_ID = (1 << 63) - 1
+PACK_BITS = 10  # of a pack's number: at most 1024 packs a task, 2^22 tasks
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,7 +171,10 @@ def group_bounds(contexts: list[bytes], lead: list[int], count: list[int], ids:
 
 
 def _packed(texts: DataFrame, pack_bytes: int) -> DataFrame:
-    """Texts (id, digest, text), sorted by digest in each partition, as packs (pack, ids, digests, sizes, blob)."""
+    """Texts (id, digest, text), sorted by digest in each partition, as packs (pack, ids, digests, sizes, breaks, blob).
+
+    pack is below 2^32; breaks is the number of line feeds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
@@ -179,9 +183,11 @@ def _packed(texts: DataFrame, pack_bytes: int) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             blob = zstandard.ZstdCompressor(1).compress(b"".join(parts))
-            columns = [[task << 32 | n], [ids], [digests], [[len(p) for p in parts]], [blob]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "ids", "digests", "sizes", "blob"])
+            if task >> 32 - PACK_BITS or n >> PACK_BITS:
+                raise OverflowError("too many packs: raise pack_bytes")
+            columns = [[task << PACK_BITS | n], [ids], [digests], [[len(p) for p in parts]], [sum(p.count(b"\n") for p in parts)], [blob]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["pack", "ids", "digests", "sizes", "breaks", "blob"])
 
         for batch in batches:
             for i, d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -199,7 +205,7 @@ def _packed(texts: DataFrame, pack_bytes: int) -> DataFrame:
         if parts:
             yield row()
 
-    return texts.mapInArrow(run, "pack long, ids array<long>, digests array<string>, sizes array<long>, blob binary")
+    return texts.mapInArrow(run, "pack long, ids array<long>, digests array<string>, sizes array<long>, breaks long, blob binary")
 
 
 def _opened(blob: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:

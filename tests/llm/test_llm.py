@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import _tokenizers, chat_format, fingerprints, line_dedup, mixing, packing, quality_classifier, quality_rules, queries, simhash_dedup, suffix_dedup, token_counts
+from siltstone.llm import _common, _tokenizers, chat_format, fingerprints, line_dedup, mixing, packing, quality_classifier, quality_rules, queries, simhash_dedup, suffix_dedup, token_counts
 
 DATA = "/root/testdata/sf0.001"
 AWKWARD = [
@@ -314,21 +314,67 @@ def test_find_within(spark):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("options", [{}, {"set_lines": 6, "pack_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"set_lines": 6, "pack_bytes": 2000}, {"set_lines": 2}])
 def test_line_dedup(spark, options):
     random.seed(11)
     said = variants(3, 60)
     rows = [(i, "\n".join(t for _, t in random.sample(said, 3)) + "\n\n" + ("common line" if i % 2 else "Common lines")) for i in range(40)]
-    places = [(i, at, x) for i, t in rows for at, x in enumerate(t.split("\n")) if x.strip()]
+    rows += [(None, "Common lines\n" + said[0][1]), (7, None), (3, rows[3][1]), (50, rows[3][1]), (51, "\n \n")]
+    order = lambda i: suffix_dedup.NO_ID if i is None else i
+    places = [(order(i), at, x) for i, t in rows for at, x in enumerate((t or "").split("\n")) if x.strip()]
     lines = sorted({x for *_, x in places})
-    sets = [{x.ljust(8, "\0")[k : k + 8] for k in range(max(1, len(x) - 7))} for x in lines]
+    n = line_dedup.SHINGLE
+    sets = [{x.ljust(n, "\0")[k : k + n] for k in range(max(1, len(x) - n + 1))} for x in lines]
     group = dict(zip(lines, components(len(lines), lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])), strict=True))
     first = {}
     for i, at, x in sorted(places):
         first.setdefault(group[x], (i, at))
-    want = [(i, "\n".join(x for at, x in enumerate(t.split("\n")) if not x.strip() or first[group[x]] == (i, at))) for i, t in rows]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **options).select("doc_id", "kept").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    want = []
+    for i, t in rows:
+        said = (t or "").split("\n")
+        kept = [x for at, x in enumerate(said) if not x.strip() or first[group[x]] == (order(i), at)]
+        want.append((i, sum(1 for x in said if x.strip()), len(said) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_many_variants_of_one_line(spark):
+    rows = [(i, f"Printed from the reading room catalogue, page {i} of the whole of the printed register") for i in range(300)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), set_lines=8).where("n_removed = 0").collect()
+    assert [r.doc_id for r in got] == [0]
+    linked = np.concatenate([nodes for _, nodes in line_dedup._dealt(np.uint64(5), np.arange(1000, dtype=np.uint64), line_dedup.mix64(np.arange(1000, dtype=np.uint64)), 8)])
+    assert set(linked.tolist()) == set(range(1000)) and len(linked) < 1300  # each line in one chunk, and the chunks' first ones again
+
+
+def test_bands_find_similar_lines():
+    random.seed(12)
+    pairs = []
+    while len(pairs) < 1500:
+        a = "".join(random.choice("abcdefgh ij") for _ in range(random.randint(30, 200)))
+        b = list(a)
+        for _ in range(random.randint(1, 4)):
+            b[random.randrange(len(b))] = random.choice("xyz")
+        b = "".join(b)
+        sets = [{x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)} for x in (a, b)]
+        if 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.9:
+            pairs += [a, b]
+    assert line_dedup.similar_pairs(pairs).all()
+    keys = line_dedup.band_keys(pairs)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() > 0.99
+
+
+def test_components_merge_forests(spark):
+    random.seed(13)
+    edges = [(random.randint(0, 900), random.randint(0, 900)) for _ in range(500)] + [(i, i + 1) for i in range(2000, 2100)] + [(5000, i) for i in range(5001, 5400)]
+    nodes = sorted({x for e in edges for x in e if e[0] != e[1]})
+    label = {x: x for x in nodes}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    table = spark.createDataFrame(edges, "u long, v long").repartition(8)
+    for most in (1 << 21, 200):
+        assert {r.node: r.label for r in _common.connected_components(table, most).collect()} == label
 
 
 OPERATORS = {
