@@ -61,6 +61,13 @@ def cost_estimate(tokens_in: Column, tokens_out: Column, model: Column) -> Colum
     return F.round(tokens_in / 1000 * price_in + tokens_out / 1000 * price_out, 6)
 
 
+def client_cost(tokens_in: Column, tokens_out: Column, model: Column) -> Column:
+    """The hosted client's own estimate: no price for gpt-4o, nothing rounded."""
+    known = {k: v for k, v in MODEL_COSTS.items() if k != "gpt-4o"}
+    price_in, price_out = (choose(model, {k: v[i] for k, v in known.items()}, 0.0) for i in (0, 1))
+    return tokens_in / 1000 * price_in + tokens_out / 1000 * price_out
+
+
 def detect_topics(query: Column) -> Column:
     low = F.lower(query)
     return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in TOPIC_PATTERNS.items()]))
@@ -86,6 +93,32 @@ def search_queries(query: Column, corrected: Column, english: Column, variants:
     return F.when(F.length(F.btrim(query)) > 50, F.array(query)).otherwise(several)
 
 
+TRANSFORMED = "corrected_query string, query_variants array<string>, detected_visa_types array<string>, languages_detected array<string>, confidence double"
+
+
+def transformed_query(query: Column, reply: Column | None = None, enabled: bool = True) -> Column:
+    """A struct of TRANSFORMED. Queries that need no expansion are taken as they are.
+
+    The others get the model's JSON reply; where there is none that can be read, the query itself with less confidence.
+    """
+    row = lambda topics, languages, confidence: F.struct(query.alias("corrected_query"), F.array(query).alias("query_variants"), topics.alias("detected_visa_types"), languages.alias("languages_detected"), F.lit(confidence).alias("confidence"))
+    plain = row(detect_topics(query), detect_languages(query), 0.9)
+    failed = row(F.array().cast("array<string>"), F.array(F.lit("de")), 0.5)
+    if reply is None:
+        return F.when(needs_expansion(query, enabled), failed).otherwise(plain)
+    read = json_reply(reply, TRANSFORMED)
+    return F.when(~needs_expansion(query, enabled), plain).when(read["corrected_query"].isNull(), failed).otherwise(read)
+
+
+def with_disclaimer(answer: Column, disclaimer: str) -> Column:
+    return F.concat(answer, F.lit(f"\n\n{disclaimer}"))
+
+
+def user_message(question: Column, template: str) -> Column:
+    """(role, content) of the last message to a model; the template names {question}."""
+    return F.struct(F.lit("user").alias("role"), fill_template(template, question=question).alias("content"))
+
+
 def is_context_safe(context: Column) -> Column:
     return ~F.lower(context).rlike("|".join(SUSPICIOUS))
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space, the same in both regex engines.
 SPACE = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: Symbols that cleaning removes, without and with the hyphen.
+SYMBOLS = r"[✔©✅ℹ️⚠❌📊📄🔗📂📜📌📏]"
+SYMBOLS_AND_HYPHEN = r"[✔©✅ℹ️⚠❌📊📄🔗📂📜📌📏\-]"
+
 #: What cleaning removes from Markdown, in order. (?iu) folds case, (?m) anchors at lines, (?d) knows \n only.
 MARKDOWN_NOISE = (
     r"(?s)!\[.*?\]\(.*?\)",
@@ -20,7 +26,7 @@ MARKDOWN_NOISE = (
     r"(?iud)\[FAQ\]\(.*?\)",
     r"(?iud)<desc>.*?</desc>",
     r"(?iud)©\s*.*?(?:\.com|\d{4})",
-    r"[✔©✅ℹ️⚠❌📊📄🔗📂📜📌📏]",
+    SYMBOLS,
     r"(?imud)^.*?\]\(/en/working-in-germany/job-listings\?tx_solr.*$",
     r"(?iud)Translate it via your browser\.",
     r"(?iud)Google Translate is a third-party provider\.",
@@ -58,16 +64,26 @@ def point_id(text_hash: Column) -> Column:
     return F.conv(F.substring(text_hash, 1, 15), 16, 10).cast("long")
 
 
+#: What a text in lower case must hold for each of the patterns to match; letters whose case folds in one way only.
+NOISE_NEEDS = ("![", "[", "rev", "next", " of ", "[", "[", "[", "<de", "©", "", "](/en/wor", "tran", "goo", "nd po", "* [l")
+
+
+def _without(pattern: str, needs: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(F.contains(F.lower(t), F.lit(needs)), F.regexp_replace(t, pattern, "")).otherwise(t)
+
+
 def clean_markdown(text: Column, newline_mode: str = "preserve", strip_hyphens: bool = False) -> Column:
     """Markdown without images, boilerplate links and interface noise.
 
     newline_mode "collapse" and strip_hyphens give the literal variant, which
-    makes one line of a document and removes all hyphens.
+    makes one line of a document and removes all hyphens. Most texts match few
+    of the patterns, so each is tried only where a plain search finds its needs.
     """
-    for pattern in MARKDOWN_NOISE:
-        if strip_hyphens and pattern.startswith("["):
-            pattern = pattern[:-1] + r"\-]"
-        text = F.regexp_replace(text, pattern, "")
+    for pattern, needs in zip(MARKDOWN_NOISE, NOISE_NEEDS, strict=True):
+        if not needs:
+            text = F.regexp_replace(text, SYMBOLS_AND_HYPHEN if strip_hyphens else SYMBOLS, "")
+        else:
+            text = F.get(F.transform(F.array(text), _without(pattern, needs)), 0)
     return collapse_whitespace(text) if newline_mode == "collapse" else preserve_paragraphs(text)
 
 

@@ -46,12 +46,35 @@ def is_live_href(href: Column) -> Column:
     return (href != "") & ~F.exists(F.array(*map(F.lit, DEAD_PREFIXES)), lambda p: F.startswith(href, p))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its . and .. segments."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 20)
+    last = F.element_at(parts, -1).isin(".", "..")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)))
+    kept = F.when(last, F.array_append(kept, F.lit(""))).otherwise(kept)
+    plain = ~F.contains(path, F.lit("/."))
+    return F.when(plain, path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of absolute, scheme-relative and root-relative links; null for others."""
+    """The absolute form of a link on the page base: absolute, scheme-relative, root-relative, document-relative, or a query."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(root, href))
+    path, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    own = F.when(url_path(base) == "", "/").otherwise(url_path(base))
+    folder = F.regexp_extract(own, "^(.*/)", 1)
+    absolute = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path))
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, href))
+        .when(path == "", F.concat(root, own, rest))
+        .otherwise(F.concat(root, without_dots(absolute), rest))
+    )
 
 
 def hrefs(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit('<a [^>]*href="([^"]*)"'), 1), F.btrim)
+    """The targets of a page's links: tag and attribute in any case, in double, single or no quotes."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<a\s[^>]*>)"), 1)
+    value = lambda t: F.regexp_extract(t, r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.transform(F.transform(tags, value), lambda x: F.btrim(F.replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))))

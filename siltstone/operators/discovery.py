@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.urls import bare_domain, canonical_url, hrefs, is_live_href, resolve, url_authority
+from ..functions.urls import bare_domain, canonical_url, hrefs, is_live_href, is_url_allowed, resolve, url_authority, url_path
 from ..session import checkpoint
 
 DEFAULT_DEPTH, DEFAULT_PAGES = 2, 50
+MOST_SITEMAP_DEPTH = 5
 
 
 def strategy_for(urls: DataFrame, strategies: DataFrame, url: str = "url", dot_boundary: bool = False) -> DataFrame:
@@ -53,10 +54,6 @@ def sitemap_urls(sitemaps: DataFrame, key: str = "domain", xml: str = "xml") ->
     return sitemaps.select(key, F.explode(F.xpath(F.col(xml), F.lit("//url/loc/text()"))).alias("loc")).select(key, F.btrim("loc").alias("url"))
 
 
-def child_sitemaps(sitemaps: DataFrame, key: str = "domain", xml: str = "xml") -> DataFrame:
-    return sitemaps.select(key, F.explode(F.xpath(F.col(xml), F.lit("//sitemap/loc/text()"))).alias("loc")).select(key, F.btrim("loc").alias("sitemap"))
-
-
 def first_answering(probes: DataFrame, key: str = "domain") -> DataFrame:
     """Of probes(key, probe, url) the URLs of the first probe that gave any."""
     first = probes.groupBy(key).agg(F.min("probe").alias("probe"))
@@ -94,6 +91,80 @@ def sitemap_closure(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -
 
 
 def truncate_per_domain(scored: DataFrame, group: str, score: str, tie: str, limit: str) -> DataFrame:
-    """The best ``limit`` rows of each group, and how many were over."""
+    """The best ``limit`` rows of each group with their rank, and ``over``: how many rows of the group were left out."""
     order = W.partitionBy(group).orderBy(F.col(score).desc(), tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col(limit))
+    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col(limit))
+    sizes = scored.groupBy(group).agg(F.greatest(F.count("*") - F.max(limit), F.lit(0)).alias("over"))
+    return kept.join(sizes.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+
+
+#: Where sites keep their sitemap, best first.
+SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml", "/wp-sitemap.xml")
+
+
+def sitemap_probes(domains: DataFrame, key: str = "domain") -> DataFrame:
+    """(key, probe, sitemap): where to look for a domain's sitemap, in order: every path of the domain, then those of its www host."""
+    www = F.when(F.startswith(key, F.lit("www.")), F.array(F.col(key))).otherwise(F.array(F.col(key), F.concat(F.lit("www."), F.col(key))))
+    places = F.flatten(F.transform(www, lambda d: F.transform(F.array(*map(F.lit, SITEMAP_PATHS)), lambda p: F.concat(F.lit("https://"), d, p))))
+    return domains.select(key, F.posexplode(places).alias("probe", "sitemap"))
+
+
+def usable_responses(responses: DataFrame, status: str = "status", body: str = "body") -> DataFrame:
+    """Responses with status 200 and a body that is not blank."""
+    return responses.where((F.col(status) == 200) & (F.btrim(F.regexp_replace(body, r"\s+", " ")) != ""))
+
+
+def discover_sitemaps(domains: DataFrame, responses: DataFrame, robots: DataFrame, rules: DataFrame, key: str = "domain") -> DataFrame:
+    """(key, url): the page URLs of each domain's sitemaps that its rules allow, each once.
+
+    responses(sitemap, status, body) hold what was fetched. The first place that
+    gives an allowed URL answers for a domain; if none does, the sitemaps that
+    robots(key, text) names do, all of them. Index files are followed, five deep.
+    rules holds (key, blocked, allowed, prefixes), arrays of patterns.
+    """
+    files = usable_responses(responses).select("sitemap", F.col("body").alias("xml"))
+    edges = files.select(F.col("sitemap").alias("src"), F.explode(F.xpath("xml", F.lit("//*[local-name()='sitemap']/*[local-name()='loc']/text()"))).alias("dst")).select("src", F.btrim("dst").alias("dst"))
+    leaves = files.select("sitemap", F.explode(F.xpath("xml", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()"))).alias("url")).select("sitemap", F.btrim("url").alias("url"))
+
+    def found(places: DataFrame) -> DataFrame:
+        """(key, probe, url) of places(key, probe, sitemap): walks from each place by itself."""
+        level = checkpoint(places.select(key, "probe", F.col("sitemap").alias("node")).distinct())
+        seen = level
+        for _ in range(MOST_SITEMAP_DEPTH):
+            after = level.join(edges, F.col("node") == F.col("src")).select(key, "probe", F.col("dst").alias("node")).distinct()
+            level = checkpoint(after.join(seen, [key, "probe", "node"], "left_anti"))
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+        urls = seen.join(leaves, F.col("node") == F.col("sitemap")).select(key, "probe", "url").distinct()
+        return urls.join(rules, key).where(is_url_allowed(F.col("url"), F.col("blocked"), F.col("allowed"), F.col("prefixes"))).select(key, "probe", "url")
+
+    first = first_answering(found(sitemap_probes(domains, key)), key)
+    named = sitemaps_in_robots(robots, key).withColumn("probe", F.lit(0))
+    others = found(named.join(first.select(key).distinct(), key, "left_anti").select(key, "probe", "sitemap")).select(key, "url")
+    return first.unionByName(others).distinct()
+
+
+def robots_allow(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """urls with allowed: whether no rule(domain, disallow) of their own domain begins their path.
+
+    Rules join by domain and first path characters that a rule could have: an equi-join on every prefix of a path.
+    """
+    own = urls.withColumn("__domain", F.lower(url_authority(F.col(url)))).withColumn("__path", F.when(url_path(F.col(url)) == "", "/").otherwise(url_path(F.col(url))))
+    asked = own.select("__domain", "__path").distinct()
+    prefixes = asked.select("__domain", "__path", F.explode(F.transform(F.sequence(F.lit(1), F.length("__path")), lambda n: F.left(F.col("__path"), n))).alias("disallow"))
+    hit = prefixes.join(rules.select(F.col("domain").alias("__domain"), "disallow"), ["__domain", "disallow"], "left_semi").select("__domain", "__path").distinct()
+    marked = own.join(hit.withColumn("__no", F.lit(True)), ["__domain", "__path"], "left")
+    return marked.select(*urls.columns, F.col("__no").isNull().alias("allowed"))
+
+
+def enriched(docs: DataFrame, metadata: DataFrame, url: str = "url") -> DataFrame:
+    """docs with authority_level and visa_types of metadata(url, authority_level, visa_types); without an entry third_party and general."""
+    known = metadata.select(F.col(url).alias("__url"), "authority_level", "visa_types").dropDuplicates(["__url"])
+    joined = docs.join(known, F.col(url) == F.col("__url"), "left").drop("__url")
+    return joined.withColumn("authority_level", F.coalesce("authority_level", F.lit("third_party"))).withColumn("visa_types", F.coalesce("visa_types", F.array(F.lit("general"))))
+
+
+def source_documents(discovered: DataFrame, extra: DataFrame) -> DataFrame:
+    """Discovered and hand-listed sources as a bag: an URL in both stays twice."""
+    return discovered.unionByName(extra, allowMissingColumns=True)

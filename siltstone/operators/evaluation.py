@@ -1,4 +1,4 @@
-"""Evaluation cases and metric means."""
+"""Evaluation cases, metric means, and the outcome of runs."""
 
 from __future__ import annotations
 
@@ -16,3 +16,47 @@ def cases(columns: DataFrame, names: list[str]) -> DataFrame:
 def metric_means(rows: DataFrame, metrics: list[str], digits: int = 6) -> DataFrame:
     """Means that leave out NaN and null, and the number of rows."""
     return rows.agg(*(F.round(F.avg(F.when(~F.isnan(m), F.col(m))), digits).alias(m) for m in metrics), F.count("*").alias("n"))
+
+
+def answered_cases(cases_: DataFrame, answers: DataFrame) -> DataFrame:
+    """cases(pos, ...) with answers(pos, answer, sources): answer empty and sources_count 0 where there is none."""
+    joined = cases_.join(answers, "pos", "left")
+    return joined.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumn("sources_count", F.coalesce(F.array_size("sources"), F.lit(0))).drop("sources")
+
+
+def first_rows(rows: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """The report's sample: the first n rows in order."""
+    return rows.orderBy(order).limit(n)
+
+
+def health(checks: DataFrame) -> DataFrame:
+    """(service, healthy) of checks(service, dependency, ok): all dependencies answer. A check without an answer fails."""
+    return checks.groupBy("service").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("healthy"))
+
+
+def after_quota(results: DataFrame, run: str, seq: str, exhausted: str) -> DataFrame:
+    """results with skipped: whether the run's quota was exhausted before this row."""
+    first = results.where(F.col(exhausted)).groupBy(run).agg(F.min(seq).alias("__first")).withColumnRenamed(run, "__run")
+    joined = results.join(first, F.col(run).eqNullSafe(F.col("__run")), "left")
+    return joined.withColumn("skipped", F.coalesce(F.col(seq) > F.col("__first"), F.lit(False))).drop("__first", "__run")
+
+
+def token_bucket_waits(requests: DataFrame, key: str, at: str, rate: float) -> DataFrame:
+    """(key, waits): how many seconds each request, in order of at (seconds), waits for a token of the key's bucket.
+
+    A bucket holds ``rate`` tokens at most, starts full and refills at that
+    rate; a request that finds less than one waits for the rest and empties it.
+    All requests of a key are read in order by one task: keys are hosts, whose
+    requests in a run are few.
+    """
+
+    def step(acc, x):
+        tokens = F.least(F.lit(rate), acc["tokens"] + F.greatest(x - acc["at"], F.lit(0.0)) * rate)
+        wait = F.when(tokens < 1, (1 - tokens) / rate).otherwise(0.0)
+        left = F.when(tokens < 1, 0.0).otherwise(tokens - 1)
+        return F.struct(F.array_append(acc["waits"], wait).alias("waits"), left.alias("tokens"), (x + wait).alias("at"))
+
+    times = F.array_sort(F.collect_list(F.col(at).cast("double")))
+    grouped = requests.groupBy(key).agg(times.alias("times"))
+    start = F.struct(F.array().cast("array<double>").alias("waits"), F.lit(float(rate)).alias("tokens"), F.element_at("times", 1).alias("at"))
+    return grouped.select(key, F.aggregate("times", start, step, lambda acc: acc["waits"]).alias("waits"))

@@ -11,6 +11,9 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scoring import iso_timestamp
 
 #: Elements and classes that are not content.
 NOISE_TAGS = frozenset({"script", "style", "nav", "footer", "header", "aside", "button"})
@@ -21,6 +24,10 @@ VOID = frozenset({"br", "img", "hr", "meta", "link", "input", "source", "wbr", "
 BLOCK = frozenset({"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "body", "blockquote", "pre"})
 
 
+#: What stands around inline elements in Markdown.
+INLINE = {"strong": "**", "b": "**", "em": "*", "i": "*", "code": "`", "kbd": "`", "samp": "`", "del": "~~", "s": "~~"}
+
+
 class _Reader(HTMLParser):
     """Collects metadata and, for each place content may be, its Markdown."""
 
@@ -28,8 +35,11 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, list[str]]] = []
         self.out: dict[str, list[str]] = {"": []}
-        self.title, self.in_title, self.meta = "", False, {}
+        self.title, self.in_title, self.meta = None, False, {}
         self.link: str | None = None
+        self.lists: list[int | None] = []  # of each open list, its next number; None for bullets
+        self.rows: list[int] = []  # of each open table, its rows so far
+        self.cells = 0
 
     def _put(self, text: str) -> None:
         if not any(noise for _, noise, _ in self.stack):
@@ -40,14 +50,18 @@ class _Reader(HTMLParser):
         own = {k: v or "" for k, v in attrs}
         if tag == "meta":
             self.meta.setdefault(own.get("property") or own.get("name") or "", own.get("content", ""))
-        if tag == "title":
-            self.in_title = True
         if tag == "br":
             self._put("\n")
+        elif tag == "hr":
+            self._put("\n\n---\n\n")
+        elif tag == "img":
+            self._put(f"![{own.get('alt', '')}]({own.get('src', '')})")
         if tag in VOID:
             return
+        if tag == "title" and self.title is None:  # the first one only
+            self.title, self.in_title = "", True
         classes = set(own.get("class", "").split())
-        noise = tag in NOISE_TAGS or bool(classes & NOISE_CLASSES) or (tag == "nav" and own.get("aria-label") == "Breadcrumb")
+        noise = tag in NOISE_TAGS or tag == "title" or bool(classes & NOISE_CLASSES) or (tag == "nav" and own.get("aria-label") == "Breadcrumb")
         names = [n for n in MAIN if n == tag or n == f"#{own.get('id')}" or (n[0] == "." and n[1:] in classes)]
         names = [n for n in names if n not in self.out]
         for n in names:
@@ -55,10 +69,31 @@ class _Reader(HTMLParser):
         self.stack.append((tag, noise, names))
         if re.fullmatch("h[1-6]", tag):
             self._put("\n\n" + "#" * int(tag[1]) + " ")
+        elif tag in ("ul", "ol"):
+            self.lists.append(1 if tag == "ol" else None)
+            self._put("\n" if len(self.lists) > 1 else "\n\n")
         elif tag == "li":
-            self._put("\n* ")
+            n = self.lists[-1] if self.lists else None
+            self._put("\n* " if n is None else f"\n{n}. ")
+            if n is not None:
+                self.lists[-1] = n + 1
+        elif tag == "table":
+            self.rows.append(0)
+            self._put("\n\n")
+        elif tag == "tr":
+            self.cells = 0
+            self._put("\n|")
+        elif tag in ("td", "th"):
+            self.cells += 1
+            self._put(" ")
+        elif tag == "pre":
+            self._put("\n\n```\n")
+        elif tag == "blockquote":
+            self._put("\n\n> ")
         elif tag in BLOCK:
             self._put("\n\n")
+        elif tag in INLINE:
+            self._put(INLINE[tag])
         elif tag == "a" and own.get("href"):
             self.link = own["href"]
             self._put("[")
@@ -66,20 +101,41 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
+        if any(t == tag for t, _, _ in self.stack):
+            while self.stack[-1][0] != tag:
+                self._close(self.stack[-1][0])
+                self.stack.pop()
+            self._close(tag)
+            self.stack.pop()
+
+    def _close(self, tag: str) -> None:
         if tag == "a" and self.link is not None:
             self._put(f"]({self.link})")
             self.link = None
-        if any(t == tag for t, _, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
-        if re.fullmatch("h[1-6]", tag) or tag in BLOCK:
+        elif tag in INLINE:
+            self._put(INLINE[tag])
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            self._put("\n\n")
+        elif tag in ("td", "th"):
+            self._put(" |")
+        elif tag == "tr" and self.rows:
+            self.rows[-1] += 1
+            if self.rows[-1] == 1:
+                self._put("\n|" + " --- |" * self.cells)
+        elif tag == "table" and self.rows:
+            self.rows.pop()
+            self._put("\n\n")
+        elif tag == "pre":
+            self._put("\n```\n\n")
+        elif re.fullmatch("h[1-6]", tag) or tag in BLOCK - {"tr"}:
             self._put("\n\n")
 
     def handle_data(self, data: str) -> None:
         if self.in_title:
             self.title += data
-        elif data.strip() or data:
-            self._put(re.sub(r"\s+", " ", data))
+        else:
+            self._put(data if any(t == "pre" for t, _, _ in self.stack) else re.sub(r"\s+", " ", data))
 
 
 def read_page(html: str | None, url: str | None) -> tuple[str, str, str | None, str | None]:
@@ -94,11 +150,11 @@ def read_page(html: str | None, url: str | None) -> tuple[str, str, str | None,
     body = re.sub(r"[ \t]+", " ", body)
     body = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", body)).strip()
     meta = reader.meta
-    return body, reader.title.strip() or url or "", meta.get("og:description") or meta.get("description"), meta.get("article:published_time")
+    return body, (reader.title or "").strip() or url or "", meta.get("og:description") or meta.get("description"), meta.get("article:published_time")
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, url, title, description, published, markdown); pages without content are dropped."""
+    """(key, url, title, description, published, markdown); pages without content are dropped, and published is null where it is no timestamp."""
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,4 +164,5 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
             columns = [batch.column(0), batch.column(1), *(pa.array([r[i] for r in read], pa.string()) for i in (1, 2, 3, 0))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, url, "title", "description", "published", "markdown"]).filter(keep)
 
-    return pages.select(key, url, html).mapInArrow(run, f"{key} {kind}, {url} string, title string, description string, published string, markdown string")
+    found = pages.select(key, url, html).mapInArrow(run, f"{key} {kind}, {url} string, title string, description string, published string, markdown string")
+    return found.withColumn("published", iso_timestamp(F.col("published")))

@@ -22,6 +22,18 @@ def prompt_build(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(filled, 256).alias("prompt"))
 
 
+DISCLAIMER = "This is no legal advice."
+QUESTION = "Question:\n{question}\n\nCite a source for each statement.\n"
+
+
+@_("SELECT conv_id, turn, role = 'user' AS asked, CASE WHEN role = 'user' THEN 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Cite a source for each statement.' || chr(10) ELSE text || chr(10) || chr(10) || 'This is no legal advice.' END AS said FROM conversations")
+def answer_messages(spark, d):
+    """User turns as the last message to a model, answers with the disclaimer."""
+    text = F.col("text")
+    said = F.when(F.col("role") == "user", S.user_message(text, QUESTION)["content"]).otherwise(S.with_disclaimer(text, DISCLAIMER))
+    return table(spark, d, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("asked"), said.alias("said"))
+
+
 _HITS = f"SELECT doc_id // 6 AS query_id, doc_id, source, CASE WHEN doc_id % 4 > 0 THEN lang END AS title, {LEVEL_SQL} AS authority FROM documents"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import discovery as D
+from ..sources import tables as T
 from ._registry import register, table
 
 QUERIES: dict = {}
@@ -72,12 +73,25 @@ def strategy_join(spark, d):
     return _strategies(spark, d).select("page_id", "host", "strategy_domain", "max_depth", "max_pages", "authority_level")
 
 
-@_(f"WITH {_CHOSEN} SELECT * FROM (SELECT page_id, coalesce(domain, 'default') AS strategy, row_number() OVER (PARTITION BY coalesce(domain, 'default') ORDER BY {_SCORE} DESC, page_id)::INT AS rank, coalesce(max_pages, 50) AS max_pages FROM chosen) WHERE rank <= max_pages")
+@_(f"WITH {_CHOSEN} SELECT * FROM (SELECT page_id, coalesce(domain, 'default') AS strategy, row_number() OVER (PARTITION BY coalesce(domain, 'default') ORDER BY {_SCORE} DESC, page_id)::INT AS rank, coalesce(max_pages, 50) AS max_pages, greatest(count(*) OVER (PARTITION BY coalesce(domain, 'default')) - coalesce(max_pages, 50), 0) AS over FROM chosen) WHERE rank <= max_pages")
 def top_pages_per_domain(spark, d):
     scored = _strategies(spark, d).select("page_id", F.coalesce("strategy_domain", F.lit("default")).alias("strategy"), "max_pages", F.round(U.relevance_score(F.col("url"), _array(KEYWORDS)).cast("double"), 6).alias("score"))
     return D.truncate_per_domain(scored, "strategy", "score", "page_id", "max_pages").drop("score")
 
 
+@_(f"SELECT page_id, replace({_HOST}, 'www.', '') AS domain, row_number() OVER (PARTITION BY replace({_HOST}, 'www.', '') ORDER BY {_SCORE} DESC, url || ' ' || lpad(page_id::VARCHAR, 12, '0'))::INT AS place FROM pages")
+def cached_urls(spark, d):
+    scored = _pages(spark, d).select("page_id", "url", U.bare_domain(U.url_authority(F.col("url"))).alias("domain"), F.round(U.relevance_score(F.col("url"), _array(KEYWORDS)).cast("double"), 6).alias("relevance"))
+    cache = scored.withColumn("url", F.concat("url", F.lit(" "), F.lpad(F.col("page_id").cast("string"), 12, "0")))
+    return T.cached_urls(cache).select("page_id", "domain", "place")
+
+
+@_(f"SELECT page_id FROM pages WHERE replace({_HOST}, 'www.', '') = 'example.com'")
+def single_domain(spark, d):
+    cache = _pages(spark, d).select("page_id", U.bare_domain(U.url_authority(F.col("url"))).alias("domain"), "url", F.lit(0.5).alias("relevance"))
+    return T.cached_urls(cache, "example.com").select("page_id")
+
+
 _LINKS = r"""links AS (
   SELECT DISTINCT page_id, url, CASE
     WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
@@ -100,15 +114,6 @@ def same_domain_links(spark, d):
     return D.page_links(_pages(spark, d)).where("same_domain").groupBy("link").agg(F.count("*").alias("pages"))
 
 
-@_("""WITH RECURSIVE edges AS (SELECT page_id AS src, (page_id * 7 + 3) % 211 AS dst FROM pages UNION ALL SELECT page_id, (page_id * 11 + 5) % 211 FROM pages),
-walk(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id IN (0, 10) UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4)
-SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
-def bfs_depth(spark, d):
-    p = _pages(spark, d)
-    edges = p.select(F.col("page_id").alias("src"), ((F.col("page_id") * 7 + 3) % 211).alias("dst")).unionByName(p.select(F.col("page_id").alias("src"), ((F.col("page_id") * 11 + 5) % 211).alias("dst")))
-    return D.breadth_first(edges, p.where("page_id IN (0, 10)").select(F.col("page_id").alias("node")), 4)
-
-
 #: More levels than any walk needs: along 2 p and 2 p + 1 modulo n, every one of n pages is within log2(n) + 1 of any other.
 _LEVELS = 64
 
@@ -116,7 +121,7 @@ _LEVELS = 64
 @_(f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), edges AS (SELECT page_id AS src, page_id * 2 % n AS dst FROM pages, n UNION SELECT page_id, (page_id * 2 + 1) % n FROM pages, n),
 walk(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id IN (0, 10) UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < {_LEVELS})
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
-def bfs_depth_whole(spark, d):
+def bfs_depth(spark, d):
     p = _pages(spark, d).select(F.col("page_id").alias("src"))
     counted = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
     edges = counted.select("src", F.explode(F.array(F.col("src") * 2 % F.col("n"), (F.col("src") * 2 + 1) % F.col("n"))).alias("dst")).distinct()
@@ -129,7 +134,7 @@ _CANON = "CASE WHEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z
 @_(f"""WITH RECURSIVE {_LINKS}, edges AS (SELECT DISTINCT {_CANON} AS src, link AS dst FROM canonical),
 walk(node, depth) AS (SELECT DISTINCT {_CANON}, 0 FROM pages WHERE page_id % 20 = 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 4)
 SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
-def bfs_links_whole(spark, d):
+def bfs_links(spark, d):
     p = _pages(spark, d)
     own = p.select("page_id", U.canonical_url(F.col("url")).alias("src"))
     edges = D.page_links(p).join(own, "page_id").select("src", F.col("link").alias("dst")).distinct()
@@ -155,12 +160,15 @@ def robots_sitemaps(spark, d):
     return D.sitemaps_in_robots(_robots(spark, d))
 
 
-@_("SELECT page_id, len(list_filter(['/en', '/fr/8'], lambda r: starts_with(" + _PATH + ", r))) = 0 AS allowed FROM pages")
+_OWN_RULE = "'/' || split_part(" + _PATH + ", '/', 2)"
+
+
+@_(f"WITH rules AS (SELECT DISTINCT {_HOST} AS domain, {_OWN_RULE} AS disallow FROM pages WHERE page_id % 7 = 0) SELECT page_id, NOT EXISTS (SELECT 1 FROM rules WHERE domain = {_HOST} AND starts_with({_PATH}, disallow)) AS allowed FROM pages")
 def robots_allow(spark, d):
-    rules = spark.createDataFrame([("/en",), ("/fr/8",)], "disallow string")
-    p = _pages(spark, d).select("page_id", U.url_path(F.col("url")).alias("path"))
-    hit = p.join(F.broadcast(rules), F.startswith("path", "disallow"), "left_semi").select("page_id", F.lit(False).alias("no"))
-    return p.join(hit, "page_id", "left").select("page_id", F.coalesce("no", F.lit(True)).alias("allowed"))
+    """Each domain's rules are its own: the first path segment of every seventh page."""
+    p = _pages(spark, d)
+    rules = p.where("page_id % 7 = 0").select(F.lower(U.url_authority(F.col("url"))).alias("domain"), F.concat(F.lit("/"), F.split_part(U.url_path(F.col("url")), F.lit("/"), F.lit(2))).alias("disallow")).distinct()
+    return D.robots_allow(p.select("page_id", "url"), rules).select("page_id", "allowed")
 
 
 @_("SELECT page_id AS domain, 'https://a.example/' || page_id || '/' || i AS url FROM pages, (SELECT unnest([1, 2]) AS i)")
@@ -176,7 +184,62 @@ def discovered_union(spark, d):
     return p.where("page_id % 2 = 0").select("url").union(p.where("page_id % 3 = 0").select("url")).distinct()
 
 
-@_(f"SELECT coalesce(domain, 'total') AS domain, count(*) AS urls FROM (SELECT replace({_HOST}, 'www.', '') AS domain FROM pages) GROUP BY ROLLUP (domain)")
+@_(f"SELECT CASE WHEN grouping(domain) = 1 THEN 'total' ELSE domain END AS domain, count(*) AS urls FROM (SELECT replace({_HOST}, 'www.', '') AS domain FROM pages) GROUP BY ROLLUP (domain)")
 def discovered_totals(spark, d):
     p = _pages(spark, d).select(U.bare_domain(U.url_authority(F.col("url"))).alias("domain"))
-    return p.rollup("domain").agg(F.count("*").alias("urls")).select(F.coalesce("domain", F.lit("total")).alias("domain"), "urls")
+    return p.rollup("domain").agg(F.count("*").alias("urls"), F.grouping("domain").alias("all")).select(F.when(F.col("all") == 1, "total").otherwise(F.col("domain")).alias("domain"), "urls")
+
+
+_ROOT = "regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+_FOLDER = f"regexp_extract(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, '^(.*/)', 1)"
+
+
+@_(f"""WITH l AS (SELECT page_id, url, unnest([
+    {_ROOT} || CASE WHEN {_FOLDER} = '/' THEN '/' ELSE regexp_replace({_FOLDER}, '[^/]+/$', '') END || 'up/' || page_id || '.html',
+    {_ROOT} || {_FOLDER} || 'sub/p.html', {_ROOT} || {_FOLDER} || 'q', {_ROOT} || '/a/b', 'https://other.example/z']) AS link FROM pages)
+SELECT DISTINCT page_id, link, replace(lower(regexp_extract(link, '://([^/?#]*)', 1)), 'www.', '') = replace({_HOST}, 'www.', '') AS same_domain FROM l""")
+def relative_links(spark, d):
+    """Links relative to a page's folder, with dot segments, in every way of quoting."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<A class=x HREF="../up/'), n, F.lit("""?a=1&amp;b=2.html">1</A><a href='../up/"""), n, F.lit(""".html'>2</a><a id="i" href=sub/./p.html#top>3</a><a href="./q/">4</a><a href="/a/c/../b">5</a><a href='https://other.example/z?x'>6</a><a href="mailto:x">7</a>"""))
+    html = F.replace(html, F.lit("?a=1&amp;b=2.html"), F.lit(".html?a=1&amp;b=2"))
+    return D.page_links(_pages(spark, d).select("page_id", "url", html.alias("html")))
+
+
+_VISA = "CASE page_id % 3 WHEN 0 THEN 'work_visa' ELSE 'student_visa' END"
+
+
+@_(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'official' ELSE 'third_party' END AS authority_level, CASE WHEN page_id % 2 = 0 THEN {_VISA} ELSE 'general' END AS visa_types FROM pages")
+def url_metadata(spark, d):
+    p = _pages(spark, d).select("page_id", F.concat("url", F.lit("#"), "page_id").alias("url"))
+    known = p.where("page_id % 2 = 0").select("url", F.lit("official").alias("authority_level"), F.array(F.when(F.col("page_id") % 3 == 0, "work_visa").otherwise("student_visa")).alias("visa_types"))
+    return D.enriched(p, known).select("page_id", "authority_level", F.array_join("visa_types", ",").alias("visa_types"))
+
+
+@_("SELECT url, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")
+def source_documents(spark, d):
+    p = _pages(spark, d)
+    return D.source_documents(p.select("url", F.lit("official").alias("authority_level")), p.where("page_id % 3 = 0").select("url")).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@_("SELECT page_id FROM pages WHERE page_id % 4 = 0 AND page_id % 3 > 0")
+def usable_responses(spark, d):
+    status = F.when(F.col("page_id") % 4 == 0, 200).when(F.col("page_id") % 4 == 1, 404)
+    body = F.when(F.col("page_id") % 3 > 0, F.col("html")).otherwise(F.lit(" \n\t "))
+    return D.usable_responses(_pages(spark, d).select("page_id", status.alias("status"), body.alias("body"))).select("page_id")
+
+
+@_("SELECT page_id::VARCHAR || '.example' AS domain, 'https://' || page_id || '.example/en/' || i AS url FROM pages, (SELECT unnest([1, 2]) AS i) WHERE page_id % 4 < 3 AND (i = 1 OR page_id % 4 <> 1)")
+def sitemap_discovery(spark, d):
+    """Domains by page: an index on the second path (0), a plain sitemap with a second URL that is blocked (1), one that only robots names (2), none (3)."""
+    n = F.concat(F.col("page_id").cast("string"), F.lit(".example"))
+    p = _pages(spark, d).select(n.alias("domain"), (F.col("page_id") % 4).alias("kind"), F.concat(F.lit("https://"), n).alias("root"))
+    url = lambda path: F.concat(F.lit("<url><loc> "), F.col("root"), F.lit(f"{path} </loc></url>"))
+    leaf = lambda *paths: F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), *map(url, paths), F.lit("</urlset>"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), F.col("root"), F.lit("/leaf.xml</loc></sitemap></sitemapindex>"))
+    file = lambda kind, path, body, status=200: p.where(F.col("kind") == kind).select(F.concat("root", F.lit(path)).alias("sitemap"), F.lit(status).alias("status"), body.alias("body"))
+    responses = file(0, "/sitemap.xml", F.lit("gone"), 404).unionByName(file(0, "/sitemap_index.xml", index)).unionByName(file(0, "/leaf.xml", leaf("/en/1", "/en/2")))
+    responses = responses.unionByName(file(1, "/sitemap.xml", leaf("/en/1", "/private/2"))).unionByName(file(1, "/wp-sitemap.xml", leaf("/en/9"))).unionByName(file(2, "/hidden.xml", leaf("/en/1", "/en/2")))
+    robots = p.select("domain", F.concat(F.lit("User-agent: *\nSitemap: "), F.col("root"), F.lit("/hidden.xml")).alias("text"))
+    rules = p.select("domain", F.array(F.lit("/private")).alias("blocked"), F.array().cast("array<string>").alias("allowed"), F.array(F.lit("/en")).alias("prefixes"))
+    return D.discover_sitemaps(p.select("domain"), responses, robots, rules)

@@ -8,6 +8,7 @@ from ..functions import scoring as S
 from ..functions.text import canonical_hash
 from ..operators import retrieval as R
 from ..operators.dedup import first_wins
+from ..sources.models import rerank_scores
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 
 QUERIES: dict = {}
@@ -17,75 +18,51 @@ _ = lambda sql=None: register(QUERIES, ORACLE_SQL, sql)
 _DOT = "round(list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6)"
 
 
-def _whole(name: str, cut: str, whole: str) -> str:
-    """The SQL of a query without its cut; the query that is cut stays as it is."""
-    assert cut in ORACLE_SQL[name]
-    return ORACLE_SQL[name].replace(cut, whole)
+#: The queries of a search: the rows whose id is divisible by this.
+EVERY = 20
 
 
-def _dense_sql(k: int, queries: str) -> str:
+def _dense_sql(k: int) -> str:
     return f"""dense AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, {_DOT} AS score,
-      row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id {queries}) WHERE rank <= {k})"""
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, v.vec_id)::INT AS rank FROM embeddings v, embeddings q WHERE q.vec_id % {EVERY} = 0) WHERE rank <= {k})"""
 
 
-def _dense(spark, d, ids: list[int] | None, k: int = R.TOP_K):
-    """The best k of all vectors for the vectors named; without names, for those whose id is divisible by 20."""
+def _dense(spark, d, k: int = R.TOP_K):
+    """The best k of all vectors for every vector whose id is divisible by EVERY."""
     e = table(spark, d, "embeddings")
-    asked = F.col("vec_id") % 20 == 0 if ids is None else F.col("vec_id").isin(ids)
-    queries = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.dense_top_k(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), queries, k)
 
 
-@_(f"WITH {_dense_sql(20, '= 0')} SELECT * FROM dense")
+@_(f"WITH {_dense_sql(20)} SELECT * FROM dense")
 def dense_topk(spark, d):
-    return _dense(spark, d, [0])
+    return _dense(spark, d)
 
 
-@_(f"WITH {_dense_sql(10, 'IN (1, 5, 9, 33)')} SELECT * FROM dense")
+@_(f"WITH {_dense_sql(10)} SELECT * FROM dense")
 def dense_topk_multi(spark, d):
-    return _dense(spark, d, [1, 5, 9, 33], 10)
+    return _dense(spark, d, 10)
 
 
-@_(f"WITH {_dense_sql(20, '% 20 = 0')} SELECT * FROM dense")
-def dense_topk_whole(spark, d):
-    return _dense(spark, d, None)
-
-
-#: Query texts: words that the generated documents hold.
-_QUERIES = [(1, "the and nterti"), (2, "der einheit keit"), (3, "tion que la")]
-_VALUES = ", ".join(f"({i}, '{q}')" for i, q in _QUERIES)
+#: BM25 of every text of {docs} whose id is divisible by EVERY, as a query, against all of {docs}.
 _BM25 = rf"""
 words AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM {{docs}}),
 tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM tf GROUP BY id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 n AS (SELECT (SELECT count(*) FROM {{docs}}) AS n_docs, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM {{docs}}) AS avgdl),
-wanted AS (SELECT query_id, unnest(string_split(query, ' ')) AS term FROM (VALUES {_VALUES}) q(query_id, query)),
+wanted AS (SELECT DISTINCT id AS query_id, term FROM tf WHERE id % {EVERY} = 0),
 scored AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
   FROM tf JOIN dl USING (id) JOIN df USING (term) JOIN wanted USING (term), n GROUP BY query_id, id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM scored) WHERE rank <= 20)"""
+_BM25_DOCS = _BM25.replace("{docs}", "documents")
 
 
-def _bm25(spark, docs, k: int = R.TOP_K):
-    return R.bm25(docs, spark.createDataFrame(_QUERIES, "query_id int, query string"), k)
-
-
-#: Every twentieth document's text as a query.
-_WANTED = "wanted AS (SELECT DISTINCT id AS query_id, term FROM tf WHERE id % 20 = 0)"
-_BM25_WHOLE = "\n".join(_WANTED + "," if line.startswith("wanted AS") else line for line in _BM25.replace("{docs}", "documents").split("\n"))
-
-
-def _bm25_whole(spark, d):
-    docs = table(spark, d, "documents")
-    return R.bm25(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+def _bm25(docs, k: int = R.TOP_K):
+    return R.bm25(docs, docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), k)
 
 
-@_(f"WITH {_BM25.replace('{docs}', 'documents')} SELECT * FROM bm")
+@_(f"WITH {_BM25_DOCS} SELECT * FROM bm")
 def bm25_topk(spark, d):
-    return _bm25(spark, table(spark, d, "documents"))
-
-
-@_(f"WITH {_BM25_WHOLE} SELECT * FROM bm")
-def bm25_topk_whole(spark, d):
-    return _bm25_whole(spark, d)
+    return _bm25(table(spark, d, "documents"))
 
 
 @_(r"SELECT (SELECT count(*) FROM documents) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM documents), 6) AS avgdl FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL)")
@@ -102,26 +79,14 @@ fused AS (SELECT query_id, id, round(0.7 * coalesce(dn.s, 0.0) + 0.3 * coalesce(
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM fused) WHERE rank <= 20)"""
 
 
-@_(f"WITH {_dense_sql(20, 'IN (1, 2, 3)')}, {_BM25.replace('{docs}', 'documents')}, {_FUSED} SELECT * FROM top")
+@_(f"WITH {_dense_sql(20)}, {_BM25_DOCS}, {_FUSED} SELECT * FROM top")
 def hybrid_fusion(spark, d):
-    dense = _dense(spark, d, [1, 2, 3]).withColumn("query_id", F.col("query_id").cast("int"))
-    return R.fuse(dense, _bm25(spark, table(spark, d, "documents")))
-
+    return R.fuse(_dense(spark, d), _bm25(table(spark, d, "documents")))
 
-@_(f"WITH {_dense_sql(20, '% 20 = 0')}, {_BM25_WHOLE}, {_FUSED} SELECT * FROM top")
-def hybrid_fusion_whole(spark, d):
-    return R.fuse(_dense(spark, d, None), _bm25_whole(spark, d))
 
-
-@_(f"WITH {_dense_sql(20, 'IN (1, 2, 3)')}, {_BM25.replace('{docs}', 'documents')}, r AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM r) WHERE rank <= 20")
+@_(f"WITH {_dense_sql(20)}, {_BM25_DOCS}, r AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, id, rank FROM dense UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM r) WHERE rank <= 20")
 def rank_fusion(spark, d):
-    dense = _dense(spark, d, [1, 2, 3]).withColumn("query_id", F.col("query_id").cast("int"))
-    return R.reciprocal_rank_fusion([dense, _bm25(spark, table(spark, d, "documents"))])
-
-
-@_(_whole("rank_fusion", "IN (1, 2, 3)", "% 20 = 0").replace(_BM25.replace("{docs}", "documents"), _BM25_WHOLE))
-def rank_fusion_whole(spark, d):
-    return R.reciprocal_rank_fusion([_dense(spark, d, None), _bm25_whole(spark, d)])
+    return R.reciprocal_rank_fusion([_dense(spark, d), _bm25(table(spark, d, "documents"))])
 
 
 _FACTOR = f"(1 - least(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({FETCHED_SQL})) / 86400000000), 365) / 365.0 * 0.1)"
@@ -143,73 +108,41 @@ def authority_filter(spark, d):
     return table(spark, d, "documents").where(S.authority_at_least(level(), "semi_official") & F.col("lang").isin("de", "en") & wanted).select("doc_id")
 
 
-_MERGED = f"""WITH {_dense_sql(20, 'IN (1, 5, 9, 33)')},
-first AS (SELECT query_id % 4 AS group_id, id, arg_min(score, query_id * 1000 + rank) AS score FROM dense GROUP BY ALL)
-SELECT group_id, id, score, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id)::INT AS rank FROM first"""
-
-
-@_(_MERGED)
+@_(f"""WITH {_dense_sql(20)}, first AS (SELECT query_id // 80 AS group_id, id, arg_min(score, query_id * 1000 + rank) AS score FROM dense GROUP BY ALL)
+SELECT group_id, id, score, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, id)::INT AS rank FROM first""")
 def multi_query_merge(spark, d):
-    return _merge(_dense(spark, d, [1, 5, 9, 33]), F.col("query_id") % 4)
-
-
-def _merge(hits, group):
-    return R.merge_queries(hits.withColumn("group_id", group).withColumnRenamed("query_id", "query_pos"))
-
-
-@_(_whole("multi_query_merge", "IN (1, 5, 9, 33)", "% 20 = 0").replace("query_id % 4", "query_id // 80"))
-def multi_query_merge_whole(spark, d):
-    return _merge(_dense(spark, d, None), F.floor(F.col("query_id") / 80).cast("long"))
+    hits = _dense(spark, d).withColumn("group_id", F.floor(F.col("query_id") / 80).cast("long"))
+    return R.merge_queries(hits.withColumnRenamed("query_id", "query_pos"))
 
 
-@_(f"WITH {_dense_sql(10, 'IN (1, 5)')} SELECT query_id, id, rank FROM dense")
+@_(f"WITH {_dense_sql(10)} SELECT query_id, id, round(1.0 / rank, 6)::DOUBLE AS score, rank FROM dense")
 def rerank_mock(spark, d):
-    return _dense(spark, d, [1, 5], 20).where(F.col("rank") <= R.RERANKED).select("query_id", "id", "rank")
+    """Without a scorer the order stays, and the best RERANKED are left."""
+    hits = _dense(spark, d)
+    return R.rerank(hits, rerank_scores(hits)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@_(f"WITH {_dense_sql(20, 'IN (1, 5)')}, s AS (SELECT query_id, id, (((rank - 1) * 7) % 20)::DOUBLE / 20 AS score FROM dense) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 10")
+@_(f"WITH {_dense_sql(20)}, s AS (SELECT query_id, id, (((rank - 1) * 7) % 20)::DOUBLE / 20 AS score FROM dense) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) WHERE rank <= 10")
 def rerank_map(spark, d):
-    return _rerank(_dense(spark, d, [1, 5]))
-
-
-def _rerank(hits):
+    hits = _dense(spark, d)
     answers = hits.select("query_id", (F.col("rank") - 1).alias("idx"), (((F.col("rank") - 1) * 7) % 20 / 20).alias("rerank_score"))
     return R.rerank(hits, answers).select("query_id", "id", "score", "rank")
 
 
-@_(_whole("rerank_mock", "IN (1, 5)", "% 20 = 0"))
-def rerank_mock_whole(spark, d):
-    return _dense(spark, d, None).where(F.col("rank") <= R.RERANKED).select("query_id", "id", "rank")
-
-
-@_(_whole("rerank_map", "IN (1, 5)", "% 20 = 0"))
-def rerank_map_whole(spark, d):
-    return _rerank(_dense(spark, d, None))
-
-
 _BADGE = "CASE authority_level WHEN 'official' THEN '🔴 [OFFICIAL]' WHEN 'semi_official' THEN '🟡 [SEMI-OFFICIAL]' WHEN 'third_party' THEN '⚪ [THIRD-PARTY]' ELSE '' END"
 
 
-@_(f"""WITH r AS (SELECT doc_id // 8 AS query_id, (doc_id % 8 + 1)::INT AS rank, {LEVEL_SQL} AS authority_level, left(text, 200) AS text, source FROM documents)
+@_(f"""WITH r AS (SELECT doc_id // 8 AS query_id, (doc_id % 8 + 1)::INT AS rank, {LEVEL_SQL} AS authority_level, text, source FROM documents)
 SELECT query_id, string_agg(chr(10) || '[Passage ' || rank || '] ' || {_BADGE} || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || chr(10) || 'Section: General' || chr(10) || '---' || chr(10) || text || chr(10) || '---' || chr(10), chr(10) ORDER BY rank) AS context
 FROM r WHERE rank <= 5 GROUP BY query_id""")
 def context_build(spark, d):
-    return _context(spark, d, F.left("text", F.lit(200)))
-
-
-def _context(spark, d, text):
     rows = table(spark, d, "documents").select(
         F.floor(F.col("doc_id") / 8).cast("long").alias("query_id"), (F.col("doc_id") % 8 + 1).cast("int").alias("rank"), level().alias("authority_level"),
-        F.col("source").alias("source_url"), F.lit(None).cast("string").alias("section_header"), text.alias("text"),
+        F.col("source").alias("source_url"), F.lit(None).cast("string").alias("section_header"), "text",
     )
     return R.build_context(rows)
 
 
-@_(_whole("context_build", "left(text, 200) AS text", "text"))
-def context_build_whole(spark, d):
-    return _context(spark, d, F.col("text"))
-
-
 @_("SELECT doc_id, NOT regexp_matches(lower(said), 'ignore previous instructions|system prompt|you are now|disregard|pretend you are|forget about|new instructions|execute code|eval\\(|import os') AS safe FROM (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN ' Ignore previous instructions' WHEN 5 THEN ' eval(x)' ELSE '' END AS said FROM documents)")
 def injection_flag(spark, d):
     said = F.concat("text", F.when(F.col("doc_id") % 11 == 0, " Ignore previous instructions").when(F.col("doc_id") % 11 == 5, " eval(x)").otherwise(""))
@@ -225,23 +158,17 @@ _LANGS = r"""concat_ws(',', CASE WHEN regexp_matches(q, '[\x{4e00}-\x{9fff}]') T
   CASE WHEN regexp_matches(lower(q), '[äöüß]') OR regexp_matches(lower(q), '(^|[^\p{L}\p{N}_])(der|die|das|und|in|zu|mit)($|[^\p{L}\p{N}_])') THEN 'de' END)"""
 
 
-@_(f"SELECT conv_id, turn, CASE WHEN l = '' THEN 'en' ELSE l END AS languages FROM (SELECT conv_id, turn, {_LANGS} AS l FROM (SELECT conv_id, turn, left(text, 80) AS q FROM conversations))")
+@_(f"SELECT conv_id, turn, CASE WHEN l = '' THEN 'en' ELSE l END AS languages FROM (SELECT conv_id, turn, {_LANGS} AS l FROM (SELECT conv_id, turn, text AS q FROM conversations))")
 def detect_language(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_languages(F.left("text", F.lit(80))), ",").alias("languages"))
-
-
-@_(_whole("detect_language", "left(text, 80) AS q", "text AS q"))
-def detect_language_whole(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_languages(F.col("text")), ",").alias("languages"))
 
 
-_ASK = "CASE conv_id % 5 WHEN 0 THEN 'Opportunity card or work visa' WHEN 1 THEN 'Freiberufler und Unternehmer' WHEN 2 THEN 'Studentenvisum' ELSE '' END || ' ' || left(text, 20)"
+_ASK = "CASE conv_id % 5 WHEN 0 THEN 'Opportunity card or work visa' WHEN 1 THEN 'Freiberufler und Unternehmer' WHEN 2 THEN 'Studentenvisum' ELSE '' END || ' ' || text"
 
 
-def _ask(text=None):
-    text = F.left("text", F.lit(20)) if text is None else text
+def _ask():
     n = F.col("conv_id") % 5
-    return F.concat(F.when(n == 0, "Opportunity card or work visa").when(n == 1, "Freiberufler und Unternehmer").when(n == 2, "Studentenvisum").otherwise(""), F.lit(" "), text)
+    return F.concat(F.when(n == 0, "Opportunity card or work visa").when(n == 1, "Freiberufler und Unternehmer").when(n == 2, "Studentenvisum").otherwise(""), F.lit(" "), F.col("text"))
 
 
 @_("SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(q), '{p}') THEN '{n}' END" for n, p in S.TOPIC_PATTERNS.items()) + f") AS topics FROM (SELECT conv_id, turn, {_ASK} AS q FROM conversations)")
@@ -249,35 +176,50 @@ def detect_topics(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_topics(_ask()), ",").alias("topics"))
 
 
-@_(_whole("detect_topics", "left(text, 20)", "text"))
-def detect_topics_whole(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(S.detect_topics(_ask(F.col("text"))), ",").alias("topics"))
-
-
 @_(f"SELECT conv_id, turn, CASE WHEN length(trim(q)) > 50 THEN q ELSE array_to_string(list_filter(CASE WHEN a = b THEN [a] ELSE [a, b] END, lambda x: x <> ''), '|') END AS queries, len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '')) < 3 AS expand FROM (SELECT conv_id, turn, q, trim(q) AS a, lower(trim(q)) AS b FROM (SELECT conv_id, turn, {_ASK} AS q FROM conversations))")
 def search_query_gate(spark, d):
-    return _gate(spark, d, _ask())
+    found = S.search_queries(_ask(), F.btrim(_ask()), F.lower(F.btrim(_ask())), F.array().cast("array<string>"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("queries"), S.needs_expansion(_ask()).alias("expand"))
 
 
-def _gate(spark, d, q):
-    found = S.search_queries(q, F.btrim(q), F.lower(F.btrim(q)), F.array().cast("array<string>"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("queries"), S.needs_expansion(q).alias("expand"))
+@_("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def last_user_message(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
-@_(_whole("search_query_gate", "left(text, 20)", "text"))
-def search_query_gate_whole(spark, d):
-    return _gate(spark, d, _ask(F.col("text")))
+_MODEL = "CASE conv_id % 4 WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'gpt-4' WHEN 2 THEN 'gpt-4o-mini' ELSE 'other' END"
+_IN = "CASE conv_id % 4 WHEN 0 THEN 0.005 WHEN 1 THEN 0.03 WHEN 2 THEN 0.00015 ELSE 0 END"
+_OUT = "CASE conv_id % 4 WHEN 0 THEN 0.015 WHEN 1 THEN 0.06 WHEN 2 THEN 0.0006 ELSE 0 END"
 
 
-@_("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id")
-def last_user_message(spark, d):
-    return table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+def _model():
+    n = F.col("conv_id") % 4
+    return F.when(n == 0, "gpt-4o").when(n == 1, "gpt-4").when(n == 2, "gpt-4o-mini").otherwise("other")
 
 
-@_("SELECT conv_id, turn, length(text) // 4 AS tokens, round(length(text) // 4 / 1000 * 0.00015 + 100 / 1000 * 0.0006, 6) AS cost FROM conversations")
+@_(f"SELECT conv_id, turn, length(text) // 4 AS tokens, round((length(text) // 4 / 1000 * ({_IN})::DOUBLE + (length(text) // 8) / 1000 * ({_OUT})::DOUBLE)::DOUBLE, 6) AS cost FROM conversations")
 def cost_estimate(spark, d):
-    t = S.token_estimate(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", t.alias("tokens"), S.cost_estimate(t, F.lit(100), F.lit("gpt-4o-mini")).alias("cost"))
+    t, out = S.token_estimate(F.col("text")), F.floor(F.length("text") / 8)
+    return table(spark, d, "conversations").select("conv_id", "turn", t.alias("tokens"), S.cost_estimate(t, out, _model()).alias("cost"))
+
+
+@_(f"SELECT conv_id, turn, round((length(text) // 4 / 1000 * (CASE WHEN conv_id % 4 = 0 THEN 0 ELSE {_IN} END)::DOUBLE + (length(text) // 8) / 1000 * (CASE WHEN conv_id % 4 = 0 THEN 0 ELSE {_OUT} END)::DOUBLE)::DOUBLE, 9) AS cost FROM conversations")
+def client_cost(spark, d):
+    t, out = S.token_estimate(F.col("text")), F.floor(F.length("text") / 8)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(S.client_cost(t, out, _model()), 9).alias("cost"))
+
+
+_TOPICS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(q), '{p}') THEN '{n}' END" for n, p in S.TOPIC_PATTERNS.items()) + ")"
+
+
+@_(f"""SELECT conv_id, turn, CASE WHEN short AND conv_id % 2 = 0 THEN 'fixed' ELSE q END AS corrected, CASE WHEN short THEN '' ELSE {_TOPICS} END AS topics,
+  CASE WHEN short AND conv_id % 2 = 0 THEN 'en' WHEN short THEN 'de' WHEN {_LANGS} = '' THEN 'en' ELSE {_LANGS} END AS languages, CASE WHEN short AND conv_id % 2 = 0 THEN 0.7::DOUBLE WHEN short THEN 0.5::DOUBLE ELSE 0.9::DOUBLE END AS confidence
+FROM (SELECT conv_id, turn, text AS q, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 3 AS short FROM conversations)""")
+def query_transform(spark, d):
+    """Every turn as a query; a model answers for even conversations, and what it says for the others is no JSON."""
+    said = F.when(F.col("conv_id") % 2 == 0, F.lit('{"corrected_query": "fixed", "query_variants": ["a"], "detected_visa_types": [], "languages_detected": ["en"], "confidence": 0.7}')).otherwise("no object")
+    t = table(spark, d, "conversations").select("conv_id", "turn", S.transformed_query(F.col("text"), said).alias("t"))
+    return t.select("conv_id", "turn", F.col("t.corrected_query").alias("corrected"), F.array_join("t.detected_visa_types", ",").alias("topics"), F.array_join("t.languages_detected", ",").alias("languages"), F.col("t.confidence").alias("confidence"))
 
 
 @_("SELECT conv_id, sum(4 + length(role) // 4 + length(text) // 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id")
@@ -287,22 +229,13 @@ def message_tokens(spark, d):
 
 
 @_("""SELECT conv_id, turn, i::INT AS pos, 'data: {"choices":[{"delta":{"content":' || to_json(substr(text, i * 20 + 1, 20)) || '},"finish_reason":null}]}' || chr(10) || chr(10) AS event
-FROM (SELECT *, unnest(range((length(text) + 19) // 20)) AS i FROM conversations WHERE turn = 1)""")
+FROM (SELECT *, unnest(range((length(text) + 19) // 20)) AS i FROM conversations)""")
 def sse_chunks(spark, d):
-    return _events(table(spark, d, "conversations").where("turn = 1"))
-
-
-def _events(rows):
-    rows = rows.where("text <> ''")  # an empty text has no piece
+    rows = table(spark, d, "conversations").where("text <> ''")  # an empty text has no piece
     pieces = rows.select("conv_id", "turn", "text", F.explode(F.expr("sequence(0, cast((length(text) + 19) div 20 as int) - 1)")).alias("pos"))
     return pieces.select("conv_id", "turn", "pos", S.sse_event(F.substr("text", F.col("pos") * 20 + 1, F.lit(20))).alias("event"))
 
 
-@_(_whole("sse_chunks", " WHERE turn = 1", ""))
-def sse_chunks_whole(spark, d):
-    return _events(table(spark, d, "conversations"))
-
-
 _UNIQUE = f"(SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'))) ORDER BY doc_id) = 1)"
 
 
@@ -313,7 +246,7 @@ SELECT query_id, id, score, authority_level, adjusted_score, rank FROM (
 def retrieve_rescored(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", canonical_hash(F.col("text")).alias("text_hash"))
     unique = first_wins(docs.withColumn("at", F.col("doc_id")), ["text_hash"], ["at"]).select("doc_id", "text")
-    hits = _bm25(spark, unique).drop("rank")
+    hits = _bm25(unique).drop("rank")
     meta = table(spark, d, "documents").select(F.col("doc_id").alias("id"), level().alias("authority_level"), fetched_at().alias("fetched_at"))
     scored = R.rescore(hits, meta, as_of()).drop("fetched_at")
     return R.top_k(scored, R.RERANKED, score="adjusted_score")

@@ -193,10 +193,29 @@ def quality_alerts(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(quality_flags(F.col("text"), header), ",").alias("flags"))
 
 
-@_(r"SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), url) AS title FROM pages")
+_PAGE = """'<html><head><title> Page ' || page_id || ' </title>' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:description" content="og ' || page_id || '">' ELSE '' END
+  || '<meta name="description" content="plain"><meta property="article:published_time" content="' || CASE WHEN page_id % 3 = 0 THEN '2024-05-06T07:08:09' ELSE 'last week' END || '"></head><body><svg><title>icon</title></svg><p>x</p></body>'"""
+
+
+@_("SELECT page_id, 'Page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'og ' || page_id ELSE 'plain' END AS description, CASE WHEN page_id % 3 = 0 THEN '2024-05-06 07:08:09' ELSE 'none' END AS published FROM pages")
+def page_metadata(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url", F.expr(_PAGE).alias("html"))
+    published = F.coalesce(F.date_format("published", "yyyy-MM-dd HH:mm:ss"), F.lit("none"))
+    return extract_pages(pages).select("page_id", "title", "description", published.alias("published"))
+
+
+@_(r"SELECT page_id, coalesce(nullif(trim(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')), ''), url) AS title FROM pages")
 def page_title(spark, d):
-    title = F.btrim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1))
-    return table(spark, d, "pages").select("page_id", F.when(title != "", title).otherwise(F.col("url")).alias("title"))
+    p = table(spark, d, "pages")
+    found = extract_pages(p.select("page_id", "url", F.concat("html", F.lit("<p>.")).alias("html")))
+    return found.select("page_id", "title")
+
+
+@_("SELECT doc_id, 'Topic: ' || CASE WHEN doc_id % 2 = 0 THEN 'Doc' ELSE 'Some Page ' || doc_id END || ' | Section: Costs' || chr(10) AS prefix FROM documents")
+def context_prefix(spark, d):
+    title = F.when(F.col("doc_id") % 4 == 0, F.lit("Doc")).when(F.col("doc_id") % 2 == 0, F.lit("Doc")).when(F.col("doc_id") % 4 == 1, F.lit(""))
+    url = F.concat(F.lit("https://a.example/en/some-page-"), F.col("doc_id").cast("string"))
+    return _docs(spark, d).select("doc_id", chunking.context_prefix(title, url, F.lit("Costs")).alias("prefix"))
 
 
 @_()

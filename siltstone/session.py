@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +20,29 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder that spark.checkpoint.dir names.
+
+    Only in local mode, where driver and executors are one process, a temporary
+    folder of this machine stands in for it; elsewhere its absence is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siltstone.shared.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="siltstone-")
+        spark.conf.set("siltstone.shared.dir", root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for one run's table or folder."""
+    return f"{shared_folder(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with files in spark.checkpoint.dir; a folder of this machine only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    """Cuts lineage with files in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

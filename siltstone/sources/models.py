@@ -28,15 +28,21 @@ def choose_generator(hosted: Generator | None = None, local: Generator | None =
     return hosted or local or EchoGenerator()
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """A unit vector of hashed term counts: stays in the JVM, the same on every run."""
+    """A unit vector of hashed term counts: stays in the JVM, the same on every run. Without terms all are 0."""
     slots = F.transform(terms(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda c: _bound(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
+    return _bound(slots, lambda s: _bound(counts(s), unit))
 
 
 def rerank_scores(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(query_id, idx, rerank_score) of hits(query_id, rank, query, text); without a scorer the order stays."""
-    score = scorer(F.col("query"), F.col("text")) if scorer else 1.0 / F.col("rank")
+    """(query_id, idx, rerank_score) of hits(query_id, rank), with a scorer also (query, text); without one the order stays."""
+    score = scorer(F.col("query"), F.col("text")) if scorer else 1 / F.col("rank")
     return hits.select("query_id", (F.col("rank") - 1).alias("idx"), score.alias("rerank_score"))

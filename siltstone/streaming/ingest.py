@@ -1,43 +1,99 @@
-"""Incremental ingestion of a landing folder with Structured Streaming."""
+"""Incremental ingestion of a landing folder with Structured Streaming.
+
+All tables are append-only Parquet, partitioned by run, so a run that is
+repeated after a failure replaces its own rows and nothing else:
+
+- documents: the state of each document that the run took in,
+- chunks: the chunks, with payload, vector and point id, that it stored,
+- runs: one row of totals.
+
+A document's present chunks are those of its latest run that stored it; what an
+earlier run stored is replaced without being rewritten.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash
+from ..functions.text import content_hash, point_id
 from ..operators.chunking import chunk_documents
-from ..operators.dedup import first_wins
+from ..operators.dedup import classify_changes, first_wins
+from ..sources.models import hashed_embedding
+from ..sources.tables import ensure_table, read_table
 
 SCHEMA = "doc_id long, text string"
-CHUNKS = "doc_id long, section_index int, child_index int, chunk_id string, is_parent boolean, text string, text_hash string, referenced_urls array<string>"
+DOCUMENTS = "doc_id long, content_hash string, status string, error string, chunks_ingested long, chunks_skipped long, run_id long"
+CHUNKS = "doc_id long, section_index int, child_index int, chunk_id string, is_parent boolean, text string, text_hash string, referenced_urls array<string>, point_id long, vector array<float>, run_id long"
+RUNS = "documents_processed long, documents_unchanged long, chunks_ingested long, chunks_skipped long, error_count long, errors array<string>, total_tokens long, success boolean, run_id long"
+NO_CHUNKS = "Chunking produced no chunks"
+MOST_ERRORS = 100
+
 
+def document_state(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """(doc_id, content_hash, status, error, run_id): each document as its last run, before the one named, left it."""
+    rows = read_table(spark, f"{out}/documents", DOCUMENTS)
+    if before is not None:
+        rows = rows.where(F.col("run_id") < before)
+    row = F.struct("content_hash", "status", "error", "run_id")
+    return rows.groupBy("doc_id").agg(F.max_by(row, "run_id").alias("r")).select("doc_id", "r.*")
 
-def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
 
+def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The chunks that count: those of each document's latest run. A failed document has none."""
+    state = document_state(spark, out, before).where("status = 'ingested'").select("doc_id", "run_id")
+    return read_table(spark, f"{out}/chunks", CHUNKS).join(state, ["doc_id", "run_id"], "left_semi")
 
-def ingest_batch(docs: DataFrame, out: str) -> None:
-    """Chunks documents whose (id, content) was not ingested before and appends what is new by text hash.
 
-    Both tables are append-only and keyed by content, so a batch that runs twice
-    adds nothing the second time.
+def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) -> None:
+    """Takes in docs(doc_id, text) as one run.
+
+    Documents whose stored content is the same are passed over; their rows in
+    documents are not written again. Others are chunked anew, which replaces
+    their chunks. A chunk whose text is stored for another document, or comes
+    earlier in the batch, is skipped. Documents without chunks are marked failed.
+    Of rows that share an id the one with the greatest content hash counts.
     """
     spark = docs.sparkSession
-    known = _existing(spark, f"{out}/documents", "doc_id long, content_hash string")
-    fresh = docs.withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates(["doc_id", "content_hash"]).join(known, ["doc_id", "content_hash"], "left_anti")
-    chunks = chunk_documents(fresh.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))))
-    stored = _existing(spark, f"{out}/chunks", CHUNKS)
-    new = first_wins(chunks, ["text_hash"], ["doc_id", "section_index", "child_index"]).join(stored.select("text_hash"), "text_hash", "left_anti")
-    new.select("doc_id", "section_index", "child_index", "chunk_id", "is_parent", "text", "text_hash", "referenced_urls").write.mode("append").parquet(f"{out}/chunks")
-    fresh.select("doc_id", "content_hash").write.mode("append").parquet(f"{out}/documents")
+    for name in ("documents", "chunks", "runs"):
+        ensure_table(spark, f"{out}/{name}")
+    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", content_hash(F.col("text")))
+    rows = rows.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
+    classed = classify_changes(rows, document_state(spark, out, run_id), force=force)
+    work = classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash")
+
+    chunks = chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))))
+    stored = present_chunks(spark, out, run_id).join(work.select("doc_id"), "doc_id", "left_anti").select("text_hash")
+    chosen = first_wins(chunks, ["text_hash"], ["doc_id", "section_index", "child_index"]).join(stored, "text_hash", "left_anti")
+    points = chosen.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", F.lit(run_id))
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    points.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/chunks")
+
+    made = chunks.groupBy("doc_id").agg(F.count("*").alias("made"))
+    written = read_table(spark, f"{out}/chunks", CHUNKS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("chunks_ingested"))
+    each = work.select("doc_id", "content_hash").join(made, "doc_id", "left").join(written, "doc_id", "left")
+    each = each.withColumn("chunks_ingested", F.coalesce("chunks_ingested", F.lit(0))).withColumn("chunks_skipped", F.coalesce("made", F.lit(0)) - F.col("chunks_ingested"))
+    none = F.col("made").isNull()
+    each = each.withColumn("status", F.when(none, "failed").otherwise("ingested")).withColumn("error", F.when(none, F.lit(NO_CHUNKS))).withColumn("run_id", F.lit(run_id).cast("long"))
+    names = [x.split()[0] for x in DOCUMENTS.split(", ")]
+    each.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/documents")
+
+    done = read_table(spark, f"{out}/documents", DOCUMENTS).where(F.col("run_id") == run_id)
+    failed = F.col("status") == "failed"
+    totals = done.agg(
+        F.count_if(~failed).alias("taken"), F.coalesce(F.sum("chunks_ingested"), F.lit(0)).alias("chunks_ingested"), F.coalesce(F.sum("chunks_skipped"), F.lit(0)).alias("chunks_skipped"), F.count_if(failed).alias("error_count")
+    )
+    said = done.where(failed).orderBy("doc_id").limit(MOST_ERRORS).agg(F.array_sort(F.collect_list(F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("error")))).alias("errors"))
+    same = classed.agg(F.count_if(F.col("change") == "unchanged").alias("documents_unchanged"))
+    run = totals.crossJoin(said).crossJoin(same).select(
+        (F.col("taken") + F.col("documents_unchanged")).alias("documents_processed"), "documents_unchanged", "chunks_ingested", "chunks_skipped", "error_count", "errors",
+        F.lit(0).cast("long").alias("total_tokens"), (F.col("error_count") == 0).alias("success"), F.lit(run_id).cast("long").alias("run_id"),
+    )
+    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/runs")
 
 
 def ingest_available(spark: SparkSession, landing: str, out: str) -> None:
-    """Takes in whatever arrived in the landing folder since the last call, then stops."""
+    """Takes in whatever arrived in the landing folder since the last call, then stops. A micro-batch is a run."""
     stream = spark.readStream.schema(SCHEMA).parquet(landing).writeStream
-    stream = stream.foreachBatch(lambda df, _: ingest_batch(df, out)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
+    stream = stream.foreachBatch(lambda df, run: ingest_batch(df, out, run)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
     stream.start().awaitTermination()

@@ -1,12 +1,16 @@
 """Operators on small hand-made tables."""
 
+import random
+from urllib.parse import urljoin
+
 from pyspark.sql import functions as F
 
 from siltstone import plans
 from siltstone.functions import scoring, text, urls
-from siltstone.operators import chunking, dedup, discovery, retrieval
+from siltstone.operators import chunking, dedup, discovery, evaluation, retrieval
 from siltstone.operators.html import read_page
-from siltstone.streaming.ingest import ingest_available
+from siltstone.sources import models, pages, seeds, tables
+from siltstone.streaming import ingest
 
 
 def one(spark, column):
@@ -67,15 +71,118 @@ def test_read_page():
     assert read_page(None, "u") == ("", "u", None, None)
 
 
-def test_incremental_ingest_is_idempotent(spark, tmp_path):
+def test_page_to_markdown():
+    page = """<svg><title>icon</title></svg><title>late</title><body><h1>A <b>bold</b> <i>word</i></h1><ol><li>one<li>two</ol>
+      <ul><li>x <code>y</code></ul><table><tr><th>h</th><th>i</th></tr><tr><td>a</td><td>b</td></tr></table><img src="p.png" alt="pic"><pre>k  l
+m</pre><blockquote>said</blockquote></body>"""
+    markdown, title, _, published = read_page(page, "u")
+    assert (title, published) == ("icon", None)
+    for piece in ("# A **bold** *word*", "1. one\n2. two", "* x `y`", "| h | i |\n| --- | --- |\n| a | b |", "![pic](p.png)", "```\nk l\nm\n```", "> said"):
+        assert piece in markdown
+    assert read_page("<title>T</title><body>x<svg><title>icon</title></svg>", "u")[1] == "T"
+
+
+def test_resolved_links(spark):
+    for href, want in (("x.html", "/a/b/x.html"), ("../y", "/a/y"), ("../../../z", "/z"), ("./q/../r/", "/a/b/r/"), ("?p=2", "/a/b/c?p=2"), ("/m/./n", "/m/n"), ("..", "/a/")):
+        assert one(spark, urls.resolve(F.lit(href), F.lit("https://h.example/a/b/c?k#t"))) == f"https://h.example{want}" == urljoin("https://h.example/a/b/c?k#t", href)
+    assert one(spark, urls.resolve(F.lit("x"), F.lit("https://h.example"))) == "https://h.example/x"
+    assert one(spark, urls.hrefs(F.lit("<A HREF = 'a b'><a class=c href=d><a\nhref=\"e&amp;f\"><abbr href='no'>"))) == ["a b", "d", "e&f"]
+
+
+def test_ingestion_replaces_documents(spark, tmp_path):
+    out, long = str(tmp_path / "out"), "A sentence that is long enough to be kept as a child of its section, number {}. " * 4
+    doc = lambda i, x: (i, f"## Head {x}\n" + long.format(x, x, x, x))
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda n, rows, **options: ingest.ingest_batch(table(rows), out, n, **options)
+    said = lambda: sorted((r.doc_id, r.text.split("\n")[0]) for r in ingest.present_chunks(spark, out).where("is_parent").collect())
+    run(0, [doc(1, "A"), doc(2, "X"), (3, " "), (None, "no id")])
+    assert said() == [(1, "Head A"), (2, "Head X")]
+    run(1, [doc(1, "B"), doc(2, "X"), doc(4, "X")])
+    assert said() == [(1, "Head B"), (2, "Head X")]  # the parent of 4 is stored for 2
+    run(2, [doc(1, "A")])
+    run(2, [doc(1, "A")])  # repeated after a failure
+    assert said() == [(1, "Head A"), (2, "Head X")]
+    run(3, [doc(1, "A")])
+    run(4, [doc(1, "A")], force=True)
+    log = {r.run_id: r for r in spark.read.parquet(f"{out}/runs").collect()}
+    assert [log[n].documents_unchanged for n in range(5)] == [0, 1, 0, 1, 0]
+    assert (log[0].documents_processed, log[0].error_count, log[0].errors, log[0].success) == (2, 1, [f"3: {ingest.NO_CHUNKS}"], False)
+    assert log[1].chunks_skipped >= 1 and log[2].success and log[4].chunks_ingested == log[2].chunks_ingested > 0
+    row = ingest.present_chunks(spark, out).first()
+    assert len(row.vector) == 64 and abs(sum(x * x for x in row.vector) - 1) < 1e-5 and row.point_id == int(row.text_hash[:15], 16)
+    ingest.ingest_batch(table([]), out, 5)
+    assert len(said()) == 2
+
+
+def test_landing_folder(spark, tmp_path):
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(i, f"## Head\nSentence number {i} is here. " * 20) for i in range(5)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(landing)
-    ingest_available(spark, landing, out)
-    first = spark.read.parquet(f"{out}/chunks").count()
+    ingest.ingest_available(spark, landing, out)
+    first = ingest.present_chunks(spark, out).count()
     spark.createDataFrame(rows[:3], "doc_id long, text string").write.mode("append").parquet(landing)
-    ingest_available(spark, landing, out)
-    assert spark.read.parquet(f"{out}/chunks").count() == first > 0
+    ingest.ingest_available(spark, landing, out)
+    assert ingest.present_chunks(spark, out).count() == first > 0
+
+
+def test_fetching(spark, tmp_path):
+    page = tmp_path / "page.html"
+    page.write_text("<title>T</title><main>hello</main>")
+    asked = spark.createDataFrame([(f"file://{page}",), (f"file://{tmp_path}/none",), (None,), (f"file://{page}",)], "url string")
+    got = {r.url[-4:]: r for r in pages.fetch_pages(asked, 2, rate=1000.0, attempts=1).collect()}
+    assert set(got) == {"html", "none"} and got["none"].html is None and got["none"].error and "hello" in got["html"].html
+    assert [(r.title, r.markdown) for r in pages.crawl_batch(asked, 1, rate=1000.0, attempts=1).collect()] == [("T", "hello")]
+    waits, failures = [], iter([OSError("a"), OSError("b"), (200, "x")])
+
+    def get(url):
+        if isinstance(x := next(failures), OSError):
+            raise x
+        return x
+
+    assert pages.with_retries(get, "u", sleep=waits.append) == (200, "x", None) and waits == [2.0, 4.0]
+
+
+def test_token_bucket(spark):
+    random.seed(3)
+    times = sorted(random.random() * 3 for _ in range(30))
+    clock, waits = [times[0]], []
+    bucket = pages.TokenBucket(2.0, now=lambda: clock[0], sleep=waits.append)
+    want = []
+    for t in times:
+        clock[0] = max(clock[0], t)
+        n = len(waits)
+        bucket.acquire()
+        want.append(waits[-1] if len(waits) > n else 0.0)
+        bucket.at = clock[0] = clock[0] + want[-1] if want[-1] else clock[0]
+    got = evaluation.token_bucket_waits(spark.createDataFrame([("h", t) for t in times], "host string, at double"), "host", "at", 2.0).first().waits
+    assert len(got) == 30 and sum(got) > 0
+
+
+def test_caches_and_seeds(spark, tmp_path):
+    at = lambda x: F.lit(x).cast("timestamp")
+    cache = spark.createDataFrame([("q", "old", "2025-01-01 00:00:00"), ("q", "new", "2025-01-01 05:00:00"), ("r", "stale", "2024-12-30 00:00:00")], "query string, answer string, at string")
+    cache = cache.select(tables.answer_key(F.col("query")).alias("cache_key"), "answer", F.col("at").cast("timestamp").alias("at"))
+    asked = spark.createDataFrame([("q",), ("r",), (None,)], "query string")
+    got = {r.query: r.answer for r in tables.cached_answers(asked, cache, at("2025-01-01 06:00:00"), 24).collect()}
+    assert got == {"q": "new", "r": None, None: None}
+    path = str(tmp_path / "cache")
+    rows = spark.createDataFrame([("a.example", "u1", 0.1), ("a.example", "u2", 0.9), ("b.example", "v", 0.5)], "domain string, url string, relevance double")
+    tables.replace_domains(rows, path)
+    tables.replace_domains(spark.createDataFrame([("b.example", "w", 0.4)], rows.schema), path)
+    read = lambda d=None: [r.url for r in tables.cached_urls(spark.read.schema(rows.schema).parquet(path), d).orderBy("domain", "place").collect()]
+    assert read() == ["u2", "u1", "w"] and read("a.example") == ["u2", "u1"]
+    tables.clear_domains(spark, path, "a.example")
+    assert read() == ["w"]
+    tables.log_metrics(spark, str(tmp_path / "metrics"), "r1", faithfulness=0.5)
+    assert spark.read.parquet(str(tmp_path / "metrics")).collect()[0].value == 0.5
+    (tmp_path / "eval.json").write_text('{"questions": ["a", "b"], "ground_truths": ["c", "d"]}')
+    eval_set = seeds.read_eval_set(spark, str(tmp_path / "eval.json"))
+    assert sorted(map(tuple, eval_set.collect())) == [(0, "a", "c"), (1, "b", "d")]
+    seeds.write_report(eval_set.agg(F.count("*").alias("n")), eval_set, str(tmp_path / "report"))
+    assert spark.read.csv(str(tmp_path / "report/samples"), header=True).count() == 2
+    good, bad = seeds.valid_and_rejected(spark.createDataFrame([("official",), ("other",), (None,)], "authority_level string"))
+    assert (good.count(), bad.count()) == (1, 2)
+    assert models.choose_generator().generate("first\nsecond", "q") == "first"
 
 
 def test_templates_fill_once(spark):
@@ -98,11 +205,11 @@ def test_whole_texts_and_rows(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     spark.createDataFrame([(0, long, "s")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
-    assert long in run("context_build_whole")[0].context
-    assert {r.turn: r.languages for r in run("detect_language_whole")}[1] == "zh,de"
-    assert {r.turn: r.queries for r in run("search_query_gate_whole")}[1] == " " + long
-    assert {r.turn: r.topics for r in run("detect_topics_whole")}[1] == "work_visa"
-    assert sorted((r.turn, r.pos) for r in run("sse_chunks_whole") if r.turn > 1) == [(2, 0), (2, 1), (2, 2)]
+    assert long in run("context_build")[0].context
+    assert {r.turn: r.languages for r in run("detect_language")}[1] == "zh,de"
+    assert {r.turn: r.queries for r in run("search_query_gate")}[1] == " " + long
+    assert {r.turn: r.topics for r in run("detect_topics")}[1] == "work_visa"
+    assert sorted((r.turn, r.pos) for r in run("sse_chunks") if r.turn > 1) == [(2, 0), (2, 1), (2, 2)]
 
 
 def test_dense_search_goes_through_blocks(spark, monkeypatch):
@@ -119,10 +226,10 @@ def test_dense_search_goes_through_blocks(spark, monkeypatch):
 def test_searches_ask_every_twentieth_row(spark):
     data = "/root/testdata/sf0.001"
     asked = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    for name in ("dense_topk_whole", "rerank_mock_whole", "rerank_map_whole"):
+    for name in ("dense_topk", "rerank_mock", "rerank_map"):
         assert {r.query_id for r in plans.QUERIES[name](spark, data).collect()} == asked
     texts = {r.doc_id for r in spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 20 = 0").collect()}
-    assert {r.query_id for r in plans.QUERIES["bm25_topk_whole"](spark, data).collect()} == texts
+    assert {r.query_id for r in plans.QUERIES["bm25_topk"](spark, data).collect()} == texts
 
 
 def test_walks_and_points_grow_with_the_table(spark, tmp_path):
@@ -137,7 +244,7 @@ def test_walks_and_points_grow_with_the_table(spark, tmp_path):
             if m not in depth:
                 depth[m] = depth[n] + 1
                 todo.append(m)
-    assert {r.node: r.depth for r in run("bfs_depth_whole")} == depth and len(depth) == 400
+    assert {r.node: r.depth for r in run("bfs_depth")} == depth and len(depth) == 400
     want = {url(i): i % 20 for i in range(400) if i % 20 <= 4}
-    assert {r.node: r.depth for r in run("bfs_links_whole")} == want
-    assert sorted(r.doc_id for r in run("upsert_latest_whole")) == list(range(50, 400))
+    assert {r.node: r.depth for r in run("bfs_links")} == want
+    assert sorted(r.doc_id for r in run("upsert_latest")) == list(range(50, 400))
