@@ -2,14 +2,13 @@
 
 Intermediate results that are read more than once are written as Parquet under
 the folder that the cluster names in ``spark.checkpoint.dir``; a lost executor
-then costs only the tasks it was running. Nothing is kept on executors' disks.
+then costs only the tasks it was running. Nothing is kept on executors' disks;
+without that setting only local mode runs.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: Words of every contract: runs of bytes other than space and 09-0D.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables, below spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) a temporary folder of
-    this machine is chosen and recorded in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("siltstone.shared.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="siltstone-")
-            spark.conf.set("siltstone.shared.dir", root)
-    return f"{root.rstrip('/')}/siltstone"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for one run's table or folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+#: Tables that store() wrote, oldest first.
+_STORED: list[str] = []
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -60,10 +45,22 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df once and returns the table that was written, and its path."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    _STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stored() -> int:
+    """How many tables store() has written: a mark for discard()."""
+    return len(_STORED)
+
+
+def discard(spark: SparkSession, mark: int, *keep: str) -> None:
+    """Deletes all tables written since the mark but those to keep, when nothing reads them any more."""
+    remove(spark, *(path for path in _STORED[mark:] if path not in keep))
+    _STORED[mark:] = keep
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

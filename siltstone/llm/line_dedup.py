@@ -457,12 +457,12 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     ``length_col``, if docs has it, gets the new length in characters.
     """
-    columns = docs.columns
     left = dedup_lines(docs, id_col, text_col, **options).where("n_lines = 0 or n_removed < n_lines").dropDuplicates([id_col, "digest"])
-    left = left.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest"), F.col("kept").alias("__kept"))
-    own = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).drop(text_col)
-    own = own.dropDuplicates([id_col, "__own"])
-    joined = own.join(left, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))).withColumn(text_col, F.col("__kept"))
-    if length_col in columns:
-        joined = joined.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return joined.select(*columns)
+    left = left.select(F.col(id_col).alias("left_id"), F.col("digest").alias("left_digest"), "kept")
+    others = [c for c in docs.columns if c != text_col]
+    own = docs.select(F.struct(*others).alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
+    joined = own.dropDuplicates(["id", "digest"]).join(left, F.col("id").eqNullSafe(F.col("left_id")) & (F.col("digest") == F.col("left_digest")))
+    new = {text_col: F.col("kept")}
+    if length_col in others:
+        new[length_col] = F.length("kept").cast(docs.schema[length_col].dataType)
+    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -85,7 +85,7 @@ def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> tu
     return rows, plan
 
 
-def _times(plan: DataFrame | dict[str, F.Column], hashed: F.Column) -> F.Column:
+def _times(plan: DataFrame, hashed: F.Column) -> F.Column:
     """How often a document of the plan's source with this hash is taken."""
     return plan["copies"] + ((hashed < plan["below"]) & (plan["target"] > plan["copies"] * plan["source_size"])).cast("long")
 
@@ -111,7 +111,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     plan, one row per source, is joined. Columns of docs may have any names.
     """
     _, plan = _planned(docs, id_col, source_col, text_col)
-    plan = plan.select(F.col("s").alias("__s"), F.struct("source_size", "target", "copies", "below").alias("__plan"))
-    own = {k: F.col(f"__plan.{k}") for k in ("source_size", "target", "copies", "below")}
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("__s"))).withColumn("__times", _times(own, document_hash(id_col))).where("__times > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), document_hash(id_col).alias("hash"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times(plan, F.col("hash"))).where("times > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
