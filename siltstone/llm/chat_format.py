@@ -50,12 +50,17 @@ class Flattener:
     out: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     size: int = 0
+    text: list[str] = field(default_factory=list)  # neighbouring texts, which are escaped as one
+
+    def done(self) -> str:
+        self._settle()
+        return "".join(self.out)
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self._put(escape(part.get("text") or ""))
+        self.text.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         w, h = part.get("width") or 0, part.get("height") or 0
@@ -70,11 +75,16 @@ class Flattener:
     def visit_unknown(self, part: dict) -> None:
         self._attach("file", part, 1)
 
+    def _settle(self) -> None:
+        self._put(escape("".join(self.text)))
+        self.text.clear()
+
     def _put(self, piece: str) -> None:
         self.out.append(piece)
         self.size += len(piece)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._settle()
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "at": self.size, "tokens": tokens})
         self._put(f"<|{kind}|>")
 
@@ -92,8 +102,10 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     of its turns. loss_from and loss_to bound what is trained on, in code points
     of formatted; both are null for roles other than the assistant's. Null roles
     and parts count as empty. Parts of an unknown type become file placeholders.
-    Attachment positions count from the start of the content. Repeated rows give
-    repeated turns; other columns are ignored.
+    Texts that follow each other are one text, however it is split into parts.
+    Attachment positions count from the start of the content. Null ids and turns
+    pass through; repeated rows give repeated turns; an empty table gives none;
+    other columns are ignored.
     """
     kinds = dict(turns.dtypes)
     schema = f"{conv_col} {kinds[conv_col]}, {turn_col} {kinds[turn_col]}, formatted string, loss_from long, loss_to long, attachments array<struct<kind:string,ref:string,at:long,tokens:long>>, expanded_tokens long"
@@ -107,7 +119,7 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                 for part in parts or []:
                     flat.visit(part or {})
                 head = f"{START}{escape_role(role or '')}\n"
-                formatted.append(f"{head}{''.join(flat.out)}{END}\n")
+                formatted.append(f"{head}{flat.done()}{END}\n")
                 trained = role == TRAINED_ROLE
                 a.append(len(head) if trained else None)
                 b.append(len(head) + flat.size if trained else None)
@@ -131,7 +143,8 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "
 
     Turns of a conversation are read in order of turn (nulls first; equal turn
     numbers by what they say) as a stream, so that a conversation is never held
-    whole. A null conversation id is a conversation of its own.
+    whole. A null conversation id is a conversation of its own. An empty table
+    gives none; other columns are ignored.
     """
     kind = dict(formatted.dtypes)[conv_col]
     names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
