@@ -56,31 +56,32 @@ def features(text: str) -> list[float]:
 
 @dataclass
 class Discriminant:
-    """Class means, Cholesky factors of the shrunk covariances, log determinants and prior log odds."""
+    """Class means, inverted Cholesky factors of the shrunk covariances, log determinants and prior log odds."""
 
     centre: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]
+    whitening: list[np.ndarray]
     log_dets: list[float]
     prior: float
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.centre) / self.scale
         density = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            y = np.linalg.solve(factor, (z - mean).T)
+        for mean, whiten, log_det in zip(self.means, self.whitening, self.log_dets, strict=True):
+            y = whiten @ (z - mean).T
             density.append(-0.5 * ((y * y).sum(axis=0) + log_det))
         return density[1] - density[0] + self.prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1; the log odds are divided by the number of statistics, which keeps 0.5 and the order."""
+        """0 to 1, not a probability: the log odds are divided by the number of statistics, which keeps 0.5 and the order and spreads the scores."""
         return 1.0 / (1.0 + np.exp(-np.clip(self.log_odds(x) / x.shape[1], -30, 30)))
 
 
 def _factor(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """(inverse of the Cholesky factor, log determinant)."""
     factor = np.linalg.cholesky(cov)
-    return factor, 2.0 * float(np.log(np.diag(factor)).sum())
+    return np.linalg.solve(factor, np.eye(len(cov))), 2.0 * float(np.log(np.diag(factor)).sum())
 
 
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], d: int = N_FEATURES) -> Discriminant:
