@@ -1,10 +1,12 @@
 """Quality rules as a short-circuit cascade.
 
-Every document gets the base counts and the base rule. Those that pass meet the
-further rules one by one until one rejects them. The order is chosen from a
+Documents meet the rules one by one until one rejects them, and what a rule
+needs is counted only for those that reach it. The order is chosen from a
 sample: each rule's running time and the share it rejects are measured, and
 rules run by rejections per second. A document is kept if no rule rejects it,
-so the order changes the time only, never a verdict.
+so the order changes the time only, never a verdict. A report of all base counts
+has to make these for every document; there the cascade begins after the base
+rule.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -35,24 +38,74 @@ SAMPLE_SHARE = 0.2
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
-@dataclass
 class Facts:
-    """What the base pass knows of a document; rules read it."""
+    """A document, and what rules read of it, each counted when it is first asked for."""
 
-    text: str
-    words: list[bytes]
-    n_words: int
-    word_chars: int
-    n_symbols: int
-    n_lines: int
-    n_dup_lines: int
-    n_repeat_words: int = 0
+    def __init__(self, text: str) -> None:
+        self.text = text
+
+    @cached_property
+    def raw(self) -> bytes:
+        return self.text.encode("utf-8", "surrogatepass")
+
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, SPACE))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x for x in self.text.split("\n") if x.strip(SPACE)]
+
+    @cached_property
+    def n_lines(self) -> int:
+        return len(self.lines)
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return self.n_lines - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return int(repeat_words([self.words])[0])
 
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects() says for each of several documents whether it goes."""
+
     name: str
-    rejects: Callable[[Facts], bool]
+    rejects: Callable[[list[Facts]], list[bool]]
+
+
+def _each(rejects: Callable[[Facts], bool]) -> Callable[[list[Facts]], list[bool]]:
+    return lambda docs: [rejects(d) for d in docs]
+
+
+def _few_words(d: Facts) -> bool:
+    return d.n_words < MIN_WORDS
+
+
+def count_repeats(docs: list[Facts]) -> None:
+    """n_repeat_words of all the documents at once."""
+    for d, n in zip(docs, repeat_words([d.words for d in docs]).tolist(), strict=True):
+        d.n_repeat_words = n
+
+
+def _repeats(docs: list[Facts]) -> list[bool]:
+    count_repeats(docs)
+    return [100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words for d in docs]
 
 
 def _symbols(d: Facts) -> bool:
@@ -76,19 +129,20 @@ def _stutter(d: Facts) -> bool:
 
 
 def _shouting(d: Facts) -> bool:
-    raw = d.text.encode("utf-8", "surrogatepass")
-    upper = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-    lower = len(raw) - len(raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
+    upper = len(d.raw) - len(d.raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    lower = len(d.raw) - len(d.raw.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
     return upper > lower and 2 * upper > d.n_words
 
 
+#: The contract's base rule, in two parts.
+BASE = (Rule("few_words", _each(_few_words)), Rule("repeats", _repeats))
 RULES = (
-    Rule("letters", _letters),
-    Rule("shouting", _shouting),
-    Rule("symbols", _symbols),
-    Rule("dup_lines", _dup_lines),
-    Rule("stutter", _stutter),
-    Rule("word_length", _word_length),
+    Rule("letters", _each(_letters)),
+    Rule("shouting", _each(_shouting)),
+    Rule("symbols", _each(_symbols)),
+    Rule("dup_lines", _each(_dup_lines)),
+    Rule("stutter", _each(_stutter)),
+    Rule("word_length", _each(_word_length)),
 )
 
 
@@ -114,37 +168,53 @@ def repeat_words(docs: list[list[bytes]]) -> np.ndarray:
     return np.bincount(owner[covered], minlength=len(docs))
 
 
-def base_facts(texts: list[str]) -> list[Facts]:
-    found = []
-    for text in texts:
-        words = text.encode("utf-8", "surrogatepass").split()
-        lines = [x for x in text.split("\n") if x.strip(SPACE)]
-        chars = len(text) - sum(text.count(c) for c in SPACE)
-        found.append(Facts(text, words, len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines), len(lines) - len(set(lines))))
-    for d, n in zip(found, repeat_words([d.words for d in found]).tolist(), strict=True):
-        d.n_repeat_words = n
-    return found
-
-
 def base_fails(d: Facts) -> bool:
-    return d.n_words < MIN_WORDS or 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words
+    return _few_words(d) or 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words
 
 
 def rule_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """rules by rejections per second, measured on at most sample_rows documents."""
-    rows = docs.select(text_col).sample(SAMPLE_SHARE, 42).limit(sample_rows).collect()
-    sample = [d for d in base_facts([r[0] or "" for r in rows]) if not base_fails(d)]
-
-    def worth(rule: Rule) -> float:
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(d) for d in sample)
-        return rejected / max(time.perf_counter() - began, 1e-9)
-
-    return tuple(sorted(rules, key=worth, reverse=True))
+    """rules by rejections per second, measured on at most sample_rows documents, where they are.
 
+    Only seconds and counts reach the driver. A rule is timed with all that it
+    has to count, on documents that no rule has read before.
+    """
 
-def _verdicts(texts: list[str], rules: tuple[Rule, ...]) -> list[tuple[Facts, bool, bool]]:
-    return [(d, failed := base_fails(d), not failed and not any(r.rejects(d) for r in rules)) for d in base_facts(texts)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, rejected = [0.0] * len(rules), [0] * len(rules)
+        for batch in batches:
+            for part in small_batches(iter([batch]), 16):
+                texts = texts_of(part.column(0))
+                for i, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    rejected[i] += sum(rule.rejects([Facts(t) for t in texts]))
+                    seconds[i] += time.perf_counter() - began
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(seconds), pa.array(rejected, pa.int64())], names=["rule", "seconds", "rejected"])
+
+    sample = docs.select(text_col).sample(SAMPLE_SHARE, 42).limit(sample_rows)
+    measured = sample.mapInArrow(run, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
+    worth = {r.rule: r.rejected / max(r.seconds, 1e-9) for r in measured.collect()}
+    return tuple(sorted(rules, key=lambda r: worth.get(rules.index(r), 0.0), reverse=True))
+
+
+def cascade(docs: list[Facts], rules: tuple[Rule, ...]) -> np.ndarray:
+    """Which of the documents no rule rejects; a rule meets only what those before it left."""
+    left = np.arange(len(docs))
+    for rule in rules:
+        if len(left):
+            left = left[~np.array(rule.rejects([docs[i] for i in left.tolist()]), bool)]
+    kept = np.zeros(len(docs), bool)
+    kept[left] = True
+    return kept
+
+
+def _verdicts(texts: list[str], rules: tuple[Rule, ...]) -> Iterator[tuple[Facts, bool, bool]]:
+    """(facts, base_failed, kept) of each text, with all base counts."""
+    docs = [Facts(t) for t in texts]
+    count_repeats(docs)
+    failed = [base_fails(d) for d in docs]
+    passed = [d for d, f in zip(docs, failed, strict=True) if not f]
+    kept = iter(cascade(passed, rules).tolist())
+    return ((d, f, not f and next(kept)) for d, f in zip(docs, failed, strict=True))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -169,11 +239,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs without the rows that a rule rejects; all columns pass unchanged."""
-    order, at = rule_order(docs, text_col, rules), docs.columns.index(text_col)
+    """docs without the rows that the base rule or one of the rules rejects; all columns pass unchanged, whatever their names.
+
+    The base rule's parts are rules of the cascade like the others. Null and
+    empty texts go; null ids pass through; repeated rows share their fate; an
+    empty table gives none.
+    """
+    order, at = rule_order(docs, text_col, BASE + rules), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            yield batch.filter(pa.array([kept for _, _, kept in _verdicts(texts_of(batch.column(at)), order)], pa.bool_()))
+            yield batch.filter(pa.array(cascade([Facts(t) for t in texts_of(batch.column(at))], order)))
 
     return docs.mapInArrow(run, docs.schema)
