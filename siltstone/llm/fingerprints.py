@@ -73,27 +73,28 @@ def block_tables(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def find_within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(query, fp, distance): for each of queries(query) all of fps(fp) within radius, each pair once.
+def find_within(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, also: tuple[str, ...] = ()) -> DataFrame:
+    """(query, fp, also..., distance): for each of queries(query) all of fps(fp, also...) within radius, each pair once.
 
-    Both sides hold distinct fingerprints. A pair is reported by the first table
-    in which it meets, so the joins return hits only.
+    Both sides hold distinct fingerprints; null ones meet none, and an empty side
+    gives no rows. A pair is reported by the first table in which it meets, so
+    the join returns hits only; what is summed by query is summed where it joins.
     """
     masks = block_tables(radius, blocks)
     all_masks = F.array(*[F.lit(m) for m in masks])
 
-    def filed(df: DataFrame, name: str) -> DataFrame:
+    def filed(df: DataFrame, name: str, *others: str) -> DataFrame:
         tables = F.posexplode(all_masks).alias("t", "mask")
-        return df.select(name, tables).select(name, "t", F.col(name).bitwiseAND(F.col("mask")).alias("key"))
+        return df.select(name, *others, tables).select(name, *others, "t", F.col(name).bitwiseAND(F.col("mask")).alias("key"))
 
-    a, b = filed(queries, "query"), filed(fps, "fp")
+    a, b = filed(queries, "query"), filed(fps, "fp", *also)
     differ = F.col("query").bitwiseXOR(F.col("fp"))
     first = F.lit(len(masks))
     for t, m in reversed(list(enumerate(masks))):
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(t)).otherwise(first)
     met = (a.t == b.t) & (a.key == b.key) & (F.bit_count(differ) <= radius) & (a.t == first)
     # both sides grow with the table, and estimates miss the growth by tables: never a broadcast
-    return a.join(b.hint("merge"), met).select("query", "fp", F.bit_count(differ).alias("distance"))
+    return a.join(b.hint("merge"), met).select("query", "fp", *also, F.bit_count(differ).alias("distance"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch, store
+from ..session import scratch
+from ._common import store
 from .chat_format import format_turns, read_back, text_parts
 from .fingerprints import edit_report, find_within, hex_fingerprint, likeness
 from .line_dedup import line_report
@@ -64,8 +65,8 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = store(edit_report(_documents(spark, sf_dir)), "fingerprints")
     known = report.groupBy("fp").agg(F.count("*").alias("n"))
     asked = F.pmod("doc_id", F.lit(20)) == 0
-    hits = find_within(known.select("fp"), report.where(asked).select(F.col("fp").alias("query")).distinct())
-    within = hits.join(known, "fp").groupBy("query").agg(F.sum("n").alias("n_within"))
+    hits = find_within(known, report.where(asked).select(F.col("fp").alias("query")).distinct(), also=("n",))
+    within = hits.groupBy("query").agg(F.sum("n").alias("n_within"))
     named = report.join(within, F.col("fp") == F.col("query"), "left")
     return named.select(
         "doc_id", "n_chars", "edited_sha256", hex_fingerprint(F.col("fp")).alias("fingerprint"), hex_fingerprint(F.col("edited_fp")).alias("edited_fingerprint"),
