@@ -8,11 +8,11 @@ whose hash occurs again need sorting, and those with one hash meet in one task.
    texts are gathered into packs of bounded size.
 2. Packs send the distinct hashes of their anchors; hashes seen again come back.
 3. Packs send the suffixes at those anchors with the bytes to their left.
-4. A vectorised sort by hash, place of the anchor, length and the first bytes
-   sent (which lie left of the anchor) gathers equal contexts; it stands in for
-   a multikey sort and does not order suffixes. Groups of one hash whose
-   contexts differ are ordered whole by blind tries, which also give the common
-   prefix lengths. A string belongs to the smallest document in the run that shares its bytes.
+4. Suffixes of one hash whose contexts are all equal need no order; a
+   vectorised grouping tells these from the others. The others are ordered by
+   multikey quicksort to a shallow depth below what they share, and blind tries
+   order the runs that still agree there; both give the common prefix lengths. A
+   string belongs to the smallest document in the run that shares its bytes.
 5. Packs delete what was found and report.
 
 An anchor with more than ``hot`` occurrences would gather a large group. Packs
@@ -86,6 +86,27 @@ def anchor_runs(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, last, anchor, h[anchor]
 
 
+def shared_bytes(a: bytes, b: bytes) -> int:
+    """How many bytes a and b have in common at their start."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def multikey_quicksort(strings: list[bytes], depth: int, limit: int) -> Iterator[list[int]]:
+    """Distinct strings that agree in their first ``depth`` bytes, in order: runs of those that agree up to ``limit``."""
+    stack = [(list(range(len(strings))), depth)]
+    while stack:
+        own, at = stack.pop()
+        if len(own) == 1 or at == limit:
+            yield own
+            continue
+        letters = [strings[i][at] if at < len(strings[i]) else -1 for i in own]
+        pivot = sorted((letters[0], letters[len(own) // 2], letters[-1]))[1]
+        parts = [[i for i, x in zip(own, letters, strict=True) if x > pivot], [i for i, x in zip(own, letters, strict=True) if x == pivot], [i for i, x in zip(own, letters, strict=True) if x < pivot]]
+        stack.extend((part, at + k) for part, k in zip(parts, (0, 1, 0), strict=True) if part)
+
+
 class BlindTrie:
     """Orders distinct byte strings; inner nodes keep only the depth at which their children part."""
 
@@ -106,10 +127,7 @@ class BlindTrie:
             node = children.get(self._byte(i, node[0]))
             if node is None:
                 node = next(iter(children.values()))
-        a, b = self.strings[i], self.strings[node]
-        same, top = 0, min(len(a), len(b))
-        while same < top and a[same] == b[same]:
-            same += 1
+        same = shared_bytes(self.strings[i], self.strings[node])
         mine, other = self._byte(i, same), self._byte(node, same)
         parent, node = None, self.root
         while not isinstance(node, int) and node[0] < same:
@@ -136,6 +154,20 @@ class BlindTrie:
             stack.append((children[-1][1], shared))
 
 
+def deep_shallow(strings: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(string, bytes it shares with the one before) of distinct strings, in order.
+
+    Multikey quicksort goes SHALLOW_BYTES below what all of them share; the runs
+    that still agree there, and only these, go through blind tries.
+    """
+    depth, before = shared_bytes(min(strings), max(strings)) if len(strings) > 1 else 0, None
+    for run in multikey_quicksort(strings, depth, depth + SHALLOW_BYTES):
+        order = BlindTrie([strings[i] for i in run]).ordered() if len(run) > 1 else ((0, 0),)
+        for n, (k, shared) in enumerate(order):
+            yield run[k], shared if n or before is None else shared_bytes(strings[before], strings[run[k]])
+            before = run[k]
+
+
 def group_bounds(contexts: list[bytes], lead: list[int], count: list[int], ids: list[int]) -> list[list[int]]:
     """For each context and each of its strings, the smallest document that holds the string.
 
@@ -148,7 +180,7 @@ def group_bounds(contexts: list[bytes], lead: list[int], count: list[int], ids:
     members: list[list[int]] = [[] for _ in distinct]
     for i, s in enumerate(suffixes):
         members[number[s]].append(i)
-    order = list(BlindTrie(distinct).ordered())
+    order = list(deep_shallow(distinct))
     bounds = [[0] * n for n in count]
     for before in range(WINDOWS):  # strings that begin so many bytes before their anchor
         after, run = LENGTH - before, {}
