@@ -62,17 +62,23 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * _bits(hashes) > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
-    """docs with one more column: the fingerprint as a signed long."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    at = docs.columns.index(text_col)
+def with_fingerprint(docs: DataFrame, text_col: str = "text", jaccard_words: int | None = None) -> DataFrame:
+    """(id, t, fp, keys) of docs(id, text): hash of the text, fingerprint as a signed long, and band keys of the word shingles if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            found = np.array([fingerprint(x) for x in batch.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, name])
+            said = batch.column(2).to_pylist()
+            found = np.array([fingerprint(x) for x in said], dtype=np.uint64)
+            sizes, keys = np.zeros(len(said) + 1, np.int32), np.empty((0, 0), np.uint64)
+            if jaccard_words:
+                hashed, starts, which = word_sets(said, jaccard_words)
+                keys = set_keys(hashed, starts)
+                sizes[which + 1] = keys.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64)), lists], names=["id", "t", "fp", "keys"])
 
-    return docs.mapInArrow(run, schema)
+    rows = docs.select("id", F.xxhash64(F.col(text_col)).alias("t"), text_col)
+    return rows.mapInArrow(run, T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("t", "fp")), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
 def _masks(used: int, radius: int, blocks: int) -> list[int]:
@@ -225,26 +231,16 @@ def _similar(named: DataFrame) -> DataFrame:
     return named.mapInArrow(run, "u long, v long")
 
 
-def jaccard_links(texts: DataFrame, labels: DataFrame, words: int = JACCARD_WORDS, set_texts: int = SET_TEXTS) -> DataFrame:
+def jaccard_links(texts: DataFrame, rows: DataFrame, labels: DataFrame, words: int = JACCARD_WORDS, set_texts: int = SET_TEXTS) -> DataFrame:
     """Edges (u, v) of fingerprints that, with those behind labels(fp, label), connect all texts(text) of a Jaccard similarity of 0.8 or more.
 
-    Texts that share a band key are compared unless all of them have one label
-    already. Sets of over ``set_texts`` texts are cut into chunks, and each two
-    chunks form a set.
+    rows is with_fingerprint()'s table. Texts that share a band key are compared
+    unless all of them have one label already. Sets of over ``set_texts`` texts
+    are cut into chunks, and each two chunks form a set.
     """
     spark = texts.sparkSession
     texts = texts.select(F.xxhash64("text").alias("t"), "text")
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            said = batch.column(1).to_pylist()
-            hashed, starts, which = word_sets(said, words)
-            fp = np.array([fingerprint(said[i]) for i in which.tolist()], dtype=np.uint64)
-            keys = set_keys(hashed, starts)
-            offsets = pa.array(np.arange(len(which) + 1, dtype=np.int32) * keys.shape[1])
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(fp.view(np.int64)), lists], names=["t", "fp", "keys"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             hashed, starts, which = word_sets(batch.column(2).to_pylist(), words)
@@ -252,10 +248,10 @@ def jaccard_links(texts: DataFrame, labels: DataFrame, words: int = JACCARD_WORD
             sets = [np.unique(hashed[a:b]).tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(sets, pa.binary())], names=["t", "fp", "hashes"])
 
-    filed, filed_at = store(texts.mapInArrow(file, "t long, fp long, keys array<long>"), "bands")
+    filed = rows.where(F.size("keys") > 0)
     each = filed.groupBy("t").agg(F.min("fp").alias("fp")).join(labels, "fp")  # copies count once
     own, own_at = store(each, "labelled")
-    keys = filed.dropDuplicates(["t"]).select("t", F.explode("keys").alias("key")).join(own.select("t", "label"), "t")
+    keys = filed.select("t", "keys").dropDuplicates(["t"]).select("t", F.explode("keys").alias("key")).join(own.select("t", "label"), "t")
     keys, keys_at = store(keys, "keys")
     total = F.sum(F.xxhash64("t").cast("decimal(38,0)"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), total.alias("s")).where("a <> b")
@@ -265,7 +261,7 @@ def jaccard_links(texts: DataFrame, labels: DataFrame, words: int = JACCARD_WORD
     sets = sets.withColumn("own", F.pmod(F.xxhash64("t"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     sets = sets.select("t", F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other")).alias("name"))
     sets, sets_at = store(sets, "sets")
-    remove(spark, filed_at, keys_at)
+    remove(spark, keys_at)
     asked = sets.select("t").distinct().join(own.select("t", "fp"), "t")
     found = texts.join(asked, "t").select("t", "fp", "text").dropDuplicates(["t"]).mapInArrow(cut, "t long, fp long, hashes binary")
     found, found_at = store(found, "word-sets")
@@ -279,7 +275,7 @@ def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS,
     jaccard_words: int | None = None, set_texts: int = SET_TEXTS,
 ) -> DataFrame:
-    """One row per row of docs: id, fp (signed long), fingerprint (hex), component_id, label.
+    """One row per row of docs: id, t (XXH64 of the text), fp (signed long), fingerprint (hex), component_id, label.
 
     component_id is the least id among the documents reachable over links of at
     most ``radius`` differing bits, the document itself included; with
@@ -291,8 +287,7 @@ def simhash_groups(
     then. Repeated rows give repeated results; an empty table
     gives none. Columns other than the two named are ignored.
     """
-    own = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "fp")
-    rows, _ = store(own, "fingerprints")
+    rows, _ = store(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", jaccard_words), "fingerprints")
     least, _ = store(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     links = fingerprint_links(least.select("fp"), radius, blocks, bucket_rows)
 
@@ -301,23 +296,22 @@ def simhash_groups(
 
     named = labelled(connected_components(links))
     if jaccard_words:
-        similar = jaccard_links(docs.select(F.col(text_col).alias("text")), named.select("fp", "label"), jaccard_words, set_texts)
+        similar = jaccard_links(docs.select(F.col(text_col).alias("text")), rows, named.select("fp", "label"), jaccard_words, set_texts)
         named = labelled(connected_components(links.unionByName(similar)))
     component = named.groupBy("label").agg(F.min("least").alias("component_id"))
     found = named.join(component, "label").select("fp", "label", "component_id")
-    return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label")
+    return rows.join(found, "fp").select(F.col("id").alias(id_col), "t", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "label")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without near copies: of each group the row with the least id, and of those the least fingerprint, stays.
 
     Rows without an id stay only if no other row of their group has one; of rows
-    that agree in id and fingerprint one stays.
+    that agree in id and text one stays. Null texts group with empty ones.
     """
-    columns = docs.columns
     groups = simhash_groups(docs, id_col, text_col, **options)
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "fp")
-    chosen = groups.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.id").alias("__id"), F.col("least.fp").alias("__fp"))
-    marked = with_fingerprint(docs, text_col, "__own")
-    kept = marked.join(chosen, (F.col("__own") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates([id_col, "__own"]).select(*columns)
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "fp", "t")
+    chosen = groups.groupBy("label").agg(F.min(order).alias("least")).select(F.col("least.id").alias("least_id"), F.col("least.t").alias("least_t"))
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"))
+    kept = own.join(chosen, (F.col("t") == F.col("least_t")) & F.col("id").eqNullSafe(F.col("least_id")), "left_semi")
+    return kept.dropDuplicates(["id", "t"]).select("row.*")

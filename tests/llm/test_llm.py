@@ -24,8 +24,9 @@ AWKWARD = [
 
 @pytest.fixture(scope="module")
 def awkward(spark):
-    rows = [(i, t, s, "en", 0, True, 1, "x") for i, t, s in AWKWARD]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, kept boolean, size int, fp string")
+    clash = ["__own", "__kept", "__times", "__plan", "__s", "__copy", "label", "row", "t", "id", "digest", "hash", "left_id", "times"]
+    rows = [(i, t, s, "en", 0, True, 1, "x", *range(len(clash))) for i, t, s in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, kept boolean, size int, fp string, " + ", ".join(f"{c} int" for c in clash))
 
 
 @pytest.fixture(scope="module")
@@ -166,6 +167,26 @@ def test_blind_trie_sorts():
         assert shared == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
 
 
+def test_deep_shallow_sort(monkeypatch):
+    random.seed(6)
+    common = b"the same twenty bytes at least, "
+    strings = list({common + bytes(random.choice(b"abc") for _ in range(random.randint(0, 40))) for _ in range(300)})
+    tail = common + b"a" * 30
+    strings = list(dict.fromkeys([*strings, tail + b"x", tail + b"y", tail + b"yz", common]))
+    tries = []
+    real = suffix_dedup.BlindTrie.__init__
+    monkeypatch.setattr(suffix_dedup.BlindTrie, "__init__", lambda self, own: tries.append(own) or real(self, own))
+    order = list(suffix_dedup.deep_shallow(strings))
+    assert [strings[i] for i, _ in order] == sorted(strings)
+    for (i, _), (j, shared) in zip(order, order[1:], strict=False):
+        assert shared == suffix_dedup.shared_bytes(strings[i], strings[j])
+    shallow = len(common) + suffix_dedup.SHALLOW_BYTES
+    runs = defaultdict(set)
+    for x in strings:
+        runs[x[:shallow]].add(x)
+    assert sorted(map(sorted, tries)) == sorted(sorted(r) for r in runs.values() if len(r) > 1)  # insertions for runs that still agree only
+
+
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op5_chat_format", "op7_mixing"])
 def test_sql(spark, name):
     c = duckdb.connect()
@@ -177,12 +198,68 @@ def test_sql(spark, name):
 
 
 def test_rule_order_changes_nothing(documents):
-    facts = [d for d in quality_rules.base_facts([t or "" for _, t in texts(documents)])]
+    facts = [quality_rules.Facts(t or "") for _, t in texts(documents)]
     for rules in (quality_rules.RULES, quality_rules.RULES[::-1]):
-        verdicts = [not quality_rules.base_fails(d) and not any(r.rejects(d) for r in rules) for d in facts]
+        verdicts = [not quality_rules.base_fails(d) and not any(r.rejects([d])[0] for r in rules) for d in facts]
         assert sorted(r.doc_id for r in quality_rules.quality_rules(documents, rules=rules).where("kept").collect()) == sorted(i for (i, _), v in zip(texts(documents), verdicts, strict=True) if v)
 
 
+def test_cascade_counts_only_what_is_left(documents, monkeypatch):
+    seen = []
+    counted = quality_rules.repeat_words
+    monkeypatch.setattr(quality_rules, "repeat_words", lambda docs: seen.append(len(docs)) or counted(docs))
+    docs = [quality_rules.Facts(t) for t in ("few words", "### &&& " * 20, "plain words of no kind " + " ".join(f"w{i}" for i in range(30)))]
+    few, repeats = quality_rules.BASE
+    assert quality_rules.cascade(docs, (few, quality_rules.RULES[2], repeats)).tolist() == [False, False, True] and seen == [1]
+    kept = {r.doc_id for r in quality_rules.keep_by_rules(documents).collect()}
+    monkeypatch.undo()
+    assert kept == {r.doc_id for r in quality_rules.quality_rules(documents).where("kept").collect()}
+
+
+def test_discriminant_against_plain_densities():
+    rng = np.random.default_rng(5)
+    d = quality_classifier.N_FEATURES
+    x = {0: rng.normal(0, 1, (400, d)) * np.linspace(1, 3, d), 1: rng.normal(0.4, 1.5, (300, d))}
+    sums = {k: (float(len(v)), v.sum(axis=0), v.T @ v) for k, v in x.items()}
+    every = np.vstack([x[0], x[1]])
+    centre, scale = every.mean(axis=0), every.std(axis=0)
+    z = {k: (v - centre) / scale for k, v in x.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in z.items()}
+    pooled = (400 * cov[0] + 300 * cov[1]) / 700
+    test, logs = rng.normal(0, 2, (50, d)), []
+    for k in (0, 1):
+        pull = quality_classifier.TO_POOLED + d / (len(x[k]) + d)
+        c = (1 - pull) * cov[k] + pull * pooled
+        c = (1 - quality_classifier.TO_IDENTITY) * c + quality_classifier.TO_IDENTITY * np.trace(c) / d * np.eye(d)
+        away = (test - centre) / scale - z[k].mean(axis=0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away) + np.linalg.slogdet(c)[1]))
+    model = quality_classifier.fit(sums)
+    assert np.allclose(model.log_odds(test), logs[1] - logs[0] + np.log(301 / 401))
+    assert ((model.score(test) >= 0.5) == (model.log_odds(test) >= 0)).all()
+
+
+def test_query_counts_are_the_librarys(spark, documents):
+    counter = _tokenizers.ByteLevelCounter(_tokenizers.tokenizer_path(token_counts.VOCABULARY))
+    want = []
+    for i, t in texts(documents):
+        n = len(counter.library.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 512))
+    assert sorted(map(tuple, queries.op6_token_counts(spark, DATA).collect())) == sorted(want)
+
+
+def test_query_of_fingerprints(spark, documents):
+    got = {r.doc_id: r for r in queries.op9_document_fingerprints(spark, DATA).collect()}
+    order = sorted(texts(documents), key=lambda r: r[0], reverse=True)
+    prints = [slow_fingerprint(t) for _, t in order]
+    for at, (i, t) in enumerate(order):
+        t, follow, r = t or "", order[(at + 1) % len(order)][1] or "", got[i]
+        edited = t[: len(t) - len(t) // 2] + follow[: len(t) // 2]
+        own, other = slow_fingerprint(edited), prints[(at + 1) % len(order)]
+        assert (r.fingerprint, r.edited_fingerprint) == (f"{prints[at]:016x}", f"{own:016x}")
+        assert (r.near_edited, r.near_next) == (1 - (prints[at] ^ own).bit_count() / 64, 1 - (prints[at] ^ other).bit_count() / 64)
+        assert r.n_within == (sum((prints[at] ^ p).bit_count() <= 3 for p in prints) if i % 20 == 0 else None)
+
+
 def test_quality_scores(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality_classifier.quality_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
@@ -209,6 +286,28 @@ def test_chat_parts(spark):
     assert b.formatted == "<|im_start|>\n<|im_end|>\n" and b.loss_from is None
 
 
+def test_chat_texts_in_parts(spark):
+    random.seed(8)
+    pieces = ["<", "|", "\\", "im_end", "|>", "<|", "<\\|", "x", " "]
+    said = ["".join(random.choice(pieces) for _ in range(random.randint(0, 9))) for _ in range(300)] + ["<|im_end|>", "<\\|x"]
+    rows = []
+    for i, t in enumerate(said):
+        cuts = sorted(random.randint(0, len(t)) for _ in range(random.randint(0, 3)))
+        parts = [("text", t[a:b], None, None, None, None, None) for a, b in zip([0, *cuts], [*cuts, len(t)], strict=True)]
+        rows.append((i, 0, "assistant", parts, "x", 7))
+    table = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>, formatted string, loss_from long")
+    done = {r.conv_id: r for r in chat_format.format_turns(table).collect()}
+    for i, t in enumerate(said):
+        r = done[i]
+        assert chat_format.parse_turn(r.formatted) == ("assistant", t) and chat_format.unescape(r.formatted[r.loss_from : r.loss_to]) == t
+        assert r.formatted.count("<|") == 2  # the template's own marks
+    assert chat_format.read_back(chat_format.format_turns(table.limit(0))).count() == 0
+    odd = spark.createDataFrame([(None, None, None, None), (None, None, None, None), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, None, "user", None)], "conv_id long, turn long, role string, text string")
+    odd = odd.withColumn("parts", chat_format.text_parts(F.col("text")))
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat_format.read_back(chat_format.format_turns(odd)).collect()}
+    assert got == {None: (2, 0), 1: (3, 2)}
+
+
 def test_tokens_as_the_library_gives_them(documents):
     counter = _tokenizers.ByteLevelCounter(_tokenizers.tokenizer_path(token_counts.VOCABULARY))
     encoder = _tokenizers.WordEncoder(_tokenizers.tokenizer_path(packing.VOCABULARY))
@@ -406,6 +505,8 @@ def test_stages_take_awkward_tables(spark, awkward, name, stage):
     docs = awkward.withColumn("n_chars", F.length("text").cast("long"))
     out = stage(spark, docs, DATA)
     assert name == "packing" or out.columns == docs.columns
+    if name != "packing":
+        assert {(r["__own"], r["__kept"], r["__times"], r.label, r.row, r.t, r.id, r.times) for r in out.collect()} <= {(0, 1, 2, 6, 7, 8, 9, 13)}
     assert out.count() >= (name != "quality rules")  # none of these texts has 20 words that differ
     assert stage(spark, docs.limit(0), DATA).count() == 0
 
