@@ -86,10 +86,10 @@ def cached_urls(spark, d):
     return T.cached_urls(cache).select("page_id", "domain", "place")
 
 
-@_(f"SELECT page_id FROM pages WHERE replace({_HOST}, 'www.', '') = 'example.com'")
+@_(f"SELECT page_id FROM pages WHERE replace({_HOST}, 'www.', '') = (SELECT min(replace({_HOST}, 'www.', '')) FROM pages)")
 def single_domain(spark, d):
     cache = _pages(spark, d).select("page_id", U.bare_domain(U.url_authority(F.col("url"))).alias("domain"), "url", F.lit(0.5).alias("relevance"))
-    return T.cached_urls(cache, "example.com").select("page_id")
+    return T.cached_urls(cache, cache.agg(F.min("domain")).first()[0]).select("page_id")
 
 
 _LINKS = r"""links AS (
