@@ -35,8 +35,13 @@ MARKDOWN_NOISE = (
 )
 
 
+#: The characters of SPACE.
+SPACE_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Text without white space at its ends; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_whitespace(text: Column) -> Column:

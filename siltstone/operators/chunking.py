@@ -23,7 +23,8 @@ def sections(text: Column) -> Column:
         header = F.when(headed, strip(F.regexp_replace(first, "^#{2,3} ", ""))).otherwise("Introduction")
         return F.struct(header.alias("header"), strip(said).alias("content"))
 
-    return F.filter(F.transform(F.split(text, "(?md)(?=^#{2,3} )"), one), lambda x: x["content"] != "")
+    pieces = F.split(F.concat(F.lit("\n"), text), "\n(?=#{2,3} )")
+    return F.filter(F.transform(pieces, one), lambda x: x["content"] != "")
 
 
 def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -80,7 +81,7 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ti
     piece = lambda at, said, prefix: F.struct(at.cast("int").alias("child_index"), said.alias("said"), F.concat(prefix, F.lit("\n\n"), said).alias("text"))
     parent = F.array(piece(F.lit(0), F.col("content"), F.col("header")))
     prefix = F.concat(F.col("title"), F.lit(" | "), F.col("header"))
-    own = F.filter(F.transform("packed", lambda x, i: piece(i + 1, x, prefix)), lambda x: F.length(strip(x["said"])) >= min_length)
+    own = F.filter(F.transform("packed", lambda x, i: piece(i + 1, x, prefix)), lambda x: F.length(x["said"]) >= min_length)
     each = parts.select(key, "section_index", F.explode(F.concat(parent, own)).alias("c"))
     is_parent, at = F.col("c.child_index") == 0, F.col("c.child_index")
     name = F.when(is_parent, F.lit("parent")).otherwise(F.concat(F.lit("child_"), at))
