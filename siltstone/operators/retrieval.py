@@ -56,11 +56,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "doc_id
     lengths = words.select("id", F.size("words").alias("dl"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     hits = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return score_bm25(hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), wanted, totals, k)
+
+
+def score_bm25(tf: DataFrame, wanted: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of postings tf(id, dl, term, tf) of all terms that wanted(query_id, term) has; totals is the row (n_docs, avgdl)."""
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(wanted, "term").crossJoin(totals).groupBy("query_id", "id").agg(F.round(F.sum(idf * gain), 6).alias("score"))
+    scored = tf.join(df, "term").join(wanted, "term").crossJoin(totals.select("n_docs", "avgdl")).groupBy("query_id", "id").agg(F.round(F.sum(idf * gain), 6).alias("score"))
     return top_k(scored, k)
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import canonical_hash
 from ..operators import retrieval as R
+from ..operators import search_index
 from ..operators.dedup import first_wins
+from ..session import scratch
 from ..sources.models import rerank_scores
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 
@@ -65,6 +67,14 @@ def bm25_topk(spark, d):
     return _bm25(table(spark, d, "documents"))
 
 
+@_(f"WITH {_BM25_DOCS} SELECT * FROM bm")
+def bm25_stored(spark, d):
+    """bm25_topk by a stored index, which is written first."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "search-index")
+    search_index.write_index(docs, path)
+    return search_index.search_index(spark, path, docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+
+
 @_(r"SELECT (SELECT count(*) FROM documents) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM documents), 6) AS avgdl FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL)")
 def corpus_statistics(spark, d):
     docs = table(spark, d, "documents")
