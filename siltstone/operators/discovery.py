@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,8 +50,14 @@ def sitemaps_in_robots(robots: DataFrame, key: str = "domain", text: str = "text
     return lines.where(F.lower("line").startswith("sitemap:")).select(key, F.btrim(F.regexp_replace("line", "^[^:]*:", "")).alias("sitemap"))
 
 
+def locs(xml: Column, element: str) -> Column:
+    """The addresses in the elements (url or sitemap) of a sitemap file; none in a text that is no such file, or in the part of one that was cut off."""
+    found = F.regexp_extract_all(xml, F.lit(rf"(?is)<(?:\w+:)?{element}(?:\s[^>]*)?>(?:(?!</(?:\w+:)?{element}\s*>).)*?<(?:\w+:)?loc(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?([^<\]]*)"), 1)
+    return F.filter(F.transform(found, lambda x: F.btrim(F.regexp_replace(F.replace(x, F.lit("&amp;"), F.lit("&")), r"\s+", " "))), lambda x: x != "")
+
+
 def sitemap_urls(sitemaps: DataFrame, key: str = "domain", xml: str = "xml") -> DataFrame:
-    return sitemaps.select(key, F.explode(F.xpath(F.col(xml), F.lit("//url/loc/text()"))).alias("loc")).select(key, F.btrim("loc").alias("url"))
+    return sitemaps.select(key, F.explode(locs(F.col(xml), "url")).alias("url"))
 
 
 def first_answering(probes: DataFrame, key: str = "domain") -> DataFrame:
@@ -85,7 +91,7 @@ def sitemap_closure(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -
 
     sitemaps holds (sitemap, xml). Indexes that name each other end the walk.
     """
-    edges = sitemaps.select(F.col("sitemap").alias("src"), F.explode(F.xpath("xml", F.lit("//sitemap/loc/text()"))).alias("dst")).select("src", F.btrim("dst").alias("dst"))
+    edges = sitemaps.select(F.col("sitemap").alias("src"), F.explode(locs(F.col("xml"), "sitemap")).alias("dst"))
     reached = breadth_first(edges, roots.select(F.col("sitemap").alias("node")), max_depth)
     return sitemap_urls(sitemaps.join(reached, F.col("sitemap") == F.col("node"), "left_semi"), "sitemap").select("url").distinct()
 
@@ -123,8 +129,8 @@ def discover_sitemaps(domains: DataFrame, responses: DataFrame, robots: DataFram
     rules holds (key, blocked, allowed, prefixes), arrays of patterns.
     """
     files = usable_responses(responses).select("sitemap", F.col("body").alias("xml"))
-    edges = files.select(F.col("sitemap").alias("src"), F.explode(F.xpath("xml", F.lit("//*[local-name()='sitemap']/*[local-name()='loc']/text()"))).alias("dst")).select("src", F.btrim("dst").alias("dst"))
-    leaves = files.select("sitemap", F.explode(F.xpath("xml", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()"))).alias("url")).select("sitemap", F.btrim("url").alias("url"))
+    edges = files.select(F.col("sitemap").alias("src"), F.explode(locs(F.col("xml"), "sitemap")).alias("dst"))
+    leaves = files.select("sitemap", F.explode(locs(F.col("xml"), "url")).alias("url"))
 
     def found(places: DataFrame) -> DataFrame:
         """(key, probe, url) of places(key, probe, sitemap): walks from each place by itself."""

@@ -5,9 +5,9 @@ from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
-from siltstone import plans
+from siltstone import cli, plans
 from siltstone.functions import scoring, text, urls
-from siltstone.operators import chunking, dedup, discovery, evaluation, retrieval
+from siltstone.operators import chunking, dedup, discovery, evaluation, retrieval, search_index
 from siltstone.operators.html import read_page
 from siltstone.sources import models, pages, seeds, tables
 from siltstone.streaming import ingest
@@ -248,3 +248,59 @@ def test_walks_and_points_grow_with_the_table(spark, tmp_path):
     want = {url(i): i % 20 for i in range(400) if i % 20 <= 4}
     assert {r.node: r.depth for r in run("bfs_links")} == want
     assert sorted(r.doc_id for r in run("upsert_latest")) == list(range(50, 400))
+
+
+def test_stored_index_gives_what_the_scan_gives(spark, tmp_path):
+    rows = [(i, None if i == 3 else " ".join(f"w{(i * j) % 13}" for j in range(i % 9))) for i in range(60)] + [(61, "W1 w1, ä w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "Ä absent"), (3, ""), (None, "w3")], "query_id long, query string")
+    path = str(tmp_path / "index")
+    search_index.write_index(docs, path, buckets=8, files=2)
+    found = lambda df: {(r.query_id, r.id, round(r.score, 5)) for r in df.collect()}
+    filled = docs.fillna({"text": ""})
+    assert found(search_index.search_index(spark, path, asked, 100)) == found(retrieval.bm25(filled, asked, 100)) != set()
+    plan = search_index.search_index(spark, path, asked.limit(1))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan
+    search_index.write_index(docs.limit(0), path, buckets=8)
+    assert search_index.search_index(spark, path, asked).count() == 0
+
+
+def test_addresses_in_sitemaps(spark):
+    locs = lambda x, e="url": one(spark, discovery.locs(F.lit(x), e))
+    assert locs("<urlset xmlns='x'><url><lastmod>1</lastmod><loc> a?b&amp;c </loc></url><s:url><s:loc><![CDATA[d]]></s:loc></s:url><url></url><url><loc>e") == ["a?b&c", "d", "e"]
+    assert locs("<html><a href=x>no") == [] and locs("") == [] and locs("<url><lastmod>1</lastmod></url><sitemap><loc>x</loc></sitemap>") == []
+    assert locs("<sitemapindex><sitemap><loc>x</loc></sitemap></sitemapindex>", "sitemap") == ["x"]
+
+
+SITE = {
+    "https://a.example/robots.txt": "User-agent: *\nDisallow: /en/secret\n",
+    "https://a.example/sitemap.xml": "<sitemapindex><sitemap><loc>https://a.example/more.xml</loc></sitemap></sitemapindex>",
+    "https://a.example/more.xml": "<urlset><url><loc>https://a.example/en/listed</loc></url><url><loc>https://a.example/fr/other</loc></url><url><loc>https://a.example/en/secret</loc></url></urlset>",
+    "https://a.example/": '<main>root</main><a href="/en/one">1</a><a href="https://b.example/en/x">b</a>',
+    "https://a.example/en/one": '<title>One</title><main>first page</main><a href="two">2</a><a href="/en/gone">g</a><a href="/en/secret">s</a>',
+    "https://a.example/en/two": "<main>second page</main>",
+    "https://a.example/en/listed": "<main>listed page</main>",
+}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    store, site = str(tmp_path / "store"), dict(SITE)
+
+    def get(url):
+        if url not in site:
+            raise OSError("not there")
+        return 200, site[url]
+
+    run = lambda *argv: (cli.main([*argv, "--store", store], spark, get=get, attempts=1, rate=1000.0), capsys.readouterr().out)
+    code, said = run("discover", "--domain", "a.example", "--tasks", "2")
+    urls = sorted(line.split()[-1] for line in said.splitlines() if ". https" in line)
+    assert code == 0 and urls == [f"https://a.example/{x}" for x in ("", "en/listed", "en/one", "en/two")]
+    assert "1 from sitemaps, 3 from links, 0 beyond" in said
+    code, said = run("ingest", "--source", "https://a.example/en/one")
+    assert code == 0 and "Processed: 1\nFailed: 0" in said
+    code, said = run("ingest", "--source", "https://a.example/en/gone")
+    assert code == 1 and "Failed: 1" in said and "not there" in said
+    code, said = run("status")
+    assert code == 0 and "documents ingested: 1" in said and "runs: 2" in said
+    page = spark.read.parquet(f"{store}/pages").where("status = 200").first()
+    assert (page.url, page.authority_level, page.visa_types) == ("https://a.example/en/one", "third_party", ["general"])
