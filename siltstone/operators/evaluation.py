@@ -46,15 +46,18 @@ def token_bucket_waits(requests: DataFrame, key: str, at: str, rate: float) -> D
 
     A bucket holds ``rate`` tokens at most, starts full and refills at that
     rate; a request that finds less than one waits for the rest and empties it.
+    Requests are served one after the other: one that comes while another waits
+    is looked at after that.
     All requests of a key are read in order by one task: keys are hosts, whose
     requests in a run are few.
     """
 
     def step(acc, x):
-        tokens = F.least(F.lit(rate), acc["tokens"] + F.greatest(x - acc["at"], F.lit(0.0)) * rate)
-        wait = F.when(tokens < 1, (1 - tokens) / rate).otherwise(0.0)
+        turn = F.greatest(x, acc["at"])
+        tokens = F.least(F.lit(float(rate)), acc["tokens"] + (turn - acc["at"]) * rate)
+        served = turn + F.when(tokens < 1, (1 - tokens) / rate).otherwise(0.0)
         left = F.when(tokens < 1, 0.0).otherwise(tokens - 1)
-        return F.struct(F.array_append(acc["waits"], wait).alias("waits"), left.alias("tokens"), (x + wait).alias("at"))
+        return F.struct(F.array_append(acc["waits"], served - x).alias("waits"), left.alias("tokens"), served.alias("at"))
 
     times = F.array_sort(F.collect_list(F.col(at).cast("double")))
     grouped = requests.groupBy(key).agg(times.alias("times"))

@@ -24,11 +24,12 @@ class TokenBucket:
         self.tokens, self.at = rate, now()
 
     def acquire(self) -> None:
-        now = self.now()
+        now = max(self.now(), self.at)
         self.tokens, self.at = min(self.rate, self.tokens + (now - self.at) * self.rate), now
         if self.tokens < 1:
-            self.sleep((1 - self.tokens) / self.rate)
-            self.tokens = 0.0
+            wait = (1 - self.tokens) / self.rate
+            self.sleep(wait)
+            self.tokens, self.at = 0.0, now + wait  # the time slept is spent
         else:
             self.tokens -= 1
 
