@@ -145,17 +145,22 @@ def test_fetching(spark, tmp_path):
 def test_token_bucket(spark):
     random.seed(3)
     times = sorted(random.random() * 3 for _ in range(30))
-    clock, waits = [times[0]], []
-    bucket = pages.TokenBucket(2.0, now=lambda: clock[0], sleep=waits.append)
-    want = []
+    clock = [times[0]]
+
+    def sleep(seconds):
+        clock[0] += seconds
+
+    bucket, served = pages.TokenBucket(2.0, now=lambda: clock[0], sleep=sleep), []
     for t in times:
         clock[0] = max(clock[0], t)
-        n = len(waits)
         bucket.acquire()
-        want.append(waits[-1] if len(waits) > n else 0.0)
-        bucket.at = clock[0] = clock[0] + want[-1] if want[-1] else clock[0]
-    got = evaluation.token_bucket_waits(spark.createDataFrame([("h", t) for t in times], "host string, at double"), "host", "at", 2.0).first().waits
-    assert len(got) == 30 and sum(got) > 0
+        served.append(clock[0])
+    assert all(b - a >= 1 - 1e-9 for a, b in zip(served, served[4:], strict=False))  # a full bucket, then two a second
+    assert served[-1] >= times[0] + 28 / 2 - 1e-9
+    table = spark.createDataFrame([("h", t) for t in times] + [("other", 1.0)], "host string, at double")
+    got = {r.host: r.waits for r in evaluation.token_bucket_waits(table, "host", "at", 2.0).collect()}
+    assert got["other"] == [0.0] and len(got["h"]) == 30
+    assert all(abs(t + w - x) < 1e-9 for t, w, x in zip(times, got["h"], served, strict=True))
 
 
 def test_caches_and_seeds(spark, tmp_path):
@@ -304,3 +309,26 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 0 and "documents ingested: 1" in said and "runs: 2" in said
     page = spark.read.parquet(f"{store}/pages").where("status = 200").first()
     assert (page.url, page.authority_level, page.visa_types) == ("https://a.example/en/one", "third_party", ["general"])
+
+
+def test_discovery_is_kept(spark, tmp_path, capsys, monkeypatch):
+    store, site, asked = str(tmp_path / "store"), dict(SITE), str(tmp_path / "asked")
+
+    def get(url):
+        with open(asked, "a") as f:
+            f.write(url + "\n")
+        if url not in site:
+            raise OSError("not there")
+        return 200, site[url]
+
+    entry = {"domain": "a.example", "authority_level": "official", "max_depth": 1, "max_pages": 2}
+    monkeypatch.setattr(seeds, "_yaml", lambda path: {"domains": [entry]})
+    run = lambda *argv: (cli.main([*argv, "--store", store], spark, get=get, attempts=1, rate=1000.0), capsys.readouterr().out)
+    code, said = run("ingest", "--auto-discover")
+    assert code == 0 and "Processed: 2" in said
+    fetched = open(asked).read().split()
+    assert "https://a.example/robots.txt" in fetched and "https://a.example/en/two" not in fetched  # beyond max_depth
+    code, said = run("discover")
+    assert code == 0 and "Total: 2" in said and "1 beyond" in said and open(asked).read().split() == fetched  # nothing asked again
+    levels = {r.authority_level for r in spark.read.parquet(f"{store}/pages").collect()}
+    assert levels == {"official"}
