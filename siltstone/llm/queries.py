@@ -18,6 +18,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
 from .ranked_search import search
 from .simhash_dedup import simhash_groups
+from .spelling import spelling_variants, word_counts
 from .suffix_dedup import remove_repeated_bytes
 from .token_counts import token_counts
 
@@ -83,6 +84,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(_documents(spark, sf_dir), drop_every=31))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -175,5 +181,33 @@ scored AS (
   SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
   FROM asked JOIN weights USING (term) JOIN tf USING (term), totals GROUP BY item_id, doc_id)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+said AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(1, length(x), 2), lambda i: (strpos('0123456789ABCDEF', substr(x, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, i + 1, 1)) - 1),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+  FROM said, crc),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+without AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM without a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(CASE WHEN m >= 10 * n THEN other END ORDER BY m DESC, other) AS form, first(CASE WHEN m >= 10 * n THEN m END ORDER BY m DESC, other) AS form_n FROM near GROUP BY word),
+known AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, form, form_n FROM words LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root, 0 AS step FROM known UNION ALL SELECT path.word, form, step + 1 FROM path JOIN known ON known.word = path.root WHERE form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM known JOIN (SELECT word, last(root ORDER BY step) AS root FROM path GROUP BY word) USING (word)
 """,
 }
