@@ -12,6 +12,7 @@ from ._common import store
 from .chat_format import format_turns, read_back, text_parts
 from .fingerprints import edit_report, find_within, hex_fingerprint, likeness
 from .line_dedup import line_report
+from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality_classifier import quality_scores
@@ -88,6 +89,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(word_counts(_documents(spark, sf_dir), drop_every=31))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_documents(spark, sf_dir), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked_search": op11_ranked_search,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
