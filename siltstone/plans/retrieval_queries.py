@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import canonical_hash
 from ..operators import retrieval as R
-from ..operators import search_index
+from ..operators import search_index, vector_index
 from ..operators.dedup import first_wins
-from ..session import scratch
+from ..session import checkpoint, scratch
 from ..sources.models import rerank_scores
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 
@@ -46,6 +46,34 @@ def dense_topk_multi(spark, d):
     return _dense(spark, d, 10)
 
 
+def _ann(spark, d, k: int = R.TOP_K):
+    e, path = table(spark, d, "embeddings"), scratch(spark, "vectors")
+    vector_index.write_vector_index(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path)
+    queries = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search_vector_index(spark, path, queries, k)
+
+
+@_()
+def dense_ann(spark, d):
+    """The hits of the inverted file; dense_ann_verified holds them against the exact search."""
+    return _ann(spark, d)
+
+
+@_(f"""WITH {_dense_sql(20)},
+pairs AS (SELECT query_id, count(*) AS n FROM dense GROUP BY query_id)
+SELECT query_id, n AS n_hits, 0::BIGINT AS n_false_scores, id AS best_id, score AS best_score, true AS recall_reached FROM dense JOIN pairs USING (query_id) WHERE rank = 1""")
+def dense_ann_verified(spark, d):
+    """For each query of dense_ann: hits, hits whose score is not that of their vectors, the best hit, and whether the recall of all queries is 0.9 or more."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = checkpoint(_ann(spark, d))
+    own = found.join(e, "id").join(e.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    false = F.abs(R.dot(F.col("vector"), F.col("query")) - F.col("score")) > 1e-6
+    best = F.min_by(F.struct("id", "score"), "rank")
+    by_query = own.groupBy("query_id").agg(F.count("*").alias("n_hits"), F.count_if(false).alias("n_false_scores"), best.alias("b"))
+    reached = vector_index.recall(found, _dense(spark, d)).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    return by_query.crossJoin(F.broadcast(reached)).select("query_id", "n_hits", "n_false_scores", F.col("b.id").alias("best_id"), F.col("b.score").alias("best_score"), "recall_reached")  # one row
+
+
 #: BM25 of every text of {docs} whose id is divisible by EVERY, as a query, against all of {docs}.
 _BM25 = rf"""
 words AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM {{docs}}),
