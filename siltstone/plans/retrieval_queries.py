@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import canonical_hash
 from ..operators import retrieval as R
-from ..operators import search_index, vector_index
+from ..operators import search_index, segments, vector_index
 from ..operators.dedup import first_wins
 from ..session import checkpoint, scratch
 from ..sources.models import rerank_scores
@@ -103,6 +103,30 @@ def bm25_stored(spark, d):
     return search_index.search_index(spark, path, docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
 
 
+@_(f"WITH {_BM25_DOCS} SELECT * FROM bm")
+def bm25_block_max(spark, d):
+    """bm25_topk by index segments, written first: ranges of documents that cannot enter a query's best are not visited."""
+    docs, path = table(spark, d, "documents"), scratch(spark, "segments")
+    segments.update_index(spark, path, docs)
+    return segments.search_segments(spark, path, docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+
+
+_NOW = "(SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
+
+
+@_(f"WITH {_BM25.replace('{docs}', _NOW)} SELECT * FROM bm")
+def index_update(spark, d):
+    """An index after four updates: all documents, odd ones reversed, half of these as they were, and some deleted. It answers as one built afresh of what is left."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), scratch(spark, "segments")
+    odd = docs.where(F.col("doc_id") % 2 == 1)
+    segments.update_index(spark, path, docs)
+    segments.update_index(spark, path, odd.withColumn("text", F.reverse("text")))
+    segments.update_index(spark, path, odd.where(F.col("doc_id") % 4 == 3))
+    segments.update_index(spark, path, docs.limit(0), delete=docs.where(F.col("doc_id") % 10 == 7))
+    now = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 1, F.reverse("text")).otherwise(F.col("text"))).where((F.col("doc_id") % 10 != 7) & (F.col("doc_id") % EVERY == 0))
+    return segments.search_segments(spark, path, now.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")))
+
+
 @_(r"SELECT (SELECT count(*) FROM documents) AS n_docs, sum(tf)::BIGINT AS n_terms, count(DISTINCT term) AS n_distinct, round(sum(tf) / (SELECT count(*) FROM documents), 6) AS avgdl FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL)")
 def corpus_statistics(spark, d):
     docs = table(spark, d, "documents")
