@@ -20,7 +20,7 @@ from .sources import seeds
 from .sources.discover import discovered
 from .sources.pages import RATE, fetch_pages
 from .sources.tables import ensure_table, read_table
-from .streaming.ingest import RUNS, document_state, ingest_batch, present_chunks
+from .streaming.ingest import RUNS, document_state, ingest_batch, next_run, present_chunks
 
 SHOWN_ERRORS = 5
 SOURCES = "url string, title string, authority_level string, visa_types array<string>"
@@ -65,7 +65,7 @@ def ingest(spark: SparkSession, args: argparse.Namespace, fetching: dict) -> int
     store = args.store
     for name in ("pages", "runs"):
         ensure_table(spark, f"{store}/{name}")
-    run = (read_table(spark, f"{store}/runs", RUNS).agg(F.max("run_id")).first()[0] or 0) + 1
+    run = next_run(spark, store)
     got = sources.join(fetch_pages(sources, args.tasks, **fetching), "url").withColumn("doc_id", point_id(F.sha2("url", 256))).withColumn("run_id", F.lit(run).cast("long"))
     names = [x.split()[0] for x in PAGES.split(", ")]
     got.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{store}/pages")

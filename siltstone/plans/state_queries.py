@@ -10,7 +10,7 @@ from ..operators.evaluation import after_quota, answered_cases, first_rows, heal
 from ..session import scratch
 from ..sources import tables
 from ..sources.tables import read_table
-from ..streaming.ingest import RUNS, document_state, ingest_batch, present_chunks
+from ..streaming.ingest import RUNS, chunk_holders, delete_documents, document_state, ingest_batch, present_chunks
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 from .text_queries import _CHILDREN, _SECTIONS, _headed
 
@@ -180,3 +180,14 @@ def chunk_vectors(spark, d):
     ingest_batch(_headed(spark, d).select("doc_id", "text"), out, 0)
     norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 3)
     return present_chunks(spark, out).select("text_hash", "point_id", F.size("vector").alias("dimension"), F.when(norm == 0, 1.0).otherwise(norm).alias("norm"))
+
+
+@_(f"""WITH {_SECTIONS}, {_CHILDREN}, h AS (SELECT doc_id, {_HASHED % 'text'} AS text_hash FROM all_chunks WHERE doc_id % 4 <> 0)
+SELECT text_hash, count(DISTINCT doc_id) AS n_holders, count(*) AS n_places, true AS stored FROM h GROUP BY text_hash""")
+def shared_chunks(spark, d):
+    """After every fourth document is deleted: who holds each chunk that is left, and that its text is still there, whoever brought it."""
+    out, docs = scratch(spark, "ingested"), _headed(spark, d).select("doc_id", "text")
+    ingest_batch(docs, out, 0)
+    delete_documents(docs.where("doc_id % 4 = 0"), out, 1)
+    there = present_chunks(spark, out).select("text_hash", F.col("text").isNotNull().alias("stored"))
+    return chunk_holders(spark, out).join(there, "text_hash", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))

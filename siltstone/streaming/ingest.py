@@ -3,31 +3,37 @@
 All tables are append-only Parquet, partitioned by run, so a run that is
 repeated after a failure replaces its own rows and nothing else:
 
-- documents: the state of each document that the run took in,
-- chunks: the chunks, with payload, vector and point id, that it stored,
+- documents: the state of each document that the run took in or deleted,
+- holders: which documents hold which chunks, many to many, with their places,
+- chunks: what a chunk is, once for each text: payload, vector and point id,
 - runs: one row of totals.
 
-A document's present chunks are those of its latest run that stored it; what an
-earlier run stored is replaced without being rewritten.
+A document's present chunks are those of its latest run. A chunk lives while any
+document holds it: it outlives the document that brought it, and is gone with the
+last. What an earlier run stored is replaced without being rewritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import token_estimate
 from ..functions.text import content_hash, point_id
 from ..operators.chunking import chunk_documents
 from ..operators.dedup import classify_changes, first_wins
+from ..session import scratch
 from ..sources.models import hashed_embedding
-from ..sources.tables import ensure_table, read_table
+from ..sources.tables import drop_table, ensure_table, read_table
 
 SCHEMA = "doc_id long, text string"
 DOCUMENTS = "doc_id long, content_hash string, status string, error string, chunks_ingested long, chunks_skipped long, run_id long"
-CHUNKS = "doc_id long, section_index int, child_index int, chunk_id string, is_parent boolean, text string, text_hash string, referenced_urls array<string>, point_id long, vector array<float>, run_id long"
+HOLDERS = "text_hash string, doc_id long, section_index int, child_index int, chunk_id string, is_parent boolean, referenced_urls array<string>, stored boolean, run_id long"
+CHUNKS = "text_hash string, text string, point_id long, vector array<float>, run_id long"
 RUNS = "documents_processed long, documents_unchanged long, chunks_ingested long, chunks_skipped long, error_count long, errors array<string>, total_tokens long, success boolean, run_id long"
 NO_CHUNKS = "Chunking produced no chunks"
-MOST_ERRORS = 100
+#: Errors that a run's row quotes; failures() has all of them.
+QUOTED_ERRORS = 100
 
 
 def document_state(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
@@ -39,10 +45,32 @@ def document_state(spark: SparkSession, out: str, before: int | None = None) ->
     return rows.groupBy("doc_id").agg(F.max_by(row, "run_id").alias("r")).select("doc_id", "r.*")
 
 
-def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """The chunks that count: those of each document's latest run. A failed document has none."""
+def failures(spark: SparkSession, out: str, run_id: int) -> DataFrame:
+    """(doc_id, error) of a run."""
+    return read_table(spark, f"{out}/documents", DOCUMENTS).where((F.col("run_id") == run_id) & (F.col("status") == "failed")).select("doc_id", "error")
+
+
+def present_holders(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The rows of holders that count: those of each document's latest run. Failed and deleted documents have none."""
     state = document_state(spark, out, before).where("status = 'ingested'").select("doc_id", "run_id")
-    return read_table(spark, f"{out}/chunks", CHUNKS).join(state, ["doc_id", "run_id"], "left_semi")
+    return read_table(spark, f"{out}/holders", HOLDERS).join(state, ["doc_id", "run_id"], "left_semi")
+
+
+def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
+    """(text_hash, n_holders, n_places): how many documents hold each living chunk, and how often."""
+    return present_holders(spark, out).groupBy("text_hash").agg(F.count_distinct("doc_id").alias("n_holders"), F.count("*").alias("n_places"))
+
+
+def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """Each living chunk once, in the place of the holder that has had it longest (least run, document, section, child)."""
+    owner = first_wins(present_holders(spark, out, before).drop("stored"), ["text_hash"], ["run_id", "doc_id", "section_index", "child_index"])
+    said = first_wins(read_table(spark, f"{out}/chunks", CHUNKS), ["text_hash"], ["run_id"]).drop("run_id")
+    return owner.join(said, "text_hash")
+
+
+def _write_run(rows: DataFrame, path: str, schema: str) -> None:
+    names = [x.split()[0] for x in schema.split(", ")]
+    rows.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) -> None:
@@ -50,50 +78,81 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
 
     Documents whose stored content is the same are passed over; their rows in
     documents are not written again. Others are chunked anew, which replaces
-    their chunks. A chunk whose text is stored for another document, or comes
-    earlier in the batch, is skipped. Documents without chunks are marked failed.
-    Of rows that share an id the one with the greatest content hash counts.
+    their chunks. A chunk that another document holds already, or that comes
+    earlier in the batch, is skipped in the counts, but both hold it. Documents
+    without chunks are marked failed. Of rows that share an id the one with the
+    greatest content hash counts; rows without an id are left out. The totals are
+    observed while the tables are written.
     """
     spark = docs.sparkSession
-    for name in ("documents", "chunks", "runs"):
+    for name in ("documents", "holders", "chunks", "runs"):
         ensure_table(spark, f"{out}/{name}")
+    run = F.lit(run_id).cast("long")
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", content_hash(F.col("text")))
     rows = rows.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
-    classed = classify_changes(rows, document_state(spark, out, run_id), force=force)
-    work = classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash")
-
-    chunks = chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))))
-    stored = present_chunks(spark, out, run_id).join(work.select("doc_id"), "doc_id", "left_anti").select("text_hash")
-    chosen = first_wins(chunks, ["text_hash"], ["doc_id", "section_index", "child_index"]).join(stored, "text_hash", "left_anti")
-    points = chosen.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", F.lit(run_id))
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
-    points.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/chunks")
-
-    made = chunks.groupBy("doc_id").agg(F.count("*").alias("made"))
-    written = read_table(spark, f"{out}/chunks", CHUNKS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("chunks_ingested"))
-    each = work.select("doc_id", "content_hash").join(made, "doc_id", "left").join(written, "doc_id", "left")
-    each = each.withColumn("chunks_ingested", F.coalesce("chunks_ingested", F.lit(0))).withColumn("chunks_skipped", F.coalesce("made", F.lit(0)) - F.col("chunks_ingested"))
-    none = F.col("made").isNull()
-    each = each.withColumn("status", F.when(none, "failed").otherwise("ingested")).withColumn("error", F.when(none, F.lit(NO_CHUNKS))).withColumn("run_id", F.lit(run_id).cast("long"))
-    names = [x.split()[0] for x in DOCUMENTS.split(", ")]
-    each.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/documents")
-
-    done = read_table(spark, f"{out}/documents", DOCUMENTS).where(F.col("run_id") == run_id)
-    failed = F.col("status") == "failed"
-    totals = done.agg(
-        F.count_if(~failed).alias("taken"), F.coalesce(F.sum("chunks_ingested"), F.lit(0)).alias("chunks_ingested"), F.coalesce(F.sum("chunks_skipped"), F.lit(0)).alias("chunks_skipped"), F.count_if(failed).alias("error_count")
-    )
-    said = done.where(failed).orderBy("doc_id").limit(MOST_ERRORS).agg(F.array_sort(F.collect_list(F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("error")))).alias("errors"))
-    same = classed.agg(F.count_if(F.col("change") == "unchanged").alias("documents_unchanged"))
-    run = totals.crossJoin(said).crossJoin(same).select(
-        (F.col("taken") + F.col("documents_unchanged")).alias("documents_processed"), "documents_unchanged", "chunks_ingested", "chunks_skipped", "error_count", "errors",
-        F.lit(0).cast("long").alias("total_tokens"), (F.col("error_count") == 0).alias("success"), F.lit(run_id).cast("long").alias("run_id"),
-    )
-    run.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out}/runs")
+    seen, kept, done = Observation(), Observation(), Observation()
+    classed = classify_changes(rows, document_state(spark, out, run_id), force=force).observe(seen, F.count_if(F.col("change") == "unchanged").alias("unchanged"))
+    taken, made = scratch(spark, "taken"), scratch(spark, "chunks")
+    classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash").write.parquet(taken)
+    work = spark.read.schema("doc_id long, text string, content_hash string").parquet(taken)
+    chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).write.parquet(made)
+    chunks = spark.read.schema(HOLDERS.replace("stored boolean, run_id long", "text string")).parquet(made)
+
+    place = ["doc_id", "section_index", "child_index"]
+    elsewhere = present_holders(spark, out, run_id).join(work.select("doc_id"), "doc_id", "left_anti").select("text_hash").distinct()
+    first = first_wins(chunks.select("text_hash", *place), ["text_hash"], place).join(elsewhere, "text_hash", "left_anti").withColumn("stored", F.lit(True))
+    held = chunks.join(first, ["text_hash", *place], "left").withColumn("stored", F.coalesce("stored", F.lit(False))).withColumn("run_id", run)
+    tokens = F.coalesce(F.sum(F.when(F.col("stored"), token_estimate(F.col("text")))), F.lit(0)).cast("long")
+    _write_run(held.observe(kept, tokens.alias("tokens")), f"{out}/holders", HOLDERS)
+
+    known = read_table(spark, f"{out}/chunks", CHUNKS).where(F.col("run_id") != run_id).select("text_hash").distinct()
+    said = first_wins(chunks.select("text_hash", "text", *place), ["text_hash"], place).join(known, "text_hash", "left_anti")
+    _write_run(said.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", run), f"{out}/chunks", CHUNKS)
+
+    own = read_table(spark, f"{out}/holders", HOLDERS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if("stored").alias("chunks_ingested"))
+    each = work.select("doc_id", "content_hash").join(own, "doc_id", "left").fillna(0, ["made", "chunks_ingested"]).withColumn("chunks_skipped", F.col("made") - F.col("chunks_ingested"))
+    failed = F.col("made") == 0
+    each = each.withColumn("status", F.when(failed, "failed").otherwise("ingested")).withColumn("error", F.when(failed, F.lit(NO_CHUNKS))).withColumn("run_id", run)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    _write_run(each.observe(done, F.count_if(~failed).alias("taken"), total("chunks_ingested"), total("chunks_skipped"), F.count_if(failed).alias("failed")), f"{out}/documents", DOCUMENTS)
+
+    t, unchanged = done.get, seen.get["unchanged"]
+    quoted = [f"{r.doc_id}: {r.error}" for r in failures(spark, out, run_id).orderBy("doc_id").limit(QUOTED_ERRORS).collect()] if t["failed"] else []
+    row = (t["taken"] + unchanged, unchanged, t["chunks_ingested"], t["chunks_skipped"], t["failed"], sorted(quoted), kept.get["tokens"], t["failed"] == 0, run_id)
+    _write_run(spark.createDataFrame([row], RUNS), f"{out}/runs", RUNS)
+    for path in (taken, made):
+        drop_table(spark, path)
+
+
+def delete_documents(ids: DataFrame, out: str, run_id: int) -> None:
+    """Marks the stored documents of ids(doc_id) deleted, as one run; the chunks that no other document holds are gone with them."""
+    state = document_state(ids.sparkSession, out, run_id).where("status <> 'deleted'").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    none = F.lit(0).cast("long")
+    _write_run(state.select("doc_id", "content_hash", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), none.alias("chunks_ingested"), none.alias("chunks_skipped"), F.lit(run_id).cast("long").alias("run_id")), f"{out}/documents", DOCUMENTS)
+
+
+def next_run(spark: SparkSession, out: str) -> int:
+    """A run id that no table of the store has."""
+    last = [read_table(spark, f"{out}/{name}", schema).agg(F.max("run_id")).first()[0] for name, schema in (("documents", DOCUMENTS), ("runs", RUNS))]
+    return max([-1, *(x for x in last if x is not None)]) + 1
 
 
 def ingest_available(spark: SparkSession, landing: str, out: str) -> None:
-    """Takes in whatever arrived in the landing folder since the last call, then stops. A micro-batch is a run."""
+    """Takes in whatever arrived in the landing folder since the last call, then stops.
+
+    A micro-batch is a run, numbered after those that the store has. One that is
+    repeated after a failure keeps the number that it was given first: what the
+    stream's checkpoint calls a batch is noted beside it before the run begins.
+    """
+
+    def take(df: DataFrame, batch: int) -> None:
+        numbers = read_table(spark, f"{out}/batches", "batch long, run_id long")
+        given = numbers.where(F.col("batch") == batch).first()
+        run = given.run_id if given else max(next_run(spark, out), (numbers.agg(F.max("run_id")).first()[0] or -1) + 1)
+        if given is None:
+            spark.createDataFrame([(batch, run)], "batch long, run_id long").coalesce(1).write.mode("append").parquet(f"{out}/batches")
+        ingest_batch(df, out, run)
+
     stream = spark.readStream.schema(SCHEMA).parquet(landing).writeStream
-    stream = stream.foreachBatch(lambda df, run: ingest_batch(df, out, run)).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
+    stream = stream.foreachBatch(take).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
     stream.start().awaitTermination()

@@ -110,19 +110,39 @@ def test_ingestion_replaces_documents(spark, tmp_path):
     assert log[1].chunks_skipped >= 1 and log[2].success and log[4].chunks_ingested == log[2].chunks_ingested > 0
     row = ingest.present_chunks(spark, out).first()
     assert len(row.vector) == 64 and abs(sum(x * x for x in row.vector) - 1) < 1e-5 and row.point_id == int(row.text_hash[:15], 16)
+    assert log[0].total_tokens > 0 and log[1].total_tokens < log[0].total_tokens and log[3].total_tokens == 0
     ingest.ingest_batch(table([]), out, 5)
     assert len(said()) == 2
 
 
+def test_chunks_outlive_their_first_document(spark, tmp_path):
+    out, said = str(tmp_path / "out"), "## Same\n" + "A sentence that two documents hold, long enough to stand as a child of its section. " * 3
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    here = lambda: sorted((r.doc_id, r.text.split("\n")[0]) for r in ingest.present_chunks(spark, out).where("is_parent").collect())
+    ingest.ingest_batch(table([(1, said), (2, said)]), out, 0)
+    assert here() == [(1, "Same")] and {(r.n_holders, r.n_places) for r in ingest.chunk_holders(spark, out).where("n_holders = 2").collect()} == {(2, 2)}
+    ingest.ingest_batch(table([(1, "## Other\nsomething else"), (2, said)]), out, 1)
+    assert here() == [(1, "Other"), (2, "Same")]
+    ingest.delete_documents(spark.createDataFrame([(1,), (77,), (None,)], "doc_id long"), out, 2)
+    assert here() == [(2, "Same")] and ingest.document_state(spark, out).where("status = 'deleted'").count() == 1
+    ingest.ingest_batch(table([(1, said)]), out, 3)
+    ingest.delete_documents(spark.createDataFrame([(2,)], "doc_id long"), out, 4)
+    assert here() == [(1, "Same")] and ingest.next_run(spark, out) == 5
+    ingest.delete_documents(spark.createDataFrame([(1,)], "doc_id long"), out, 5)
+    assert here() == []
+
+
 def test_landing_folder(spark, tmp_path):
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(i, f"## Head\nSentence number {i} is here. " * 20) for i in range(5)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(landing)
+    ingest.ingest_batch(spark.createDataFrame([(50, "## Before\nthe stream")], "doc_id long, text string"), out, 0)
     ingest.ingest_available(spark, landing, out)
     first = ingest.present_chunks(spark, out).count()
     spark.createDataFrame(rows[:3], "doc_id long, text string").write.mode("append").parquet(landing)
     ingest.ingest_available(spark, landing, out)
-    assert ingest.present_chunks(spark, out).count() == first > 0
+    assert ingest.present_chunks(spark, out).count() == first > 1
+    assert {r.run_id for r in spark.read.parquet(f"{out}/runs").collect()} == {0, 1, 2}
 
 
 def test_fetching(spark, tmp_path):
