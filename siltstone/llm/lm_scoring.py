@@ -28,11 +28,13 @@ the class table and the weights (10 MB).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,16 +45,18 @@ CLASSES, GROUPS, ANCHORS, CHUNK_TOP = 64, 6, 64, 256
 SAME_GROUP = 0.7  # cosine of two anchors' companions
 ROWS = 1 << 15
 FEATURES = 5
-ROUNDS, RATE, BATCH, SCORED = 3, 0.5, 1024, 4096
+ROUNDS, RATE, BATCH, SCORED = 3, 0.5, 2048, 4096
+PIECE = 1 << 18  # tokens whose histories are held at a time
 BASE_SHARE = 1e-3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+PACKED_ROWS = 1 << 20  # rows that a task holds before it packs them
 LEVELS = 8  # frequency levels an octave
 BLOCK_ROWS = 2048
 UNKNOWN = 255  # a class number that no class has
 END = b""
 
-CODED = "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, words array<binary>"
-READY = "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, classes binary, counts binary, hashes binary"
+CODED = "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, hashes binary, words array<binary>"
+READY = "chunk long, ids array<long>, train array<boolean>, sizes array<int>, tokens binary, hashes binary, classes binary, counts binary"
 PARTS = "block int, rows binary, touched binary, squares binary, change binary"
 
 
@@ -75,11 +79,12 @@ def _coded(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             coded = pa.array(words, pa.binary()).dictionary_encode()
             tokens = pa.compress(np.asarray(coded.indices).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
             known = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-            out = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([tokens], pa.binary()), known]
+            hashes = np.fromiter(map(xxhash.xxh32_intdigest, coded.dictionary.to_pylist()), np.uint32, len(coded.dictionary)).tobytes()
+            out = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (tokens, hashes)), known]
             number, held = number + 1, 0
             for x in (ids, train, sizes, words):
                 x.clear()
-            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "train", "sizes", "tokens", "words"])
+            return pa.RecordBatch.from_arrays(out, names=["chunk", "ids", "train", "sizes", "tokens", "hashes", "words"])
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -106,9 +111,12 @@ class _Chunk:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.train = np.array(row["train"], bool)
         self.tokens = np.frombuffer(pa.decompress(row["tokens"], int(self.sizes.sum()) * 4, codec="zstd", asbytes=True), np.int32)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.n_words = words
 
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
     def counted(self, groups: np.ndarray | None = None, n: int = 1) -> np.ndarray:
         """Occurrences in training documents, (group of document, word)."""
         own = self.train[self.doc]
@@ -248,39 +256,87 @@ def _vocabulary(counts: DataFrame) -> tuple[DataFrame, str, dict]:
     return vocabulary, path, model
 
 
-def _ready(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """READY: the chunks with class, count and hash of each word of their dictionaries in place of the words."""
+def _packed_words(coded: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(of, cells): places, classes and counts of words of a chunk's dictionary, some of them in each row."""
     words = coded.select("chunk", F.posexplode("words").alias("place", "word")).join(vocabulary, "word", "left")
-    words = words.select(F.col("chunk").alias("of"), "place", F.coalesce("class", F.lit(UNKNOWN)).alias("class"), F.coalesce("count", F.lit(0)).alias("count"), F.xxhash64("word").alias("hash"))
+    words = words.select(F.col("chunk").alias("of"), "place", F.coalesce("class", F.lit(UNKNOWN)).alias("class"), F.coalesce("count", F.lit(0)).alias("count"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def rows() -> pa.RecordBatch:
+            of, place, own, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1], [True])))
+            cells = [place[at].tobytes() + own[at].tobytes() + count[at].tobytes() for at in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+            return pa.RecordBatch.from_arrays([pa.array(of[order[cuts[:-1]]]), pa.array(cells, pa.binary())], names=["of", "cells"])
+
+        for batch in batches:
+            held.append(tuple(np.asarray(batch[c]).astype(kind) for c, kind in zip(("of", "place", "class", "count"), (np.int64, np.int32, np.uint8, np.int64), strict=True)))
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield rows()
+                held, n = [], 0
+        if n:
+            yield rows()
+
+    return words.mapInArrow(run, "of long, cells binary")
+
+
+def _ready(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """READY: the chunks with class and count of each word of their dictionaries in place of the words."""
 
     def run(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["place"].to_numpy(), kind="stable")
-        kinds = (("class", np.uint8), ("count", np.int64), ("hash", np.uint32))
-        said = [pa.array([words[c].to_numpy()[order].astype(kind).tobytes()], pa.binary()) for c, kind in kinds]
-        return pa.table([*(chunk[c].combine_chunks() for c in ("chunk", "ids", "train", "sizes", "tokens")), *said], names=[x.split()[0] for x in READY.split(", ")])
+        cells = [(x, len(x) // 13) for x in words["cells"].to_pylist()]  # 4, 1 and 8 bytes a word
+        order = np.argsort(np.concatenate([np.frombuffer(x, np.int32, n) for x, n in cells]), kind="stable")
+        own = np.concatenate([np.frombuffer(x, np.uint8, n, 4 * n) for x, n in cells])[order]
+        count = np.concatenate([np.frombuffer(x[5 * n :], np.int64) for x, n in cells])[order]
+        return pa.table([*(chunk[c].combine_chunks() for c in chunk.column_names), pa.array([own.tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary())], names=[x.split()[0] for x in READY.split(", ")])
 
     return coded.drop("words").groupBy("chunk").cogroup(words.groupBy("of")).applyInArrow(run, READY)
 
 
-class _Histories(_Chunk):
-    """A chunk's tokens with the weight rows of their histories."""
+class _Histories:
+    """Some documents of a chunk, token by token: document, word, count, class, and the weight rows of the history."""
+
+    def __init__(self, chunk: _Chunk, row: dict, docs: np.ndarray, n_classes: int, rows: int) -> None:
+        sizes = chunk.sizes[docs]
+        self.starts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(self.starts, sizes)
+        tokens = chunk.tokens[place + np.repeat(chunk.starts[docs], sizes)]
+        self.count = np.frombuffer(row["counts"], np.int64)[tokens]
+        self.target = np.frombuffer(row["classes"], np.uint8)[tokens].astype(np.int32)
+        side = np.int32(n_classes + 2)  # the classes, before the text, unknown words
+        seen = np.where(self.target == UNKNOWN, np.int32(n_classes + 1), self.target)
+        word = np.frombuffer(row["hashes"], np.uint32)[tokens]
+
+        def before(x: np.ndarray, k: int, none: int) -> np.ndarray:
+            out = np.empty_like(x)
+            out[k:] = x[:-k] if len(x) > k else x[:0]
+            out[place < k] = none
+            return out
+
+        def slot(x: np.ndarray) -> np.ndarray:
+            mixed = ((x * np.uint32(0x85EBCA6B)) ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(7)
+            return (mixed % np.uint32(rows)).astype(np.int32) + (side * side + side)
 
-    def __init__(self, row: dict, n_classes: int, rows: int) -> None:
-        classes = np.frombuffer(row["classes"], np.uint8)
-        super().__init__(row, len(classes))
-        self.count = np.frombuffer(row["counts"], np.int64)
-        self.target = classes[self.tokens].astype(np.int64)
-        side = n_classes + 2  # the classes, before the text, unknown words
-        seen = np.where(self.target == UNKNOWN, n_classes + 1, self.target)
-        word = np.frombuffer(row["hashes"], np.uint32)[self.tokens]
-        at = np.arange(len(self.tokens)) - self.starts[self.doc]
-        before = lambda x, k, none: np.where(at >= k, np.roll(x, k), x.dtype.type(none))
         c1, c2, c3 = (before(seen, k, n_classes) for k in (1, 2, 3))
         w1, w2 = (before(word, k, 0x9E3779B9) for k in (1, 2))
-        slot = lambda x: side * side + side + (((x * np.uint32(0x85EBCA6B)) ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35) >> np.uint32(7)).astype(np.int64) % rows
         self.rows = np.stack([c2 * side + c1, side * side + c3, slot(w1), slot(w1 * np.uint32(0x27D4EB2F) + (w2 ^ (w2 >> np.uint32(13)))), slot(w2 ^ np.uint32(0x165667B1))])
 
 
+def _pieces(row: dict, n_classes: int, rows: int, chosen: Callable[[_Chunk], np.ndarray]) -> Iterator[tuple[np.ndarray, _Histories]]:
+    """(documents, their histories) of a row of READY, about PIECE tokens or one document at a time."""
+    chunk = _Chunk(row, len(row["classes"]))
+    docs = chosen(chunk)
+    upto = np.cumsum(chunk.sizes[docs])
+    first = 0
+    while first < len(docs):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PIECE, side="right")))
+        yield docs[first:last], _Histories(chunk, row, docs[first:last], n_classes, rows)
+        first = last
+
+
 def n_rows(n_classes: int, rows: int) -> int:
     return (n_classes + 2) * (n_classes + 3) + rows
 
@@ -301,6 +357,8 @@ def update(weights: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows:
     slope = softmax_of(weights, rows)
     slope[np.arange(len(target)), target] -= 1
     flat = rows.ravel()
+    if len(weights) <= 1 << 16:
+        flat = flat.astype(np.uint16)  # of which numpy's stable sort is a radix sort
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     cuts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
@@ -321,10 +379,9 @@ def _round(ready: DataFrame, weights: np.ndarray, squares: np.ndarray, n_classes
         touched = np.zeros(len(own))
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = _Histories(row, n_classes, rows)
-                use = np.flatnonzero((chunk.train & (np.arange(len(chunk.train)) % shares == share))[chunk.doc])
-                for at in (use[k : k + BATCH] for k in range(0, len(use), BATCH)):
-                    update(own, seen, touched, chunk.rows[:, at], chunk.target[at])
+                for _docs, part in _pieces(row, n_classes, rows, lambda c: np.flatnonzero(c.train & (np.arange(len(c.train)) % shares == share))):
+                    for k in range(0, len(part.target), BATCH):
+                        update(own, seen, touched, part.rows[:, k : k + BATCH], part.target[k : k + BATCH])
         out = []
         for block in range(0, len(own), BLOCK_ROWS):
             some = np.flatnonzero(touched[block : block + BLOCK_ROWS]) + block
@@ -359,18 +416,18 @@ def _round(ready: DataFrame, weights: np.ndarray, squares: np.ndarray, n_classes
     return weights, squares
 
 
-def token_scores(chunk: _Histories, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(base, score): log10 probabilities of a chunk's tokens."""
-    count = chunk.count[chunk.tokens]
+def token_scores(part: _Histories, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(base, score): log10 probabilities of the tokens."""
+    count = part.count
     plain = (count + 1.0) / (model["train_tokens"] + (model["types"] + 1.0))
     within = np.where(count > 0, 1.0, 0.0)
     known = np.flatnonzero(count > 0)
-    own = chunk.target[known]
+    own = part.target[known]
     within[known] = (count[known] - model["discount"][own]) / model["n"][own]
     likely = np.empty(len(count))
     for a in range(0, len(count), SCORED):
-        p = softmax_of(model["weights"], chunk.rows[:, a : a + SCORED])
-        target = chunk.target[a : a + SCORED]
+        p = softmax_of(model["weights"], part.rows[:, a : a + SCORED])
+        target = part.target[a : a + SCORED]
         there = target != UNKNOWN
         rest = p @ model["unknown"].astype(np.float32)
         likely[a : a + SCORED] = np.where(there, p[np.arange(len(p)), np.where(there, target, 0)] * within[a : a + SCORED], rest)
@@ -384,11 +441,13 @@ def _scored(ready: DataFrame, model: dict, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = _Histories(row, sent.value["classes"], rows)
-                base, score = (np.add.reduceat(x, chunk.starts) for x in token_scores(chunk, sent.value))
-                known = np.add.reduceat((chunk.count[chunk.tokens] > 0).astype(np.int64), chunk.starts)
-                cells = [pa.array(row["ids"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(chunk.sizes), pa.array(known), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cells, names=[x.split()[0] for x in schema.split(", ")])
+                ids, train = pa.array(row["ids"], pa.int64()), pa.array(row["train"], pa.bool_())
+                for docs, part in _pieces(row, sent.value["classes"], rows, lambda c: np.arange(len(c.sizes))):
+                    base, score = (np.add.reduceat(x, part.starts) for x in token_scores(part, sent.value))
+                    known = np.add.reduceat((part.count > 0).astype(np.int64), part.starts)
+                    at = pa.array(docs)
+                    cells = [ids.take(at), train.take(at), pa.array(np.diff(np.append(part.starts, len(part.target)))), pa.array(known), pa.array(base), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(cells, names=[x.split()[0] for x in schema.split(", ")])
 
     return ready.mapInArrow(run, schema)
 
@@ -401,13 +460,16 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     anchors = _anchors(coded)
     groups = anchor_groups(_together(coded, anchors)) if anchors else np.zeros(0, np.int64)
     vocabulary, _, model = _vocabulary(_by_group(coded, anchors, groups))
-    ready, _ = store(_ready(coded, vocabulary), "ready")
-    remove(spark, coded_at)
+    words, words_at = store(_packed_words(coded, vocabulary), "coded-words")
+    remove(spark)
+    ready, _ = store(_ready(coded, words), "ready")
+    remove(spark, coded_at, words_at)
     weights = np.zeros((n_rows(model["classes"], rows), model["classes"]), np.float32)
     squares = np.zeros(len(weights), np.float32)
     if model["train_tokens"]:
         for share in range(rounds):
             weights, squares = _round(ready, weights, squares, model["classes"], rows, share, rounds)
+            remove(spark)
     return model | {"weights": weights}, ready, vocabulary
 
 
