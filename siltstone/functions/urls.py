@@ -74,7 +74,20 @@ def resolve(href: Column, base: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """The targets of a page's links: tag and attribute in any case, in double, single or no quotes."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<a\s[^>]*>)"), 1)
-    value = lambda t: F.regexp_extract(t, r"""(?i)\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.transform(F.transform(tags, value), lambda x: F.btrim(F.replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))))
+    """The targets of a page's links: tag and attribute in any case, in double, single or no quotes; what stands inside another attribute's quotes is neither a tag's end nor an attribute."""
+    tags = F.regexp_extract_all(html, F.lit(r"""(?i)(<a\s(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>)"""), 1)
+    return F.filter(F.transform(tags, lambda t: _attribute(t, "href")), lambda x: x.isNotNull())
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, without quotes and white space at its ends; null if it has none."""
+    attributes = F.regexp_extract_all(tag, F.lit(r"""([^\s"'>/=]++\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))"""), 1)
+    own = F.get(F.filter(attributes, lambda a: a.rlike(rf"(?i)^{name}\s*=")), 0)
+    value = F.regexp_extract(own, r"""(?s)^[^=]*=\s*["']?(.*?)["']?$""", 1)
+    return F.btrim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+
+
+def page_base(html: Column, url: Column) -> Column:
+    """What a page's links are relative to: its base tag's address, resolved, else its own."""
+    own = _attribute(F.regexp_extract(html, r"""(?i)(<base\s(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>)""", 1), "href")
+    return F.when(own.isNull() | (own == ""), url).otherwise(resolve(own, url))

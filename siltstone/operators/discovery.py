@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.urls import bare_domain, canonical_url, hrefs, is_live_href, is_url_allowed, resolve, url_authority, url_path
+from ..functions.urls import bare_domain, canonical_url, hrefs, is_live_href, page_base, is_url_allowed, resolve, url_authority, url_path
 from ..session import checkpoint
 
 DEFAULT_DEPTH, DEFAULT_PAGES = 2, 50
@@ -67,9 +67,9 @@ def first_answering(probes: DataFrame, key: str = "domain") -> DataFrame:
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, link, same_domain): canonical absolute links, each once a page."""
-    found = pages.select(key, url, F.explode(hrefs(F.col(html))).alias("href")).where(is_live_href(F.col("href")))
-    found = found.select(key, url, canonical_url(resolve(F.col("href"), F.col(url))).alias("link")).where("link IS NOT NULL").distinct()
+    """(key, link, same_domain): canonical absolute links, each once a page. A page's base tag counts."""
+    found = pages.select(key, url, page_base(F.col(html), F.col(url)).alias("base"), F.explode(hrefs(F.col(html))).alias("href")).where(is_live_href(F.col("href")))
+    found = found.select(key, url, canonical_url(resolve(F.col("href"), F.col("base"))).alias("link")).where("link IS NOT NULL").distinct()
     return found.select(key, "link", (bare_domain(url_authority(F.col("link"))) == bare_domain(url_authority(F.col(url)))).alias("same_domain"))
 
 

@@ -50,9 +50,9 @@ def corpus_stats(index: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, id, score, rank) by Okapi BM25. Only the postings of query terms are joined and scored."""
+    """(query_id, id, score, rank) by Okapi BM25. Only the postings of query terms are joined and scored. Null texts count as documents without terms."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    words = docs.select(F.col(key).alias("id"), terms(F.col(text)).alias("words"))
+    words = docs.select(F.col(key).alias("id"), F.coalesce(terms(F.col(text)), F.array()).alias("words"))
     lengths = words.select("id", F.size("words").alias("dl"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     hits = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")

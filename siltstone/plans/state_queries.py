@@ -10,6 +10,7 @@ from ..operators.evaluation import after_quota, answered_cases, first_rows, heal
 from ..session import scratch
 from ..sources import tables
 from ..sources.tables import read_table
+from ..streaming import caches
 from ..streaming.ingest import RUNS, chunk_holders, delete_documents, document_state, ingest_batch, present_chunks
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 from .text_queries import _CHILDREN, _SECTIONS, _headed
@@ -64,6 +65,34 @@ def answer_cache(spark, d):
     return tables.cached_answers(asked, cache, as_of(), 24).select("conv_id", "turn", F.coalesce("answer", F.lit(-1)).alias("answer"))
 
 
+def _streamed(spark, rows, change):
+    """What a stream over rows leaves, in one run from a new checkpoint."""
+    landing, state, out = (scratch(spark, x) for x in ("landing", "stream-state", "streamed"))
+    rows.write.parquet(landing)
+    stream = change(spark.readStream.schema(rows.schema).parquet(landing))
+    stream.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@_(ORACLE_SQL["answer_cache"])
+def cache_stream(spark, d):
+    """answer_cache as a stream with one entry of state a key: turns are stored at their times, and all are asked for at the end."""
+    asked = table(spark, d, "conversations").where("role = 'user' and text is not null").select("conv_id", "turn", tables.answer_key(F.col("text")).alias("cache_key"))
+    at = F.timestamp_micros(F.unix_micros(as_of()) - (F.col("conv_id") % 48) * 3_600_000_000)
+    stored = asked.select("cache_key", at.alias("at"), F.lit(False).alias("is_query"), F.format_string("%018d", "conv_id").alias("answer"))
+    queries = asked.select("cache_key").distinct().select("cache_key", as_of().alias("at"), F.lit(True).alias("is_query"), F.lit(None).cast("string").alias("answer"))
+    answers = _streamed(spark, stored.unionByName(queries), lambda df: caches.cache_stream(df, 24))
+    turns = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", tables.answer_key(F.col("text")).alias("cache_key"))
+    return turns.join(answers, "cache_key", "left").select("conv_id", "turn", F.coalesce(F.col("answer").cast("long"), F.lit(-1)).alias("answer"))
+
+
+@_("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, d):
+    """Events that arrive twice, once each user and type, by a stream whose state the watermark bounds."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, e.unionByName(e), lambda df: caches.distinct_within(df, ["user_id", "event_type"], "ts", "3650 days")).select("user_id", "event_type")
+
+
 @_("SELECT event_type AS message, count(*) AS n FROM events WHERE value > 50 GROUP BY ALL ORDER BY n DESC, min(event_id) LIMIT 5")
 def error_top5(spark, d):
     e = table(spark, d, "events").where("value > 50").withColumn("message", F.when(F.length("event_type") > 75, F.concat(F.left("event_type", F.lit(75)), F.lit("..."))).otherwise(F.col("event_type")))

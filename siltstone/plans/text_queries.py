@@ -46,8 +46,7 @@ def normalize_whitespace(spark, d):
 @_(f"SELECT text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {_CANON} AS text_hash FROM documents) GROUP BY text_hash")
 def dedup_first_wins(spark, d):
     rows = _docs(spark, d).select("doc_id", T.canonical_hash(F.col("text")).alias("text_hash"))
-    n = rows.groupBy("text_hash").agg(F.count("*").alias("copies"))
-    return dedup.first_wins(rows.withColumn("at", F.col("doc_id")), ["text_hash"], ["at"]).drop("at").join(n, "text_hash")
+    return dedup.first_wins(rows.withColumn("at", F.col("doc_id")), ["text_hash"], ["at"], count="copies").drop("at")
 
 
 @_(f"WITH h AS (SELECT doc_id, {_CANON} AS text_hash FROM documents) SELECT doc_id FROM h WHERE text_hash NOT IN (SELECT text_hash FROM h WHERE doc_id % 4 = 0)")

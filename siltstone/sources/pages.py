@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.html import extract_pages
 
 RATE, ATTEMPTS, TIMEOUT = 2.0, 3, 30.0
+MOST_BYTES = 64 << 20
 FIRST_WAIT, LONGEST_WAIT = 2.0, 10.0
 AGENT = "siltstone"
 
@@ -34,15 +35,21 @@ class TokenBucket:
             self.tokens -= 1
 
 
-def http_get(url: str) -> tuple[int, str]:
+def http_get(url: str, most: int = MOST_BYTES) -> tuple[int, str]:
+    """(status, body); spaces and letters beyond ASCII are quoted, and a body of over ``most`` bytes is an error."""
+    from urllib.parse import quote
     from urllib.request import Request, urlopen
 
-    with urlopen(Request(url, headers={"User-Agent": AGENT}), timeout=TIMEOUT) as answer:  # noqa: S310
-        return getattr(answer, "status", None) or 200, answer.read().decode("utf-8", "replace")
+    with urlopen(Request(quote(url, safe="%/:=&?~#+!$,;'@()*[]"), headers={"User-Agent": AGENT}), timeout=TIMEOUT) as answer:  # noqa: S310
+        body = answer.read(most + 1)
+        if len(body) > most:
+            raise ValueError(f"more than {most} bytes")
+        return getattr(answer, "status", None) or 200, body.decode("utf-8", "replace")
 
 
 def with_retries(get: Callable[[str], tuple[int, str]], url: str, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> tuple[int | None, str | None, str | None]:
     """(status, body, error) of a request that is repeated, with growing waits, while it fails."""
+    from http.client import HTTPException
     from urllib.error import HTTPError
 
     wait, error = FIRST_WAIT, None
@@ -51,8 +58,8 @@ def with_retries(get: Callable[[str], tuple[int, str]], url: str, attempts: int
             return *get(url), None
         except HTTPError as e:
             error, status = str(e), e.code
-        except (OSError, ValueError) as e:
-            error, status = str(e), None
+        except (OSError, ValueError, HTTPException) as e:  # the last: addresses and answers that are malformed
+            error, status = str(e) or type(e).__name__, None
         if n + 1 < attempts:
             sleep(wait)
             wait = min(2 * wait, LONGEST_WAIT)

@@ -87,6 +87,12 @@ def test_resolved_links(spark):
         assert one(spark, urls.resolve(F.lit(href), F.lit("https://h.example/a/b/c?k#t"))) == f"https://h.example{want}" == urljoin("https://h.example/a/b/c?k#t", href)
     assert one(spark, urls.resolve(F.lit("x"), F.lit("https://h.example"))) == "https://h.example/x"
     assert one(spark, urls.hrefs(F.lit("<A HREF = 'a b'><a class=c href=d><a\nhref=\"e&amp;f\"><abbr href='no'>"))) == ["a b", "d", "e&f"]
+    odd = """<a title="a > b" href="/x">1</a><a data-x=" href=/wrong" HREF=/right/>2</a><a name='n'>3</a><a href>4</a><a href=p?a=b&c=d class=e>"""
+    assert one(spark, urls.hrefs(F.lit(odd))) == ["/x", "/right/", "p?a=b&c=d"]
+    long = "<a " + "x" * 200_000 + " " + "a='b' " * 20_000 + "href=z>"
+    assert one(spark, urls.hrefs(F.lit(long))) == ["z"]
+    for page, want in (("<base target=_top href='/d/'><a href=e>", "https://h.example/d/"), ("<a href=e>", "https://h.example/a/b"), ("<base href=''>", "https://h.example/a/b")):
+        assert one(spark, urls.page_base(F.lit(page), F.lit("https://h.example/a/b"))) == want
 
 
 def test_ingestion_replaces_documents(spark, tmp_path):
@@ -145,6 +151,12 @@ def test_landing_folder(spark, tmp_path):
     assert {r.run_id for r in spark.read.parquet(f"{out}/runs").collect()} == {0, 1, 2}
 
 
+def test_bad_addresses_are_rows(spark):
+    asked = spark.createDataFrame([("http://127.0.0.1:9/a b",), ("http://h:port/",), ("nonsense",)], "url string")
+    got = pages.fetch_pages(asked, 1, rate=1000.0, attempts=1).collect()
+    assert len(got) == 3 and all(r.html is None and r.error for r in got)
+
+
 def test_fetching(spark, tmp_path):
     page = tmp_path / "page.html"
     page.write_text("<title>T</title><main>hello</main>")

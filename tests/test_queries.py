@@ -38,6 +38,28 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+#: Queries in which a null text, of a document, a turn or a page, must not lose or miscount anything.
+NULLS = "bm25_topk bm25_block_max index_update hybrid_fusion dedup_first_wins dedup_anti_known content_change ingest_run_log shared_chunks pack_chunks chunk_ids link_extract relative_links answer_chain retrieve_parents".split()
+
+
+@pytest.fixture(scope="module")
+def with_nulls(tmp_path_factory):
+    """The tables with every tenth text null."""
+    c, out = duckdb.connect(), tmp_path_factory.mktemp("nulls")
+    for t in TABLES:
+        key, text = {"documents": ("doc_id", "text"), "conversations": ("conv_id", "text"), "pages": ("page_id", "html")}.get(t, (None, None))
+        shown = f"* REPLACE (CASE WHEN {key} % 10 = 3 THEN NULL ELSE {text} END AS {text})" if key else "*"
+        c.execute(f"COPY (SELECT {shown} FROM '{DATA}/{t}.parquet') TO '{out}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{out}/{t}.parquet'")
+    return c, str(out)
+
+
+@pytest.mark.parametrize("name", [n for n in NULLS if n in plans.QUERIES])
+def test_null_texts(spark, with_nulls, name):
+    c, data = with_nulls
+    assert rows(plans.QUERIES[name](spark, data).toPandas()) == rows(c.sql(plans.ORACLE_SQL[name]).df())
+
+
 def test_entry_without_training_operators():
     code = "import sys; sys.modules['siltstone.llm'] = None; import __spark_entry__ as e; assert e.llm_queries is None; assert e.queries() and set(e.oracle_sql()) <= set(e.queries()); assert not [k for k in e.queries() if k.startswith('op')]"
     assert subprocess.run([sys.executable, "-c", code], cwd=REPO).returncode == 0
