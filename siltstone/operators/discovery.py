@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import bare_domain, canonical_url, hrefs, is_live_href, page_base, is_url_allowed, resolve, url_authority, url_path
 from ..session import checkpoint
+from .ranks import place_in_group
 
 DEFAULT_DEPTH, DEFAULT_PAGES = 2, 50
 MOST_SITEMAP_DEPTH = 5
@@ -98,8 +99,7 @@ def sitemap_closure(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -
 
 def truncate_per_domain(scored: DataFrame, group: str, score: str, tie: str, limit: str) -> DataFrame:
     """The best ``limit`` rows of each group with their rank, and ``over``: how many rows of the group were left out."""
-    order = W.partitionBy(group).orderBy(F.col(score).desc(), tie)
-    kept = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col(limit))
+    kept = place_in_group(scored, group, score, tie, "rank").where(F.col("rank") <= F.col(limit))
     sizes = scored.groupBy(group).agg(F.greatest(F.count("*") - F.max(limit), F.lit(0)).alias("over"))
     return kept.join(sizes.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
 

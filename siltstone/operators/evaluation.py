@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,6 +28,59 @@ def answered_cases(cases_: DataFrame, answers: DataFrame) -> DataFrame:
     return joined.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumn("sources_count", F.coalesce(F.array_size("sources"), F.lit(0))).drop("sources")
 
 
+def ranked_measures(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, ndcg, reciprocal_rank, average_precision, recall) of the first k of run(query_id, id, rank), by relevant(query_id, id, grade).
+
+    Grades above 0 are relevant; an id counts once a query, with its best grade
+    and at its best rank. Queries that have nothing relevant are left out; those
+    without a run score 0.
+    """
+    good = relevant.where(F.col("grade") > 0).groupBy("query_id", "id").agg(F.max("grade").alias("grade"))
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("grade").desc(), "id"))
+    worth = lambda place: F.col("grade") / F.log2(place + 1)
+    ideal = good.withColumn("place", best).groupBy("query_id").agg(F.sum(F.when(F.col("place") <= k, worth(F.col("place")))).alias("ideal"), F.count("*").alias("n"))
+    hits = run.where(F.col("rank") <= k).groupBy("query_id", "id").agg(F.min("rank").alias("rank")).join(good, ["query_id", "id"])
+    upto = F.count("*").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))  # k rows at most
+    found = hits.withColumn("upto", upto).groupBy("query_id").agg(F.sum(worth(F.col("rank"))).alias("gain"), F.min("rank").alias("first"), F.sum(F.col("upto") / F.col("rank")).alias("precision"), F.count("*").alias("hits"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return ideal.join(found, "query_id", "left").select(
+        "query_id", zero(F.col("gain") / F.col("ideal")).alias("ndcg"), zero(1 / F.col("first")).alias("reciprocal_rank"), zero(F.col("precision") / F.col("n")).alias("average_precision"), zero(F.col("hits") / F.col("n")).alias("recall")
+    )
+
+
+def common_length(a: list[str], b: list[str]) -> int:
+    """The length of the longest common subsequence, by rows of bits: one integer operation for each word of b."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        match = row & where.get(x, 0)
+        row = ((row + match) | (row - match)) & full
+    return len(a) - row.bit_count()
+
+
+def answer_overlap(pairs: DataFrame, key: str, answer: str = "answer", truth: str = "truth") -> DataFrame:
+    """(key, common, precision, recall, f) of pairs(key, answer, truth): words of the longest common subsequence, as a share of the answer's and the truth's words.
+
+    Words are lower-cased and split at white space. Null texts have none; a share
+    of no words is 0.
+    """
+    kind = dict(pairs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [[(x or "").lower().split() for x in batch.column(i).to_pylist()] for i in (1, 2)]
+            sizes = [pa.array(map(len, w), pa.int64()) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(common_length, *words), pa.int64()), *sizes], names=[key, "common", "answered", "wanted"])
+
+    n = pairs.select(key, answer, truth).mapInArrow(run, f"{key} {kind}, common long, answered long, wanted long")
+    share = lambda of: F.when(F.col(of) > 0, F.col("common") / F.col(of)).otherwise(0.0)
+    f = F.when(F.col("common") > 0, 2 * F.col("common") / (F.col("answered") + F.col("wanted"))).otherwise(0.0)
+    return n.select(key, "common", share("answered").alias("precision"), share("wanted").alias("recall"), f.alias("f"))
+
+
 def first_rows(rows: DataFrame, order: str, n: int = 5) -> DataFrame:
     """The report's sample: the first n rows in order."""
     return rows.orderBy(order).limit(n)

@@ -100,6 +100,28 @@ def merge_queries(hits: DataFrame, group: str = "group_id", score: str = "score"
     return chosen.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc(), "id")))
 
 
+def fold_into_parents(hits: DataFrame, tree: DataFrame, share: float = 0.5, levels: int = 2, budget: int | None = None) -> DataFrame:
+    """(query_id, id, score, rank, used): hits(query_id, id, score), in which parents stand for their children, level by level.
+
+    tree holds (id, parent, size), a row a chunk; the top has a null parent. Where
+    at least ``share`` of a parent's children are among a query's hits, the parent
+    takes their place with the best of their scores (its own counts too, if it was
+    a hit). ``budget``: only hits stay up to which the sizes, best first, do not
+    exceed it; ``used`` is that sum. Equal scores go by id. Hits that the tree does
+    not know are left out.
+    """
+    children = tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n_children"))
+    now = hits.groupBy("query_id", "id").agg(F.max("score").alias("score")).join(tree.select("id", "parent"), "id")
+    for _ in range(levels):
+        full = now.where("parent is not null").groupBy("query_id", "parent").agg(F.count("*").alias("n"), F.max("score").alias("best")).join(children, "parent").where(F.col("n") >= share * F.col("n_children")).select("query_id", "parent", "best")
+        kept = now.join(full, ["query_id", "parent"], "left_anti").select("query_id", "id", "score")
+        raised = full.select("query_id", F.col("parent").alias("id"), F.col("best").alias("score"))
+        now = kept.unionByName(raised).groupBy("query_id", "id").agg(F.max("score").alias("score")).join(tree.select("id", "parent"), "id")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    sized = now.join(tree.select("id", "size"), "id").withColumn("rank", F.row_number().over(order)).withColumn("used", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return (sized if budget is None else sized.where(F.col("used") <= budget)).select("query_id", "id", "score", "rank", "used")
+
+
 def rerank(hits: DataFrame, scores: DataFrame, k: int = RERANKED) -> DataFrame:
     """A reranker's answer (query_id, idx, rerank_score) joined back by 0-based place; its score replaces the adjusted one."""
     placed = hits.withColumn("idx", F.col("rank") - 1).drop("rank", "score")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import canonical_hash
+from ..functions.text import canonical_hash, terms
+from ..operators import chunking
+from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import search_index, segments, vector_index
 from ..operators.dedup import first_wins
 from ..session import checkpoint, scratch
 from ..sources.models import rerank_scores
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
+from .text_queries import _CHILDREN, _SECTIONS, _headed
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,6 +194,68 @@ def rerank_map(spark, d):
     return R.rerank(hits, answers).select("query_id", "id", "score", "rank")
 
 
+_CHUNKED = f"WITH {_SECTIONS}, {_CHILDREN}"
+_LONG = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 5))"
+
+
+@_(f"""{_CHUNKED},
+asked AS (SELECT item_id AS query_id, unnest({_LONG.format('text')}) AS term FROM benchmark),
+said AS (SELECT chunk_id AS id, unnest({_LONG.format('text')}) AS term FROM all_chunks WHERE NOT is_parent),
+found AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM asked JOIN said USING (term) GROUP BY ALL HAVING count(*) >= 3),
+tree AS (
+  SELECT chunk_id AS id, CASE WHEN is_parent THEN 'doc_' || doc_id ELSE doc_id || '_section_' || section_index || '_parent' END AS parent, length(text) AS size FROM all_chunks
+  UNION ALL SELECT 'doc_' || doc_id, NULL, sum(length(text)) FROM all_chunks WHERE is_parent GROUP BY doc_id),
+kids AS (SELECT parent, count(*) AS n FROM tree WHERE parent IS NOT NULL GROUP BY parent),
+full1 AS (SELECT query_id, parent, max(score) AS score FROM found JOIN tree USING (id) JOIN kids USING (parent) GROUP BY query_id, parent, n HAVING count(*) >= 0.5 * n),
+one AS (
+  SELECT query_id, id, max(score) AS score FROM (
+    SELECT query_id, id, score FROM found JOIN tree USING (id) WHERE NOT EXISTS (SELECT 1 FROM full1 f WHERE f.query_id = found.query_id AND f.parent = tree.parent)
+    UNION ALL SELECT query_id, parent, score FROM full1) GROUP BY ALL),
+full2 AS (SELECT query_id, parent, max(score) AS score FROM one JOIN tree USING (id) JOIN kids USING (parent) GROUP BY query_id, parent, n HAVING count(*) >= 0.5 * n),
+two AS (
+  SELECT query_id, id, max(score) AS score FROM (
+    SELECT query_id, id, score FROM one JOIN tree USING (id) WHERE NOT EXISTS (SELECT 1 FROM full2 f WHERE f.query_id = one.query_id AND f.parent = tree.parent)
+    UNION ALL SELECT query_id, parent, score FROM full2) GROUP BY ALL),
+placed AS (SELECT query_id, id, score, row_number() OVER w AS rank, sum(size) OVER (PARTITION BY query_id ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM two JOIN tree USING (id) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id))
+SELECT query_id, id, score, rank::INT AS rank, used::BIGINT AS used FROM placed WHERE used <= 20000""")
+def retrieve_parents(spark, d):
+    """Children that share three longer words with a benchmark item; sections, then documents, stand for them where half of the children are hits."""
+    longer = lambda c: F.array_distinct(F.filter(terms(F.col(c)), lambda w: F.length(w) >= 5))
+    chunks = checkpoint(chunking.chunk_documents(_headed(spark, d)).select("doc_id", "section_index", "chunk_id", "is_parent", "text"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(longer("text")).alias("term"))
+    said = chunks.where("not is_parent").select(F.col("chunk_id").alias("id"), F.explode(longer("text")).alias("term"))
+    hits = asked.join(said, "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score")).where("score >= 3")
+    parent = F.when(F.col("is_parent"), F.concat(F.lit("doc_"), "doc_id")).otherwise(F.concat("doc_id", F.lit("_section_"), "section_index", F.lit("_parent")))
+    tree = chunks.select(F.col("chunk_id").alias("id"), parent.alias("parent"), F.length("text").cast("long").alias("size"))
+    top = chunks.where("is_parent").groupBy(F.concat(F.lit("doc_"), "doc_id").alias("id")).agg(F.sum(F.length("text")).alias("size")).select("id", F.lit(None).cast("string").alias("parent"), "size")
+    return R.fold_into_parents(hits, tree.unionByName(top), budget=20_000)
+
+
+@_(f"""WITH {_dense_sql(20)}, rel AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % {EVERY} = 0),
+n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
+ideal AS (SELECT query_id, n, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM n),
+hits AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM dense JOIN rel USING (query_id, id) WHERE rank <= 10),
+found AS (SELECT query_id, sum(1 / log2(rank + 1)) AS gain, min(rank) AS first, sum(upto / rank) AS precision, count(*) AS hits FROM hits GROUP BY query_id)
+SELECT query_id, round(coalesce(gain / ideal, 0), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS reciprocal_rank, round(coalesce(precision / n, 0), 6) AS average_precision, round(coalesce(hits / n, 0), 6) AS recall
+FROM ideal LEFT JOIN found USING (query_id)""")
+def eval_ranking(spark, d):
+    """Ranked measures of the dense search; vectors of a query's label are relevant, itself aside."""
+    e = table(spark, d, "embeddings")
+    queries = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "label")
+    relevant = queries.join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("id <> query_id").select("query_id", "id", F.lit(1).alias("grade"))
+    found = E.ranked_measures(_dense(spark, d), relevant)
+    return found.select("query_id", *(F.round(c, 6).alias(c) for c in ("ndcg", "reciprocal_rank", "average_precision", "recall")))
+
+
+@_()
+def eval_overlap(spark, d):
+    """Words that each assistant turn has in common, in order, with the turn before it."""
+    c = table(spark, d, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("truth"))
+    pairs = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(before, ["conv_id", "turn"])
+    return E.answer_overlap(pairs.withColumn("key", F.concat_ws("_", "conv_id", "turn")), "key")
+
+
 _BADGE = "CASE authority_level WHEN 'official' THEN '🔴 [OFFICIAL]' WHEN 'semi_official' THEN '🟡 [SEMI-OFFICIAL]' WHEN 'third_party' THEN '⚪ [THIRD-PARTY]' ELSE '' END"
 
 
