@@ -2,9 +2,9 @@
 
 P(word | history) = P(class | history) * P(word | class). The first factor is a
 softmax over at most CLASSES classes whose logits sum one weight row for each
-feature of the history: the two classes before (bigram), the class three before
-(skip), and, hashed into ROWS rows, the word before, the two words before and the
-word two before (skip). The second is the maximum-likelihood solution of a
+feature of the history: the two classes before, the class three before (a skip
+feature), and, hashed into ROWS rows, the word before and the two words before.
+The second is the maximum-likelihood solution of a
 softmax with a bias for each word, absolutely discounted; what the discounts free
 goes to the one outcome that stands for all unknown words. A thousandth of the
 base model is mixed in, so that no probability is zero. Over the vocabulary and
@@ -44,8 +44,7 @@ from ._common import remove, store
 CLASSES, GROUPS, ANCHORS, CHUNK_TOP = 64, 6, 64, 256
 SAME_GROUP = 0.7  # cosine of two anchors' companions
 ROWS = 1 << 15
-FEATURES = 5
-ROUNDS, RATE, BATCH, SCORED = 3, 0.5, 2048, 4096
+ROUNDS, RATE, BATCH, SCORED = 3, 1.0, 2048, 4096
 PIECE = 1 << 18  # tokens whose histories are held at a time
 BASE_SHARE = 1e-3
 CHUNK_BYTES = 16 << 20
@@ -322,7 +321,7 @@ class _Histories:
 
         c1, c2, c3 = (before(seen, k, n_classes) for k in (1, 2, 3))
         w1, w2 = (before(word, k, 0x9E3779B9) for k in (1, 2))
-        self.rows = np.stack([c2 * side + c1, side * side + c3, slot(w1), slot(w1 * np.uint32(0x27D4EB2F) + (w2 ^ (w2 >> np.uint32(13)))), slot(w2 ^ np.uint32(0x165667B1))])
+        self.rows = np.stack([c2 * side + c1, side * side + c3, slot(w1), slot(w1 * np.uint32(0x27D4EB2F) + (w2 ^ (w2 >> np.uint32(13))))])
 
 
 def _pieces(row: dict, n_classes: int, rows: int, chosen: Callable[[_Chunk], np.ndarray]) -> Iterator[tuple[np.ndarray, _Histories]]:
