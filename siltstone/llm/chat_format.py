@@ -63,14 +63,14 @@ class Flattener:
         self.text.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
-        w, h = part.get("width") or 0, part.get("height") or 0
+        w, h = measure(part.get("width")), measure(part.get("height"))
         self._attach("image", part, max(1, math.ceil(w / PATCH) * math.ceil(h / PATCH)))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * AUDIO_TOKENS_PER_SECOND)))
+        self._attach("audio", part, max(1, math.ceil(measure(part.get("seconds")) * AUDIO_TOKENS_PER_SECOND)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, (part.get("pages") or 0) * TOKENS_PER_PAGE))
+        self._attach("document", part, max(1, measure(part.get("pages")) * TOKENS_PER_PAGE))
 
     def visit_unknown(self, part: dict) -> None:
         self._attach("file", part, 1)
@@ -89,6 +89,11 @@ class Flattener:
         self._put(f"<|{kind}|>")
 
 
+def measure(x: float | None) -> float:
+    """A size or a duration; null, negative, NaN and infinite ones count 0."""
+    return x if x and x > 0 and math.isfinite(x) else 0
+
+
 def text_parts(column) -> F.Column:
     """A plain text column as a list of one text part; null as an empty list."""
     one = F.struct(F.lit("text").alias("type"), column.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages"))
@@ -134,12 +139,30 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 def parse_turn(formatted: str) -> tuple[str, str]:
     """(role, text) of one formatted turn of text parts."""
+    role, parts = parse_parts(formatted, [])
+    return role, "".join(said for _, said in parts)
+
+
+def parse_parts(formatted: str, attachments: list[dict] | None) -> tuple[str, list[tuple[str, str | None]]]:
+    """(role, parts) of one formatted turn: ("text", its text) and (kind, its reference), in order. What is an attachment its list says, not the text."""
     role, _, rest = formatted[len(START) :].partition("\n")
-    return unescape_role(role), unescape(rest[: -len(END) - 1])
+    content, at, parts = rest[: -len(END) - 1], 0, []
+    for x in attachments or []:
+        if x["at"] > at:
+            parts.append(("text", unescape(content[at : x["at"]])))
+        parts.append((x["kind"], x["ref"]))
+        at = x["at"] + len(f"<|{x['kind']}|>")
+    if content[at:]:
+        parts.append(("text", unescape(content[at:])))
+    return unescape_role(role), parts
 
 
 def read_back(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
-    """One row per conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """One row per conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, parts_sha256.
+
+    Texts are those of text parts; placeholders are neither text nor trained on.
+    parts_sha256 digests the attachments: turn, kind, reference and how many
+    characters of the turn's text come before.
 
     Turns of a conversation are read in order of turn (nulls first; equal turn
     numbers by what they say) as a stream, so that a conversation is never held
@@ -147,34 +170,40 @@ def read_back(formatted: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     gives none; other columns are ignored.
     """
     kind = dict(formatted.dtypes)[conv_col]
-    names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "parts_sha256"]
+    kinds = [None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> tuple:
-            return (now[0], n, turns.hexdigest(), loss_n, loss.hexdigest(), chars)
+            return (now[0], n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, n_attached, attached.hexdigest())
 
         now, key = None, None
         for batch in batches:
             done = []
-            for conv, text, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, text, a, attachments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now[0] != conv:
                     if now is not None:
                         done.append(row())
-                    now, n, loss_n, chars, turns, loss = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                role, said = parse_turn(text)
+                    now, n, loss_n, chars, turns, loss, n_attached, attached = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256(), 0, hashlib.sha256()
+                role, parts = parse_parts(text, attachments)
+                said = ""
+                for kind_, x in parts:
+                    if kind_ == "text":
+                        said += x or ""
+                    else:
+                        n_attached += 1
+                        attached.update(f"{n}\n{kind_}\n{x}\n{len(said)}\n".encode())
                 n, chars = n + 1, chars + len(text)
                 turns.update(f"{role}\n{said}\n".encode())
                 if a is not None:
-                    trained = unescape(text[a:b])
-                    loss_n += len(trained)
-                    loss.update(trained.encode())
+                    loss_n += len(said)
+                    loss.update(said.encode())
             key = batch.column(0).type
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k or key) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], k or key) for c, k in zip(row(), kinds, strict=True)], names=names)
 
-    rows = formatted.select(conv_col, turn_col, "formatted", "loss_from", "loss_to")
+    rows = formatted.select(conv_col, turn_col, "formatted", "loss_from", "attachments")
     rows = rows.repartition(conv_col).sortWithinPartitions(conv_col, turn_col, "formatted")
-    return rows.select(conv_col, "formatted", "loss_from", "loss_to").mapInArrow(run, f"{conv_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select(conv_col, "formatted", "loss_from", "attachments").mapInArrow(run, f"{conv_col} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, parts_sha256 string")

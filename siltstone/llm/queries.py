@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from ._common import store
+from ._common import remove, store
 from .chat_format import format_turns, read_back, text_parts
 from .fingerprints import edit_report, find_within, hex_fingerprint, likeness
 from .line_dedup import line_report
@@ -49,11 +49,15 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
     turns = rows.unionByName(extra).withColumn("parts", text_parts(F.col("text")))
-    return read_back(format_turns(turns))
+    return read_back(format_turns(turns)).drop("n_attachments", "parts_sha256")  # all parts are texts
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(_documents(spark, sf_dir), scratch(spark, "token-cache"))
+    """An earlier run has stored the counts of about half of the texts; column cached says which."""
+    docs, cache = _documents(spark, sf_dir), scratch(spark, "token-cache")
+    token_counts(docs.where(F.sha2(F.coalesce("text", F.lit("")), 256) < "8"), cache)
+    remove(spark)
+    return token_counts(docs, cache)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

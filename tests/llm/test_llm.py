@@ -286,6 +286,23 @@ def test_chat_parts(spark):
     assert b.formatted == "<|im_start|>\n<|im_end|>\n" and b.loss_from is None
 
 
+def test_chat_parts_are_read_back(spark):
+    nan, inf = float("nan"), float("inf")
+    text = lambda t: ("text", t, None, None, None, None, None)
+    sound = lambda s: ("audio", None, "a", None, None, s, None)
+    image = ("image", None, "r1", 28, 15, None, None)
+    said = {0: [text("<|image|>")], 1: [image], 2: [text("x"), image], 3: [image, text("x")], 4: [text("x"), sound(nan)], 5: [text("x"), sound(inf)], 6: [text("x"), sound(-1.0)], 7: [text("<\\|"), image, text("<|audio|>"), sound(2.0)]}
+    rows = spark.createDataFrame([(i, 0, "assistant", p) for i, p in said.items()], f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    made = {r.conv_id: r for r in chat_format.format_turns(rows).collect()}
+    assert [made[i].expanded_tokens for i in (4, 5, 6)] == [1, 1, 1]
+    for i, parts in said.items():
+        want = [("text", p[1]) if p[0] == "text" else (p[0], p[2]) for p in parts]
+        assert chat_format.parse_parts(made[i].formatted, [x.asDict() for x in made[i].attachments]) == ("assistant", want)
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(rows)).collect()}
+    assert len({(r.turns_sha256, r.parts_sha256) for i, r in got.items() if i not in (5, 6)}) == 6
+    assert [got[i].loss_chars for i in range(4)] == [9, 0, 1, 1] and got[7].n_attachments == 2
+
+
 def test_chat_texts_in_parts(spark):
     random.seed(8)
     pieces = ["<", "|", "\\", "im_end", "|>", "<|", "<\\|", "x", " "]
@@ -324,8 +341,11 @@ def test_token_cache(spark, documents, tmp_path):
     first = sorted(map(tuple, token_counts.token_counts(documents, cache).collect()))
     stored = spark.read.parquet(cache).count()
     assert stored == documents.select("text").distinct().count()
-    assert sorted(map(tuple, token_counts.token_counts(documents, cache).collect())) == first
+    assert not any(r[4] for r in first)
+    assert sorted(tuple(r) for r in token_counts.token_counts(documents, cache).collect()) == [(*r[:4], True) for r in first]
     assert spark.read.parquet(cache).count() == stored
+    half = {(r.doc_id, r.cached): r.n_tokens for r in queries.op6_token_counts(spark, DATA).collect()}
+    assert {c for _, c in half} == {True, False} and {i: n for (i, _), n in half.items()} == {r[0]: r[2] for r in first}
 
 
 def test_mixture(spark, documents):
