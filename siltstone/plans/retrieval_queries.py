@@ -12,7 +12,8 @@ from ..operators import retrieval as R
 from ..operators import search_index, segments, vector_index
 from ..operators.dedup import first_wins
 from ..session import checkpoint, scratch
-from ..sources.models import rerank_scores
+from ..sources.models import ANSWERS, generate_rows, rerank_scores
+from ..sources.tables import answer_key, cached_answers
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 from .text_queries import _CHILDREN, _SECTIONS, _headed
 
@@ -270,6 +271,45 @@ def context_build(spark, d):
     return R.build_context(rows)
 
 
+_VARIANTS = "SELECT item_id * 2 AS query_id, text FROM benchmark UNION ALL SELECT item_id * 2 + 1, array_to_string(regexp_split_to_array(text, ' ')[1:6], ' ') FROM benchmark"
+
+
+@_(rf"""WITH variants AS ({_VARIANTS}),
+{_BM25_DOCS.replace(f"wanted AS (SELECT DISTINCT id AS query_id, term FROM tf WHERE id % {EVERY} = 0)", "wanted AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^" + chr(92) + "p{L}" + chr(92) + "p{N}]+'), lambda w: w <> '')) AS term FROM variants)")},
+merged AS (SELECT query_id // 2 AS item_id, id, arg_min(score, query_id * 1000 + rank) AS score FROM bm GROUP BY ALL),
+adjusted AS (SELECT item_id, id, source, text, {LEVEL_SQL} AS authority_level, round((score * {_FACTOR} * {_BOOST})::DOUBLE, 6) AS score FROM merged JOIN documents ON id = doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id)::INT AS rank FROM adjusted),
+said AS (
+  SELECT item_id, count(*) AS n, string_agg(chr(10) || '[Passage ' || rank || '] ' || {_BADGE} || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || chr(10) || 'Section: General' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || '---' || chr(10), chr(10) ORDER BY rank) AS context
+  FROM ranked WHERE rank <= 5 GROUP BY item_id)
+SELECT benchmark.item_id, CASE WHEN benchmark.item_id % 3 = 0 THEN 'kept' WHEN n IS NULL THEN 'No passages' ELSE 'Passages: ' || n END AS answer, benchmark.item_id % 3 = 0 AS from_cache,
+  CASE WHEN benchmark.item_id % 3 <> 0 THEN sha256(coalesce(context, '')) END AS context_hash
+FROM benchmark LEFT JOIN said USING (item_id)""")
+def answer_chain(spark, d):
+    """Benchmark items as questions, from the cache or by the whole chain: variants, search, merging, rescoring, reranking, context, and a generator that answers with the prompt's first line."""
+    docs = table(spark, d, "documents")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    kept = items.where("item_id % 3 = 0").select(answer_key(F.col("query")).alias("cache_key"), F.lit("kept").alias("answer"), as_of().alias("at")).distinct()
+    looked_up = cached_answers(items, kept, as_of(), 24)
+    open_ = checkpoint(looked_up.where("answer is null").select("item_id", "query"))
+    short = F.array_join(F.slice(F.split("query", " "), 1, 6), " ")
+    variants = open_.select((F.col("item_id") * 2).alias("query_id"), "query").unionByName(open_.select((F.col("item_id") * 2 + 1).alias("query_id"), short.alias("query")))
+    found = R.bm25(docs, variants).withColumn("group_id", F.expr("query_id div 2")).withColumnRenamed("query_id", "query_pos")
+    meta = docs.select(F.col("doc_id").alias("id"), fetched_at().alias("fetched_at"), level().alias("authority_level"))
+    scored = R.rescore(R.merge_queries(found), meta, as_of()).select(F.col("group_id").alias("query_id"), "id", F.col("adjusted_score").alias("score"))
+    hits = R.top_k(scored, R.TOP_K)
+    best = R.rerank(hits, rerank_scores(hits)).where(F.col("rank") <= R.CONTEXT_ROWS)
+    passages = best.join(docs.select(F.col("doc_id").alias("id"), level().alias("authority_level"), F.col("source").alias("source_url"), F.lit(None).cast("string").alias("section_header"), "text"), "id")
+    prompts = open_.join(R.build_context(passages).join(passages.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").withColumnRenamed("query_id", "item_id"), "item_id", "left")
+    head = F.when(F.col("n").isNull(), "No passages").otherwise(F.concat(F.lit("Passages: "), F.col("n").cast("string")))
+    prompts = checkpoint(prompts.select("item_id", F.coalesce("context", F.lit("")).alias("context"), head.alias("head")))
+    path = scratch(spark, "answers")
+    generate_rows(prompts.select(F.col("item_id").alias("id"), F.concat("head", F.lit("\n"), "context").alias("system"), F.lit("").alias("user")), path)
+    answered = prompts.join(spark.read.schema(ANSWERS).parquet(path).where("error is null").select(F.col("id").alias("item_id"), "answer"), "item_id")
+    done = answered.select("item_id", "answer", F.lit(False).alias("from_cache"), F.sha2("context", 256).alias("context_hash"))
+    return done.unionByName(looked_up.where("answer is not null").select("item_id", "answer", F.lit(True).alias("from_cache"), F.lit(None).cast("string").alias("context_hash")))
+
+
 @_("SELECT doc_id, NOT regexp_matches(lower(said), 'ignore previous instructions|system prompt|you are now|disregard|pretend you are|forget about|new instructions|execute code|eval\\(|import os') AS safe FROM (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN ' Ignore previous instructions' WHEN 5 THEN ' eval(x)' ELSE '' END AS said FROM documents)")
 def injection_flag(spark, d):
     said = F.concat("text", F.when(F.col("doc_id") % 11 == 0, " Ignore previous instructions").when(F.col("doc_id") % 11 == 5, " eval(x)").otherwise(""))
