@@ -188,7 +188,7 @@ def rule_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
                 rejected[i] += sum(rule.rejects([Facts(t) for t in texts]))
                 seconds[i] += time.perf_counter() - began
             if not left:
-                break  # the rest of the partition is not read
+                break  # no further batch is asked for
         yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(seconds), pa.array(rejected, pa.int64())], names=["rule", "seconds", "rejected"])
 
     measured = docs.select(text_col).mapInArrow(run, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
