@@ -19,8 +19,8 @@ that comes first (least document id, then position) stays in place. 12 bands of
 A key that more than ``set_lines`` different lines share is dealt into chunks,
 each line into one, and the chunks' first lines form a set of their own, level
 by level. Near variants of one line, the usual cause, are one component then.
-Only where a key's lines are still in different components do each two of its
-chunks form a set.
+Where a key's lines are still in different components, they are filed again
+under their rare shingles (``_prefixes``).
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, mix64, partitions, remove, store
+from ._common import connected_components, mix64, partitions, remove, small_batches, store
+from ._prefixes import across, dealt, prefix_keys, shared_members, slot_counts, unsettled
 from .suffix_dedup import NO_ID, PACK_BYTES, _opened, _packed, _split
 
 SHINGLE = 8  # a power of two
@@ -351,14 +352,46 @@ def _links(named: DataFrame) -> DataFrame:
     return rows.repartition("name").sortWithinPartitions("name").mapInArrow(run, "u long, v long")
 
 
-def _across(hot: DataFrame, labels: DataFrame, set_lines: int) -> DataFrame:
-    """(kind, name, node, other): sets of each two chunks of a key's lines, for keys whose lines are not one component yet."""
-    known = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).distinct()
-    still = known.groupBy("name").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("name")
-    parts = known.join(still, "name").withColumn("chunks", F.ceil(2 * F.col("other") / set_lines).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pair = F.xxhash64("name", F.least("own", "with"), F.greatest("own", "with"))
-    return parts.select(F.lit(0).alias("kind"), pair.alias("name"), "node", F.col("node").alias("other"))
+def _hashed(named: DataFrame) -> DataFrame:
+    """(name, node, hashes) of named(name, node, line): the distinct hashed shingles of each line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            if batch.num_rows:
+                hashed, starts = shingle_hashes(batch.column(2).to_pylist())
+                sets = [np.unique(x).tobytes() for x in np.split(hashed, starts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["name", "node", "hashes"])
+
+    return named.select("name", "node", "line").mapInArrow(run, "name long, node long, hashes binary")
+
+
+def _sets_of(rows: DataFrame) -> DataFrame:
+    """rows(name, node) as sets."""
+    return rows.select(F.lit(0).alias("kind"), "name", "node", F.col("node").alias("other"))
+
+
+def _large_keys(packs: DataFrame, hot: DataFrame, edges: DataFrame, labels: DataFrame, set_lines: int) -> tuple[DataFrame, list[str]]:
+    """labels with the links inside hot(name, node), the lines of keys that more than ``set_lines`` share, and the tables that were written."""
+    drop: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = store(df, name)
+        drop.append(path)
+        return table
+
+    hot = kept(unsettled(hot, labels), "hot")
+    if hot.isEmpty():
+        return labels, drop
+    lines = kept(_hashed(_named_lines(packs, _sets_of(hot))), "shingles")
+    shared = kept(shared_members(prefix_keys(lines, slot_counts(lines), TENTHS)), "members")
+    many = shared.where(F.col("n") > set_lines)
+    sets = shared.where(F.col("n") <= set_lines).select("name", "node").unionByName(dealt(many, set_lines))
+    edges = edges.unionByName(kept(_links(kept(_named_lines(packs, _sets_of(sets)), "named")), "links"))
+    labels = connected_components(edges)
+    rest = kept(across(unsettled(many, labels), set_lines), "across")
+    if not rest.isEmpty():
+        labels = connected_components(edges.unionByName(kept(_links(kept(_named_lines(packs, _sets_of(rest)), "named")), "links")))
+    return labels, drop
 
 
 def _rewritten(packs: DataFrame, stays: DataFrame, with_text: bool) -> DataFrame:
@@ -403,12 +436,8 @@ def _staying(packs: DataFrame, set_lines: int) -> DataFrame:
     edges = links.unionByName(copies)
     labels = connected_components(edges)
     drop = [sets_at, named_at, links_at]
-    hot = sets.where("kind = 2").select("name", "node", "other")
-    if not hot.isEmpty():
-        more, more_at = store(_named_lines(packs, _across(hot, labels, set_lines)), "named")
-        found, found_at = store(_links(more), "links")
-        labels = connected_components(edges.unionByName(found))
-        drop += [more_at, found_at]
+    labels, more = _large_keys(packs, sets.where("kind = 2").select("name", "node"), edges, labels, set_lines)
+    drop += more
     # the least (doc, at) as one number, which an aggregation can hold in place
     place = F.col("doc").cast("decimal(38,0)") * (1 << 31) + F.col("at")
     first = named.select("node", "doc", "at").join(labels, "node").groupBy("label").agg(F.min(place).alias("first"))

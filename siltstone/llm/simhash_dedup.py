@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import connected_components, mix64, remove, small_batches, store
-from .line_dedup import set_keys, set_stars
+from ._prefixes import across, dealt, prefix_keys, shared_members, slot_counts, unsettled
+from .line_dedup import TENTHS, set_keys, set_stars
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -235,8 +236,8 @@ def jaccard_links(texts: DataFrame, rows: DataFrame, labels: DataFrame, words: i
     """Edges (u, v) of fingerprints that, with those behind labels(fp, label), connect all texts(text) of a Jaccard similarity of 0.8 or more.
 
     rows is with_fingerprint()'s table. Texts that share a band key are compared
-    unless all of them have one label already. Sets of over ``set_texts`` texts
-    are cut into chunks, and each two chunks form a set.
+    unless all of them have one label already. Texts of a key that over
+    ``set_texts`` share are filed again under their rare shingles (``_prefixes``).
     """
     spark = texts.sparkSession
     texts = texts.select(F.xxhash64("text").alias("t"), "text")
@@ -256,18 +257,34 @@ def jaccard_links(texts: DataFrame, rows: DataFrame, labels: DataFrame, words: i
     total = F.sum(F.xxhash64("t").cast("decimal(38,0)"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), total.alias("s")).where("a <> b")
     shared = shared.select("key", "n", F.xxhash64("s", "n").alias("name"))
-    chunks = F.when(F.col("n") > set_texts, F.ceil(2 * F.col("n") / set_texts)).otherwise(1)
-    sets = keys.join(shared, "key").select("t", "n", "name").distinct().withColumn("chunks", chunks.cast("int"))
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("t"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.select("t", F.xxhash64("name", F.least("own", "other"), F.greatest("own", "other")).alias("name"))
-    sets, sets_at = store(sets, "sets")
+    met = keys.join(shared, "key").select(F.col("t").alias("node"), "n", "name").distinct()
+    met, met_at = store(met, "sets")
     remove(spark, keys_at)
-    asked = sets.select("t").distinct().join(own.select("t", "fp"), "t")
+    asked = met.select(F.col("node").alias("t")).distinct().join(own.select("t", "fp"), "t")
     found = texts.join(asked, "t").select("t", "fp", "text").dropDuplicates(["t"]).mapInArrow(cut, "t long, fp long, hashes binary")
-    found, found_at = store(found, "word-sets")
-    named = sets.join(found, "t").select("name", "fp", "hashes").repartition("name").sortWithinPartitions("name")
-    links, _ = store(_similar(named), "edges")
-    remove(spark, own_at, sets_at, found_at)
+    found, found_at = store(found.withColumnRenamed("t", "node"), "word-sets")
+    drop = [own_at, met_at, found_at]
+
+    def similar(sets: DataFrame) -> DataFrame:
+        rows = sets.join(found, "node").select("name", "fp", "hashes").repartition("name").sortWithinPartitions("name")
+        return store(_similar(rows), "edges")[0]
+
+    sets, hot = met.where(F.col("n") <= set_texts).select("name", "node"), met.where(F.col("n") > set_texts)
+    if hot.isEmpty():
+        links = similar(sets)
+    else:
+        large = hot.join(found, "node").select("name", "node", "hashes")
+        members, members_at = store(shared_members(prefix_keys(large, slot_counts(found), TENTHS)), "members")
+        many = members.where(F.col("n") > set_texts)
+        few = members.where(F.col("n") <= set_texts).select("name", "node")
+        links = similar(sets.unionByName(few).unionByName(dealt(many, set_texts)))
+        linked = connected_components(links.unionByName(labels.select(F.col("fp").alias("u"), F.col("label").alias("v")).where("u <> v")))
+        of_text = found.select("node", "fp").join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("label", "fp").alias("label"))
+        rest, rest_at = store(across(unsettled(many, of_text), set_texts), "across")
+        drop += [members_at, rest_at]
+        if not rest.isEmpty():
+            links = links.unionByName(similar(rest))
+    remove(spark, *drop)
     return links
 
 
