@@ -1,6 +1,6 @@
-"""Command line: python -m siltstone.cli ingest | discover | status.
+"""Command line: python -m siltstone.cli ingest | discover | status | compact.
 
-All three work on a store, a folder that the executors share. Exit code 1 says
+All work on a store, a folder that the executors share. Exit code 1 says
 that there was nothing to do or that something failed.
 """
 
@@ -20,7 +20,7 @@ from .sources import seeds
 from .sources.discover import discovered
 from .sources.pages import RATE, fetch_pages
 from .sources.tables import ensure_table, read_table
-from .streaming.ingest import RUNS, document_state, ingest_batch, next_run, present_chunks
+from .streaming.ingest import RUNS, compact, document_state, ingest_batch, next_run, present_chunks
 
 SHOWN_ERRORS = 5
 SOURCES = "url string, title string, authority_level string, visa_types array<string>"
@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     discover = commands.add_parser("discover", parents=[shared, network], help="list the URLs that would be fetched")
     discover.add_argument("--domain", "-d", help="one domain instead of the seed file's")
     commands.add_parser("status", parents=[shared], help="counts of the store")
+    commands.add_parser("compact", parents=[shared], help="fold the runs of the store into one base")
     return p
 
 
@@ -109,12 +110,22 @@ def status(spark: SparkSession, args: argparse.Namespace, fetching: dict) -> int
     return 0
 
 
+def compact_store(spark: SparkSession, args: argparse.Namespace, fetching: dict) -> int:
+    try:
+        last = compact(spark, args.store)
+    except RuntimeError as e:
+        print(e)
+        return 1
+    print("Nothing to fold." if last is None else f"Folded up to run {last}")
+    return 0
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, **fetching) -> int:
     """The exit code. fetching goes to fetch_pages(), as another ``get`` in tests."""
     args = parser().parse_args(argv)
-    if args.command != "status":
+    if args.command in ("ingest", "discover"):
         fetching = {"rate": args.rate} | fetching
-    return {"ingest": ingest, "discover": discover, "status": status}[args.command](spark or build_session(), args, fetching)
+    return {"ingest": ingest, "discover": discover, "status": status, "compact": compact_store}[args.command](spark or build_session(), args, fetching)
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from ..session import scratch
 from ..sources import tables
 from ..sources.tables import read_table
 from ..streaming import caches
-from ..streaming.ingest import RUNS, chunk_holders, delete_documents, document_state, ingest_batch, present_chunks
+from ..streaming.ingest import RUNS, chunk_holders, compact, delete_documents, document_state, ingest_batch, present_chunks, present_holders
 from ._registry import AS_OF, FETCHED_SQL, LEVEL_SQL, WS, as_of, fetched_at, level, register, table
 from .text_queries import _CHILDREN, _SECTIONS, _headed
 
@@ -168,27 +168,45 @@ def sample_points(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").orderBy("doc_id").limit(50)
 
 
-def _ingested(spark, d, texts) -> str:
-    """Runs of documents, a column of texts each (null: not in the run), into new tables."""
+def _ingested(spark, d, texts, folded: bool = False) -> str:
+    """Runs of documents, a column of texts each (null: not in the run), into new tables; folded: compacted after each run but the last."""
     out = scratch(spark, "ingested")
     for run, text in enumerate(texts):
         ingest_batch(table(spark, d, "documents").select("doc_id", text.alias("text")).where("text is not null"), out, run)
+        if folded and run + 1 < len(texts):
+            compact(spark, out)
     return out
 
 
 _MARKED = "'## Part' || chr(10) || coalesce(text, '')"
 
 
-@_(f"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 AND doc_id % 6 > 0 THEN '## New' || chr(10) || coalesce(text, '') ELSE {_MARKED} END) AS content_hash,
-  CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS run_id FROM documents WHERE regexp_matches(coalesce(text, ''), '[^[:space:]]')""")
-def ingest_replace(spark, d):
-    """Every third document changes in the second run; every sixth returns to its first text in the third, in which the others are as they were."""
+_REPLACED = f"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 AND doc_id % 6 > 0 THEN '## New' || chr(10) || coalesce(text, '') ELSE {_MARKED} END) AS content_hash,
+  CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS run_id FROM documents WHERE regexp_matches(coalesce(text, ''), '[^[:space:]]')"""
+
+
+def _replacing():
+    """The texts of three runs: every third document changes in the second; every sixth returns to its first text in the third, in which the others are as they were."""
     own = F.coalesce("text", F.lit(""))
     first, changed = F.concat(F.lit("## Part\n"), own), F.concat(F.lit("## New\n"), own)
-    out = _ingested(spark, d, [first, F.when(F.col("doc_id") % 3 == 0, changed).otherwise(first), F.when(F.col("doc_id") % 6 == 0, first)])
+    return [first, F.when(F.col("doc_id") % 3 == 0, changed).otherwise(first), F.when(F.col("doc_id") % 6 == 0, first)]
+
+
+@_(_REPLACED)
+def ingest_replace(spark, d):
+    out = _ingested(spark, d, _replacing())
     return document_state(spark, out).where("status = 'ingested'").select("doc_id", "content_hash", "run_id")
 
 
+@_(f"SELECT *, true AS held FROM ({_REPLACED})")
+def ingest_compacted(spark, d):
+    """ingest_replace over a store that is folded into a new base after each run but the last, and whether all chunks that a document holds are there."""
+    out = _ingested(spark, d, _replacing(), folded=True)
+    there = present_chunks(spark, out).select("text_hash", F.col("text").isNotNull().alias("held"))
+    chunks = present_holders(spark, out).join(there, "text_hash", "left").groupBy("doc_id").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("held"))
+    return document_state(spark, out).where("status = 'ingested'").select("doc_id", "content_hash", "run_id").join(chunks, "doc_id", "left")
+
+
 @_(f"""WITH {_SECTIONS}, {_CHILDREN}, h AS (SELECT {_HASHED % 'text'} AS text_hash FROM all_chunks)
 SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sections)) AS documents_processed, (SELECT count(DISTINCT text_hash) FROM h) AS chunks_ingested,
   (SELECT count(*) - count(DISTINCT text_hash) FROM h) AS chunks_skipped, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM sections)) AS error_count, 0::BIGINT AS run_id

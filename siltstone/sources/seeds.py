@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +16,25 @@ AUTHORITY_LEVELS = ("official", "semi_official", "third_party")
 
 
 def _yaml(path: str) -> dict:
+    """What a seed file says; nothing, with a warning, of one that cannot be read or is no mapping."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("seed files need a YAML parser") from e
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f) or {}
+    try:
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f)
+    except (OSError, UnicodeDecodeError, yaml.YAMLError) as e:
+        warnings.warn(f"seed file {path}: {e}", stacklevel=3)
+        return {}
+    if found is not None and not isinstance(found, dict):
+        warnings.warn(f"seed file {path}: not a mapping", stacklevel=3)
+    return found if isinstance(found, dict) else {}
 
 
 def _rows(entries: list[dict], schema: str) -> list[tuple]:
     names = [part.split()[0] for part in schema.split(", ")]
-    return [tuple(e.get(n) for n in names) for e in entries]
+    return [tuple(e.get(n) for n in names) for e in entries if isinstance(e, dict)]
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:

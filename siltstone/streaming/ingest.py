@@ -10,7 +10,8 @@ repeated after a failure replaces its own rows and nothing else:
 
 A document's present chunks are those of its latest run. A chunk lives while any
 document holds it: it outlives the document that brought it, and is gone with the
-last. What an earlier run stored is replaced without being rewritten.
+last. What an earlier run stored is replaced without being rewritten; compact()
+folds finished runs into one base, which leaves out what no longer counts.
 """
 
 from __future__ import annotations
@@ -31,14 +32,64 @@ DOCUMENTS = "doc_id long, content_hash string, status string, error string, chun
 HOLDERS = "text_hash string, doc_id long, section_index int, child_index int, chunk_id string, is_parent boolean, referenced_urls array<string>, stored boolean, run_id long"
 CHUNKS = "text_hash string, text string, point_id long, vector array<float>, run_id long"
 RUNS = "documents_processed long, documents_unchanged long, chunks_ingested long, chunks_skipped long, error_count long, errors array<string>, total_tokens long, success boolean, run_id long"
+BASES = "base long, upto long"
 NO_CHUNKS = "Chunking produced no chunks"
 #: Errors that a run's row quotes; failures() has all of them.
 QUOTED_ERRORS = 100
 
 
+def _base(spark: SparkSession, out: str) -> tuple[int, int]:
+    """The number of the store's base and the last run in it; -1 and -1 without one."""
+    last = read_table(spark, f"{out}/bases", BASES).agg(F.max(F.struct("base", "upto")).alias("b")).first().b
+    return (last.base, last.upto) if last else (-1, -1)
+
+
+def _rows(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
+    """A table of the store: its base and the runs after it."""
+    base, upto = _base(spark, out)
+    runs = read_table(spark, f"{out}/{name}", schema)
+    return runs if base < 0 else read_table(spark, f"{out}/base-{base}/{name}", schema).unionByName(runs.where(F.col("run_id") > upto))
+
+
+def _new_run(spark: SparkSession, out: str, run_id: int) -> None:
+    if run_id <= (upto := _base(spark, out)[1]):
+        raise ValueError(f"run {run_id} is part of the store's base, which ends with run {upto}")
+
+
+def compact(spark: SparkSession, out: str) -> int | None:
+    """Folds all runs into a new base and deletes their files; the last run folded, None where there is nothing new.
+
+    The base holds each document's latest state and all failures, the present
+    holders, and the chunks that live. It counts as soon as its row in bases is
+    written; a crash before that leaves the store as it was, one after it leaves
+    files that no reader looks at. A run that was not finished must be repeated
+    first. Nothing else may work on the store meanwhile.
+    """
+    base, upto = _base(spark, out)
+    documents = _rows(spark, out, "documents", DOCUMENTS)
+    last = documents.agg(F.max("run_id")).first()[0]
+    if last is None or last <= upto:
+        return None
+    finished = read_table(spark, f"{out}/runs", RUNS).select("run_id")
+    if not documents.where((F.col("run_id") > upto) & (F.col("status") != "deleted")).join(finished, "run_id", "left_anti").isEmpty():
+        raise RuntimeError("a run of the store is not finished: repeat it before compacting")
+    latest = documents.groupBy("doc_id").agg(F.max("run_id").alias("run_id"))
+    counts = documents.join(latest.withColumn("latest", F.lit(True)), ["doc_id", "run_id"], "left").where("latest or status = 'failed'").drop("latest")
+    holders = present_holders(spark, out)
+    living = first_wins(_rows(spark, out, "chunks", CHUNKS), ["text_hash"], ["run_id"]).join(holders.select("text_hash").distinct(), "text_hash", "left_semi")
+    for name, schema, rows in (("documents", DOCUMENTS, counts), ("holders", HOLDERS, holders), ("chunks", CHUNKS, living)):
+        rows.select([x.split()[0] for x in schema.split(", ")]).write.mode("overwrite").parquet(f"{out}/base-{base + 1}/{name}")
+    spark.createDataFrame([(base + 1, last)], BASES).coalesce(1).write.mode("append").parquet(f"{out}/bases")
+    for name, schema in (("documents", DOCUMENTS), ("holders", HOLDERS), ("chunks", CHUNKS)):
+        for r in read_table(spark, f"{out}/{name}", schema).where(F.col("run_id") <= last).select("run_id").distinct().collect():  # the runs since the last base
+            drop_table(spark, f"{out}/{name}/run_id={r.run_id}")
+    drop_table(spark, f"{out}/base-{base}")
+    return last
+
+
 def document_state(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """(doc_id, content_hash, status, error, run_id): each document as its last run, before the one named, left it."""
-    rows = read_table(spark, f"{out}/documents", DOCUMENTS)
+    rows = _rows(spark, out, "documents", DOCUMENTS)
     if before is not None:
         rows = rows.where(F.col("run_id") < before)
     row = F.struct("content_hash", "status", "error", "run_id")
@@ -47,13 +98,13 @@ def document_state(spark: SparkSession, out: str, before: int | None = None) ->
 
 def failures(spark: SparkSession, out: str, run_id: int) -> DataFrame:
     """(doc_id, error) of a run."""
-    return read_table(spark, f"{out}/documents", DOCUMENTS).where((F.col("run_id") == run_id) & (F.col("status") == "failed")).select("doc_id", "error")
+    return _rows(spark, out, "documents", DOCUMENTS).where((F.col("run_id") == run_id) & (F.col("status") == "failed")).select("doc_id", "error")
 
 
 def present_holders(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """The rows of holders that count: those of each document's latest run. Failed and deleted documents have none."""
     state = document_state(spark, out, before).where("status = 'ingested'").select("doc_id", "run_id")
-    return read_table(spark, f"{out}/holders", HOLDERS).join(state, ["doc_id", "run_id"], "left_semi")
+    return _rows(spark, out, "holders", HOLDERS).join(state, ["doc_id", "run_id"], "left_semi")
 
 
 def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
@@ -64,7 +115,7 @@ def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
 def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """Each living chunk once, in the place of the holder that has had it longest (least run, document, section, child)."""
     owner = first_wins(present_holders(spark, out, before).drop("stored"), ["text_hash"], ["run_id", "doc_id", "section_index", "child_index"])
-    said = first_wins(read_table(spark, f"{out}/chunks", CHUNKS), ["text_hash"], ["run_id"]).drop("run_id")
+    said = first_wins(_rows(spark, out, "chunks", CHUNKS), ["text_hash"], ["run_id"]).drop("run_id")
     return owner.join(said, "text_hash")
 
 
@@ -85,6 +136,7 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
     observed while the tables are written.
     """
     spark = docs.sparkSession
+    _new_run(spark, out, run_id)
     for name in ("documents", "holders", "chunks", "runs"):
         ensure_table(spark, f"{out}/{name}")
     run = F.lit(run_id).cast("long")
@@ -105,11 +157,11 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
     tokens = F.coalesce(F.sum(F.when(F.col("stored"), token_estimate(F.col("text")))), F.lit(0)).cast("long")
     _write_run(held.observe(kept, tokens.alias("tokens")), f"{out}/holders", HOLDERS)
 
-    known = read_table(spark, f"{out}/chunks", CHUNKS).where(F.col("run_id") != run_id).select("text_hash").distinct()
+    known = _rows(spark, out, "chunks", CHUNKS).where(F.col("run_id") != run_id).select("text_hash").distinct()
     said = first_wins(chunks.select("text_hash", "text", *place), ["text_hash"], place).join(known, "text_hash", "left_anti")
     _write_run(said.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", run), f"{out}/chunks", CHUNKS)
 
-    own = read_table(spark, f"{out}/holders", HOLDERS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if("stored").alias("chunks_ingested"))
+    own = _rows(spark, out, "holders", HOLDERS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if("stored").alias("chunks_ingested"))
     each = work.select("doc_id", "content_hash").join(own, "doc_id", "left").fillna(0, ["made", "chunks_ingested"]).withColumn("chunks_skipped", F.col("made") - F.col("chunks_ingested"))
     failed = F.col("made") == 0
     each = each.withColumn("status", F.when(failed, "failed").otherwise("ingested")).withColumn("error", F.when(failed, F.lit(NO_CHUNKS))).withColumn("run_id", run)
@@ -126,6 +178,7 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
 
 def delete_documents(ids: DataFrame, out: str, run_id: int) -> None:
     """Marks the stored documents of ids(doc_id) deleted, as one run; the chunks that no other document holds are gone with them."""
+    _new_run(ids.sparkSession, out, run_id)
     state = document_state(ids.sparkSession, out, run_id).where("status <> 'deleted'").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     none = F.lit(0).cast("long")
     _write_run(state.select("doc_id", "content_hash", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), none.alias("chunks_ingested"), none.alias("chunks_skipped"), F.lit(run_id).cast("long").alias("run_id")), f"{out}/documents", DOCUMENTS)
@@ -133,7 +186,7 @@ def delete_documents(ids: DataFrame, out: str, run_id: int) -> None:
 
 def next_run(spark: SparkSession, out: str) -> int:
     """A run id that no table of the store has."""
-    last = [read_table(spark, f"{out}/{name}", schema).agg(F.max("run_id")).first()[0] for name, schema in (("documents", DOCUMENTS), ("runs", RUNS))]
+    last = [rows.agg(F.max("run_id")).first()[0] for rows in (_rows(spark, out, "documents", DOCUMENTS), read_table(spark, f"{out}/runs", RUNS))]
     return max([-1, *(x for x in last if x is not None)]) + 1
 
 
@@ -151,7 +204,8 @@ def ingest_available(spark: SparkSession, landing: str, out: str) -> None:
         run = given.run_id if given else max(next_run(spark, out), (numbers.agg(F.max("run_id")).first()[0] or -1) + 1)
         if given is None:
             spark.createDataFrame([(batch, run)], "batch long, run_id long").coalesce(1).write.mode("append").parquet(f"{out}/batches")
-        ingest_batch(df, out, run)
+        if run > _base(spark, out)[1]:  # else it was finished, and folded before the checkpoint knew
+            ingest_batch(df, out, run)
 
     stream = spark.readStream.schema(SCHEMA).parquet(landing).writeStream
     stream = stream.foreachBatch(take).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)

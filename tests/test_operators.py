@@ -1,8 +1,12 @@
 """Operators on small hand-made tables."""
 
+import json
 import random
+import sys
+import types
 from urllib.parse import urljoin
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone import cli, plans
@@ -138,6 +142,58 @@ def test_chunks_outlive_their_first_document(spark, tmp_path):
     assert here() == []
 
 
+def test_folding_changes_nothing(spark, tmp_path):
+    said = "## Same\n" + "A sentence that two documents hold, long enough to stand as a child of its section. " * 3
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda *own: spark.createDataFrame([(i,) for i in own], "doc_id long")
+    stores = {fold: str(tmp_path / str(fold)) for fold in (False, True)}
+    steps = [
+        lambda out, n: ingest.ingest_batch(table([(1, said), (2, said), (3, "## Own\ntext"), (4, " ")]), out, n),
+        lambda out, n: ingest.ingest_batch(table([(1, "## Other\nsomething else"), (2, said), (3, "## Own\ntext")]), out, n),
+        lambda out, n: ingest.delete_documents(ids(2, 3), out, n),
+        lambda out, n: ingest.ingest_batch(table([(3, said), (5, "## Own\ntext")]), out, n),  # both texts had died
+    ]
+    for n, step in enumerate(steps):
+        for fold, out in stores.items():
+            step(out, n)
+            if fold:
+                assert ingest.compact(spark, out) == n and ingest.compact(spark, out) is None
+        views = [[sorted(map(str, view(spark, out).drop("run_id").collect())) for view in (ingest.document_state, ingest.present_chunks, ingest.chunk_holders)] for out in stores.values()]
+        assert views[0] == views[1]
+    assert ingest.failures(spark, stores[True], 0).first().doc_id == 4 and ingest.next_run(spark, stores[True]) == 4
+    assert ingest.read_table(spark, f"{stores[True]}/chunks", ingest.CHUNKS).isEmpty()  # the runs' own files are gone
+    with pytest.raises(ValueError):
+        ingest.ingest_batch(table([(1, said)]), stores[True], 3)
+
+
+def test_unfinished_runs_are_not_folded(spark, tmp_path):
+    out, row = str(tmp_path / "out"), spark.createDataFrame([(1, "## Part\ntext")], "doc_id long, text string")
+    assert ingest.compact(spark, out) is None
+    ingest.ingest_batch(row, out, 0)
+    tables.drop_table(spark, f"{out}/runs/run_id=0")
+    with pytest.raises(RuntimeError):
+        ingest.compact(spark, out)
+    ingest.ingest_batch(row, out, 0)
+    assert ingest.compact(spark, out) == 0 and ingest.document_state(spark, out).count() == 1
+
+
+def test_seed_files(spark, tmp_path, monkeypatch):
+    parser = types.SimpleNamespace(safe_load=lambda f: json.load(f), YAMLError=ValueError)  # JSON is YAML
+    monkeypatch.setitem(sys.modules, "yaml", parser)
+    path = tmp_path / "seeds.yml"
+    path.write_text(json.dumps({"documents": [{"url": "u", "title": "t"}, "no mapping"], "domains": [{"domain": "d", "max_pages": 3}]}))
+    assert [(r.url, r.title, r.visa_types) for r in seeds.read_seeds(spark, str(path)).collect()] == [("u", "t", None)]
+    assert [(r.domain, r.max_pages) for r in seeds.read_domains(spark, str(path)).collect()] == [("d", 3)]
+    path.write_text(json.dumps({"extra_urls": [{"url": "v"}], "documents": [{"url": "u"}]}))
+    assert [r.url for r in seeds.read_seeds(spark, str(path)).collect()] == ["v"]
+    for bad in ("{", "[1]"):
+        path.write_text(bad)
+        with pytest.warns(UserWarning):
+            assert seeds.read_seeds(spark, str(path)).isEmpty()
+    with pytest.warns(UserWarning):
+        assert seeds.read_domains(spark, str(tmp_path / "absent.yml")).isEmpty()
+
+
 def test_landing_folder(spark, tmp_path):
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(i, f"## Head\nSentence number {i} is here. " * 20) for i in range(5)]
@@ -337,6 +393,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert code == 0 and "Processed: 1\nFailed: 0" in said
     code, said = run("ingest", "--source", "https://a.example/en/gone")
     assert code == 1 and "Failed: 1" in said and "not there" in said
+    assert run("compact") == (0, "Folded up to run 0\n") and run("compact") == (0, "Nothing to fold.\n")
     code, said = run("status")
     assert code == 0 and "documents ingested: 1" in said and "runs: 2" in said
     page = spark.read.parquet(f"{store}/pages").where("status = 200").first()

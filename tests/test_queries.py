@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 
 
 #: Queries in which a null text, of a document, a turn or a page, must not lose or miscount anything.
-NULLS = "bm25_topk bm25_block_max index_update hybrid_fusion dedup_first_wins dedup_anti_known content_change ingest_run_log shared_chunks pack_chunks chunk_ids link_extract relative_links answer_chain retrieve_parents".split()
+NULLS = "bm25_topk bm25_block_max index_update hybrid_fusion dedup_first_wins dedup_anti_known content_change ingest_run_log ingest_compacted shared_chunks pack_chunks chunk_ids link_extract relative_links answer_chain retrieve_parents".split()
 
 
 @pytest.fixture(scope="module")
