@@ -358,6 +358,16 @@ def test_stored_index_gives_what_the_scan_gives(spark, tmp_path):
     assert search_index.search_index(spark, path, asked).count() == 0
 
 
+def test_buckets_grow_with_the_words(spark, tmp_path, monkeypatch):
+    docs, path = spark.createDataFrame([(i, f"one two three word{i}") for i in range(50)], "doc_id long, text string"), str(tmp_path / "index")
+    monkeypatch.setattr(search_index, "BUCKETS", 2)
+    monkeypatch.setattr(search_index, "BUCKET_WORDS", 40)
+    search_index.write_index(docs, path, files=1)
+    assert spark.read.parquet(f"{path}/totals").first().buckets == 5
+    asked = spark.createDataFrame([(1, "word7 word9"), (2, "absent")], "query_id long, query string")
+    assert {r.id for r in search_index.search_index(spark, path, asked).collect()} == {7, 9}
+
+
 def test_addresses_in_sitemaps(spark):
     locs = lambda x, e="url": one(spark, discovery.locs(F.lit(x), e))
     assert locs("<urlset xmlns='x'><url><lastmod>1</lastmod><loc> a?b&amp;c </loc></url><s:url><s:loc><![CDATA[d]]></s:loc></s:url><url></url><url><loc>e") == ["a?b&c", "d", "e"]
