@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import blocks, evaluation, retrieval
+from siltstone.operators import blocks, evaluation, retrieval, search_index
 
 
 def side(rng, n, share):
@@ -87,3 +87,13 @@ def test_measures_by_class_are_those_of_its_pairs(spark):
     got, want = evaluation.class_measures(run, rows, queries), evaluation.ranked_measures(run, pairs)
     plain = lambda df: sorted((r[0], *(round(x, 9) for x in r[1:])) for r in df.collect())
     assert plain(got) == plain(want) != []
+
+
+def test_stored_index_makes_no_row_for_a_pair(spark, tmp_path):
+    """Before, the search joined postings with queries, a row for each pair of one term."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two two "), F.col("id") % 7).alias("text"))
+    search_index.write_index(docs, f"{tmp_path}/index")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    found = search_index.search_index(spark, f"{tmp_path}/index", asked, 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.bm25(docs, asked, 5).collect()))
+    assert "HashAggregate(keys=[query_id" not in found._jdf.queryExecution().executedPlan().toString()  # of pairs
