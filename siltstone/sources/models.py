@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -31,18 +32,20 @@ def choose_generator(hosted: Generator | None = None, local: Generator | None =
     return hosted or local or EchoGenerator()
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """A unit vector of hashed term counts: stays in the JVM, the same on every run. Without terms all are 0."""
-    slots = F.transform(terms(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)))
-    counts = lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda c: _bound(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
-    return _bound(slots, lambda s: _bound(counts(s), unit))
+    """A unit vector of hashed term counts: linear in a text's terms, the same on every run. Without terms all are 0; null stays null."""
+
+    @F.arrow_udf("array<float>")
+    def unit(slots: pa.Array) -> pa.Array:
+        size = slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(slots)), size) * dimension + slots.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(at, minlength=len(slots) * dimension).reshape(-1, dimension).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        vectors = (counts / np.where(norm > 0, norm, 1)).astype(np.float32)
+        upto = pa.array(np.arange(len(slots) + 1, dtype=np.int32) * dimension)
+        return pa.ListArray.from_arrays(upto, pa.array(vectors.ravel()), mask=slots.is_null())
+
+    return unit(F.transform(terms(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dimension))))
 
 
 def rerank_scores(hits: DataFrame, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:

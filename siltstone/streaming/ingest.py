@@ -76,7 +76,9 @@ def compact(spark: SparkSession, out: str) -> int | None:
     latest = documents.groupBy("doc_id").agg(F.max("run_id").alias("run_id"))
     counts = documents.join(latest.withColumn("latest", F.lit(True)), ["doc_id", "run_id"], "left").where("latest or status = 'failed'").drop("latest")
     holders = present_holders(spark, out)
-    living = first_wins(_rows(spark, out, "chunks", CHUNKS), ["text_hash"], ["run_id"]).join(holders.select("text_hash").distinct(), "text_hash", "left_semi")
+    chunks = _rows(spark, out, "chunks", CHUNKS)
+    first = chunks.groupBy("text_hash").agg(F.min("run_id").alias("run_id")).join(holders.select("text_hash").distinct(), "text_hash", "left_semi")
+    living = chunks.join(first, ["text_hash", "run_id"], "left_semi")  # texts and vectors are shuffled once and not aggregated
     for name, schema, rows in (("documents", DOCUMENTS, counts), ("holders", HOLDERS, holders), ("chunks", CHUNKS, living)):
         rows.select([x.split()[0] for x in schema.split(", ")]).write.mode("overwrite").parquet(f"{out}/base-{base + 1}/{name}")
     spark.createDataFrame([(base + 1, last)], BASES).coalesce(1).write.mode("append").parquet(f"{out}/bases")
@@ -104,7 +106,10 @@ def failures(spark: SparkSession, out: str, run_id: int) -> DataFrame:
 def present_holders(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """The rows of holders that count: those of each document's latest run. Failed and deleted documents have none."""
     state = document_state(spark, out, before).where("status = 'ingested'").select("doc_id", "run_id")
-    return _rows(spark, out, "holders", HOLDERS).join(state, ["doc_id", "run_id"], "left_semi")
+    rows = _rows(spark, out, "holders", HOLDERS)
+    if before is not None:
+        rows = rows.where(F.col("run_id") < before)
+    return rows.join(state, ["doc_id", "run_id"], "left_semi")
 
 
 def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
@@ -115,13 +120,15 @@ def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
 def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """Each living chunk once, in the place of the holder that has had it longest (least run, document, section, child)."""
     owner = first_wins(present_holders(spark, out, before).drop("stored"), ["text_hash"], ["run_id", "doc_id", "section_index", "child_index"])
-    said = first_wins(_rows(spark, out, "chunks", CHUNKS), ["text_hash"], ["run_id"]).drop("run_id")
-    return owner.join(said, "text_hash")
+    chunks = _rows(spark, out, "chunks", CHUNKS)
+    first = chunks.groupBy("text_hash").agg(F.min("run_id").alias("stored_by"))
+    said = chunks.withColumnRenamed("run_id", "stored_by")
+    return owner.join(first, "text_hash").join(said, ["text_hash", "stored_by"]).drop("stored_by")
 
 
-def _write_run(rows: DataFrame, path: str, schema: str) -> None:
-    names = [x.split()[0] for x in schema.split(", ")]
-    rows.select(names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def _write_run(rows: DataFrame, path: str, schema: str, run_id: int) -> None:
+    """Writes a run's rows of a table, in place of what an earlier try of the run left: its own folder, so that nothing is sorted by run."""
+    rows.select([x.split()[0] for x in schema.split(", ")]).drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) -> None:
@@ -141,37 +148,39 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
         ensure_table(spark, f"{out}/{name}")
     run = F.lit(run_id).cast("long")
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content_hash", content_hash(F.col("text")))
-    rows = rows.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
     seen, kept, done = Observation(), Observation(), Observation()
     classed = classify_changes(rows, document_state(spark, out, run_id), force=force).observe(seen, F.count_if(F.col("change") == "unchanged").alias("unchanged"))
     taken, made = scratch(spark, "taken"), scratch(spark, "chunks")
     classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash").write.parquet(taken)
     work = spark.read.schema("doc_id long, text string, content_hash string").parquet(taken)
-    chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).write.parquet(made)
-    chunks = spark.read.schema(HOLDERS.replace("stored boolean, run_id long", "text string")).parquet(made)
+    chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).withColumn("tokens", token_estimate(F.col("text")).cast("long")).write.parquet(made)
+    chunks = spark.read.schema(HOLDERS.replace("stored boolean, run_id long", "text string, tokens long")).parquet(made)
 
     place = ["doc_id", "section_index", "child_index"]
     elsewhere = present_holders(spark, out, run_id).join(work.select("doc_id"), "doc_id", "left_anti").select("text_hash").distinct()
     first = first_wins(chunks.select("text_hash", *place), ["text_hash"], place).join(elsewhere, "text_hash", "left_anti").withColumn("stored", F.lit(True))
-    held = chunks.join(first, ["text_hash", *place], "left").withColumn("stored", F.coalesce("stored", F.lit(False))).withColumn("run_id", run)
-    tokens = F.coalesce(F.sum(F.when(F.col("stored"), token_estimate(F.col("text")))), F.lit(0)).cast("long")
-    _write_run(held.observe(kept, tokens.alias("tokens")), f"{out}/holders", HOLDERS)
+    held = chunks.drop("text").join(first, ["text_hash", *place], "left").withColumn("stored", F.coalesce("stored", F.lit(False))).withColumn("run_id", run)
+    tokens = F.coalesce(F.sum(F.when(F.col("stored"), F.col("tokens"))), F.lit(0)).cast("long")
+    _write_run(held.observe(kept, tokens.alias("tokens")), f"{out}/holders", HOLDERS, run_id)
 
     known = _rows(spark, out, "chunks", CHUNKS).where(F.col("run_id") != run_id).select("text_hash").distinct()
-    said = first_wins(chunks.select("text_hash", "text", *place), ["text_hash"], place).join(known, "text_hash", "left_anti")
-    _write_run(said.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", run), f"{out}/chunks", CHUNKS)
+    fresh = first_wins(chunks.select("text_hash", *place), ["text_hash"], place).join(known, "text_hash", "left_anti").select(place)
+    said = chunks.select("text_hash", "text", *place).join(fresh, place, "left_semi")  # texts are shuffled once and not aggregated
+    _write_run(said.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", run), f"{out}/chunks", CHUNKS, run_id)
 
     own = _rows(spark, out, "holders", HOLDERS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if("stored").alias("chunks_ingested"))
     each = work.select("doc_id", "content_hash").join(own, "doc_id", "left").fillna(0, ["made", "chunks_ingested"]).withColumn("chunks_skipped", F.col("made") - F.col("chunks_ingested"))
     failed = F.col("made") == 0
     each = each.withColumn("status", F.when(failed, "failed").otherwise("ingested")).withColumn("error", F.when(failed, F.lit(NO_CHUNKS))).withColumn("run_id", run)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    _write_run(each.observe(done, F.count_if(~failed).alias("taken"), total("chunks_ingested"), total("chunks_skipped"), F.count_if(failed).alias("failed")), f"{out}/documents", DOCUMENTS)
+    _write_run(each.observe(done, F.count_if(~failed).alias("taken"), total("chunks_ingested"), total("chunks_skipped"), F.count_if(failed).alias("failed")), f"{out}/documents", DOCUMENTS, run_id)
 
     t, unchanged = done.get, seen.get["unchanged"]
     quoted = [f"{r.doc_id}: {r.error}" for r in failures(spark, out, run_id).orderBy("doc_id").limit(QUOTED_ERRORS).collect()] if t["failed"] else []
     row = (t["taken"] + unchanged, unchanged, t["chunks_ingested"], t["chunks_skipped"], t["failed"], sorted(quoted), kept.get["tokens"], t["failed"] == 0, run_id)
-    _write_run(spark.createDataFrame([row], RUNS), f"{out}/runs", RUNS)
+    _write_run(spark.createDataFrame([row], RUNS), f"{out}/runs", RUNS, run_id)
     for path in (taken, made):
         drop_table(spark, path)
 
@@ -181,7 +190,7 @@ def delete_documents(ids: DataFrame, out: str, run_id: int) -> None:
     _new_run(ids.sparkSession, out, run_id)
     state = document_state(ids.sparkSession, out, run_id).where("status <> 'deleted'").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
     none = F.lit(0).cast("long")
-    _write_run(state.select("doc_id", "content_hash", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), none.alias("chunks_ingested"), none.alias("chunks_skipped"), F.lit(run_id).cast("long").alias("run_id")), f"{out}/documents", DOCUMENTS)
+    _write_run(state.select("doc_id", "content_hash", F.lit("deleted").alias("status"), F.lit(None).cast("string").alias("error"), none.alias("chunks_ingested"), none.alias("chunks_skipped"), F.lit(run_id).cast("long").alias("run_id")), f"{out}/documents", DOCUMENTS, run_id)
 
 
 def next_run(spark: SparkSession, out: str) -> int:

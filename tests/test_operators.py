@@ -431,3 +431,12 @@ def test_discovery_is_kept(spark, tmp_path, capsys, monkeypatch):
     assert code == 0 and "Total: 2" in said and "1 beyond" in said and open(asked).read().split() == fetched  # nothing asked again
     levels = {r.authority_level for r in spark.read.parquet(f"{store}/pages").collect()}
     assert levels == {"official"}
+
+
+def test_a_repeated_run_leaves_nothing_of_its_first_try(spark, tmp_path):
+    out = str(tmp_path / "out")
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ingest.ingest_batch(table([(1, "## One\ntext")]), out, 0)
+    ingest.ingest_batch(table([]), out, 0)
+    assert [ingest.read_table(spark, f"{out}/{name}", schema).count() for name, schema in (("documents", ingest.DOCUMENTS), ("holders", ingest.HOLDERS), ("chunks", ingest.CHUNKS))] == [0, 0, 0]
+    assert ingest.present_chunks(spark, out).count() == 0
