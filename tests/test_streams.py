@@ -59,3 +59,12 @@ def test_duplicates_within_the_watermark(spark, landing):
     assert run(stream, schema).count() == 4
     add([("a", at(9), 10), ("b", at(2), 11)], schema)  # beyond: a passes again; b is later than the watermark
     assert run(stream, schema).where("url = 'a'").count() == 2 and run(stream, schema).where("url = 'b'").count() == 1
+
+
+def test_a_key_makes_no_frame(spark, landing):
+    """Rows of a key come as rows: a key with many stores and queries of equal times, answers of null and of nothing."""
+    assert not hasattr(caches, "pd")
+    add, run = landing
+    add([("k", at(1), False, None), ("k", at(1), True, None), ("k", at(2), False, ""), ("k", at(2), True, None), ("k", at(3), False, "z"), ("k", at(3), False, "a"), ("k", at(3), True, None)])
+    got = {r.asked_at: (r.answer, r.stored_at) for r in run(lambda df: caches.cache_stream(df, 24)).collect()}
+    assert got == {at(1): (None, at(1)), at(2): ("", at(2)), at(3): ("z", at(3))}
