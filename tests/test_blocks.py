@@ -105,3 +105,10 @@ def test_tasks_go_by_a_block_of_queries():
     assert search_tasks(300_000, 6_000_000, 37, 12) == 12  # not one for each 2^30 of all scores, each with its own best of every query
     assert search_tasks(8192, 10_000_000, 1, 12) == 20
     assert search_tasks(10, 100, 1, 12) == search_tasks(0, 0, 1, 12) == 1
+
+
+def test_a_file_holds_few_blocks(spark):
+    rows = spark.range(0, 6 * blocks.BLOCK_DOCS, 1, 1).selectExpr("id", "array(id % 7) as words")
+    packed = blocks.pack(rows)
+    sizes = [r["count"] for r in packed.groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) >= 6 and max(sizes) <= 4
