@@ -87,3 +87,20 @@ def test_large_keys_of_several_components(spark):
     got = {m: sorted(map(tuple, line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string"), set_lines=m).collect())) for m in (4096, 8)}
     assert got[4096] == got[8]
     assert sum(r[2] for r in got[8]) >= 120
+
+
+def test_lines_with_a_passage_in_common_are_not_compared_two_by_two(monkeypatch):
+    """The work of a set grows with its lines; links are those of brute force."""
+    random.seed(43)
+    words = ["".join(random.choices("abcdefghiklmnoprstu", k=random.randint(3, 8))) for _ in range(3000)]
+    passage = " ".join(random.choices(words, k=30))
+    worked = []
+    spread = line_dedup._spread
+    monkeypatch.setattr(line_dedup, "_spread", lambda a, b: (worked.append(int((b - a).sum())), spread(a, b))[1])
+    for n in (300, 1200):
+        lines = [f"{' '.join(random.choices(words, k=20))} {passage} {' '.join(random.choices(words, k=20))}" for _ in range(n - 20)]
+        lines += [f"{x} {random.choice(words)}" for x in lines[:20]]
+        worked.clear()
+        links = {tuple(sorted(x)) for x in line_dedup.similar_stars(lines)}
+        assert links == {(i, n - 20 + i) for i in range(20)}
+        assert sum(worked) < 10 * sum(map(len, lines))
