@@ -112,3 +112,31 @@ def test_a_file_holds_few_blocks(spark):
     packed = blocks.pack(rows)
     sizes = [r["count"] for r in packed.groupBy("_metadata.file_path").count().collect()]
     assert sum(sizes) >= 6 and max(sizes) <= 4
+
+
+def test_best_of_single_precision_are_those_of_double():
+    rng = np.random.default_rng(7)
+    x, y = rng.random((40, 60)) * (rng.random((40, 60)) < 0.5), rng.random((40, 300)) * (rng.random((40, 300)) < 0.5)
+    y[:, 150:] = y[:, :150] * (1 + 1e-7)  # told apart by double precision only
+    sides = []
+    for m in (x, y):
+        term, place = np.nonzero(m)
+        sides.append(blocks.Side(m.shape[1], *np.unique(term, return_counts=True), place, m[term, place]))
+    want, best, ids = blocks.Best(60, 5), blocks.Best(60, 5, 5e-324), np.arange(300)
+    found = blocks.Product(*sides)
+    assert found.error > 0 and np.abs(found.score - x.T @ y).max() > 0
+    assert np.all(np.abs(found.score - x.T @ y) <= found.error * (x.T @ y))
+    want.add(x.T @ y, ids, 0)
+    best.add(found.score, ids, 0, found.exact, found.error)
+    want.settle()
+    best.settle()
+    assert all(np.array_equal(a, b) for a, b in zip(want.held, best.held, strict=True))
+
+
+def test_rows_in_one_language_share_a_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_DOCS", 50)
+    said = ["the of and", "der und die"]
+    docs = [(i, f"{said[i % 2]} word{i} word{i + 1}") for i in range(100)]
+    rows = spark.createDataFrame(docs, "id long, text string").coalesce(1).select("id", blocks.term_hashes("text").alias("words")).toArrow().to_batches()
+    found = [set(np.frombuffer(b.column(1)[0].as_py(), np.int64) % 2) for b in blocks._packed(iter(rows))]
+    assert sorted(map(tuple, found)) == [(0,), (1,)]
