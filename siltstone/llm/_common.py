@@ -8,7 +8,6 @@ without that setting only local mode runs.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import release, scratch
 
 #: Words of every contract: runs of bytes other than space and 09-0D.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -27,15 +26,9 @@ _STORED: list[str] = []
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes tables that no later read needs, and lets Spark drop the shuffles of plans that are done.
-
-    Spark's listener queues hold the plan that ended last until another event
-    comes, so a small job goes ahead of the collection that is to free it.
-    """
+    """Deletes tables that no later read needs, and lets Spark drop the shuffles of plans that are done."""
     jvm = spark.sparkContext._jvm
-    gc.collect()
-    spark.range(1).count()
-    jvm.System.gc()
+    release(spark)
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -8,6 +8,9 @@ repeated after a failure replaces its own rows and nothing else:
 - chunks: what a chunk is, once for each text: payload, vector and point id,
 - runs: one row of totals.
 
+Tables are compressed with zstd, and what a step shuffled is dropped before the
+next one begins.
+
 A document's present chunks are those of its latest run. A chunk lives while any
 document holds it: it outlives the document that brought it, and is gone with the
 last. What an earlier run stored is replaced without being rewritten; compact()
@@ -16,14 +19,14 @@ folds finished runs into one base, which leaves out what no longer counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import token_estimate
 from ..functions.text import content_hash, point_id
 from ..operators.chunking import chunk_documents
 from ..operators.dedup import classify_changes, first_wins
-from ..session import scratch
+from ..session import release, scratch
 from ..sources.models import hashed_embedding
 from ..sources.tables import drop_table, ensure_table, read_table
 
@@ -80,7 +83,8 @@ def compact(spark: SparkSession, out: str) -> int | None:
     first = chunks.groupBy("text_hash").agg(F.min("run_id").alias("run_id")).join(holders.select("text_hash").distinct(), "text_hash", "left_semi")
     living = chunks.join(first, ["text_hash", "run_id"], "left_semi")  # texts and vectors are shuffled once and not aggregated
     for name, schema, rows in (("documents", DOCUMENTS, counts), ("holders", HOLDERS, holders), ("chunks", CHUNKS, living)):
-        rows.select([x.split()[0] for x in schema.split(", ")]).write.mode("overwrite").parquet(f"{out}/base-{base + 1}/{name}")
+        rows.select([x.split()[0] for x in schema.split(", ")]).write.option("compression", "zstd").mode("overwrite").parquet(f"{out}/base-{base + 1}/{name}")
+        release(spark)
     spark.createDataFrame([(base + 1, last)], BASES).coalesce(1).write.mode("append").parquet(f"{out}/bases")
     for name, schema in (("documents", DOCUMENTS), ("holders", HOLDERS), ("chunks", CHUNKS)):
         for r in read_table(spark, f"{out}/{name}", schema).where(F.col("run_id") <= last).select("run_id").distinct().collect():  # the runs since the last base
@@ -117,18 +121,22 @@ def chunk_holders(spark: SparkSession, out: str) -> DataFrame:
     return present_holders(spark, out).groupBy("text_hash").agg(F.count_distinct("doc_id").alias("n_holders"), F.count("*").alias("n_places"))
 
 
-def present_chunks(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
-    """Each living chunk once, in the place of the holder that has had it longest (least run, document, section, child)."""
+def present_chunks(spark: SparkSession, out: str, before: int | None = None, said: tuple[str | Column, ...] = ("text", "point_id", "vector")) -> DataFrame:
+    """Each living chunk once, in the place of the holder that has had it longest (least run, document, section, child).
+
+    ``said``: what of chunks the rows hold, taken where chunks are read.
+    """
     owner = first_wins(present_holders(spark, out, before).drop("stored"), ["text_hash"], ["run_id", "doc_id", "section_index", "child_index"])
     chunks = _rows(spark, out, "chunks", CHUNKS)
     first = chunks.groupBy("text_hash").agg(F.min("run_id").alias("stored_by"))
-    said = chunks.withColumnRenamed("run_id", "stored_by")
-    return owner.join(first, "text_hash").join(said, ["text_hash", "stored_by"]).drop("stored_by")
+    own = chunks.select("text_hash", *said, F.col("run_id").alias("stored_by"))
+    return owner.join(first, "text_hash").join(own, ["text_hash", "stored_by"]).drop("stored_by")
 
 
 def _write_run(rows: DataFrame, path: str, schema: str, run_id: int) -> None:
     """Writes a run's rows of a table, in place of what an earlier try of the run left: its own folder, so that nothing is sorted by run."""
-    rows.select([x.split()[0] for x in schema.split(", ")]).drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    rows.select([x.split()[0] for x in schema.split(", ")]).drop("run_id").write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    release(rows.sparkSession)
 
 
 def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) -> None:
@@ -152,10 +160,15 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
         rows = rows.groupBy("doc_id").agg(F.max_by("text", "content_hash").alias("text"), F.max("content_hash").alias("content_hash"))
     seen, kept, done = Observation(), Observation(), Observation()
     classed = classify_changes(rows, document_state(spark, out, run_id), force=force).observe(seen, F.count_if(F.col("change") == "unchanged").alias("unchanged"))
-    taken, made = scratch(spark, "taken"), scratch(spark, "chunks")
-    classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash").write.parquet(taken)
-    work = spark.read.schema("doc_id long, text string, content_hash string").parquet(taken)
-    chunk_documents(work.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).withColumn("tokens", token_estimate(F.col("text")).cast("long")).write.parquet(made)
+    taken, light, made = (scratch(spark, x) for x in ("taken", "light", "chunks"))
+    classed.where("change <> 'unchanged'").select("doc_id", "text", "content_hash").write.option("compression", "zstd").parquet(taken)
+    release(spark)
+    texts = spark.read.schema("doc_id long, text string, content_hash string").parquet(taken)
+    texts.select("doc_id", "content_hash").write.parquet(light)
+    work = spark.read.schema("doc_id long, content_hash string").parquet(light)
+    chunk_documents(texts.withColumn("title", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))).withColumn("tokens", token_estimate(F.col("text")).cast("long")).write.option("compression", "zstd").parquet(made)
+    drop_table(spark, taken)
+    release(spark)
     chunks = spark.read.schema(HOLDERS.replace("stored boolean, run_id long", "text string, tokens long")).parquet(made)
 
     place = ["doc_id", "section_index", "child_index"]
@@ -169,6 +182,7 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
     fresh = first_wins(chunks.select("text_hash", *place), ["text_hash"], place).join(known, "text_hash", "left_anti").select(place)
     said = chunks.select("text_hash", "text", *place).join(fresh, place, "left_semi")  # texts are shuffled once and not aggregated
     _write_run(said.withColumn("point_id", point_id(F.col("text_hash"))).withColumn("vector", hashed_embedding(F.col("text"))).withColumn("run_id", run), f"{out}/chunks", CHUNKS, run_id)
+    drop_table(spark, made)
 
     own = _rows(spark, out, "holders", HOLDERS).where(F.col("run_id") == run_id).groupBy("doc_id").agg(F.count("*").alias("made"), F.count_if("stored").alias("chunks_ingested"))
     each = work.select("doc_id", "content_hash").join(own, "doc_id", "left").fillna(0, ["made", "chunks_ingested"]).withColumn("chunks_skipped", F.col("made") - F.col("chunks_ingested"))
@@ -181,8 +195,7 @@ def ingest_batch(docs: DataFrame, out: str, run_id: int, force: bool = False) ->
     quoted = [f"{r.doc_id}: {r.error}" for r in failures(spark, out, run_id).orderBy("doc_id").limit(QUOTED_ERRORS).collect()] if t["failed"] else []
     row = (t["taken"] + unchanged, unchanged, t["chunks_ingested"], t["chunks_skipped"], t["failed"], sorted(quoted), kept.get["tokens"], t["failed"] == 0, run_id)
     _write_run(spark.createDataFrame([row], RUNS), f"{out}/runs", RUNS, run_id)
-    for path in (taken, made):
-        drop_table(spark, path)
+    drop_table(spark, light)
 
 
 def delete_documents(ids: DataFrame, out: str, run_id: int) -> None:

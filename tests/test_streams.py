@@ -68,3 +68,15 @@ def test_a_key_makes_no_frame(spark, landing):
     add([("k", at(1), False, None), ("k", at(1), True, None), ("k", at(2), False, ""), ("k", at(2), True, None), ("k", at(3), False, "z"), ("k", at(3), False, "a"), ("k", at(3), True, None)])
     got = {r.asked_at: (r.answer, r.stored_at) for r in run(lambda df: caches.cache_stream(df, 24)).collect()}
     assert got == {at(1): (None, at(1)), at(2): ("", at(2)), at(3): ("z", at(3))}
+
+
+def test_what_a_run_stores_is_compressed_and_read_by_need(spark, tmp_path):
+    from pyarrow import parquet
+    from siltstone.streaming import ingest
+
+    out = str(tmp_path / "store")
+    ingest.ingest_batch(spark.createDataFrame([(1, "## A\none two three"), (2, "## B\nfour five six")], "doc_id long, text string"), out, 0)
+    files = [f for name in ("documents", "holders", "chunks") for f in (tmp_path / "store" / name).rglob("*.parquet")]
+    assert files and {parquet.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if parquet.ParquetFile(f).metadata.num_row_groups} == {"ZSTD"}
+    there = ingest.present_chunks(spark, out, said=("point_id",))
+    assert there.count() and not {"text", "vector"} & set(there.columns)
